@@ -10,10 +10,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossmill.llm import exact_dedup, mixing, sharding
+from glossmill.llm import byte_bpe, exact_dedup, mixing, sharding, token_files
 from glossmill.llm.common import table
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(table(spark, sf_dir, "documents"))
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -28,6 +36,8 @@ def op10_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_token_files": op2_token_files,
+        "op4_byte_bpe": op4_byte_bpe,
         "op7_mix_sources": op7_mix_sources,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_shard_documents": op10_shard_documents,
