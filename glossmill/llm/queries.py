@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossmill.llm import byte_bpe, exact_dedup, mixing, sharding, token_files
+from glossmill.llm import byte_bpe, exact_dedup, mixing, sharding, simhash, token_files
 from glossmill.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_files": op2_token_files,
         "op4_byte_bpe": op4_byte_bpe,
+        "op5_simhash": op5_simhash,
         "op7_mix_sources": op7_mix_sources,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_shard_documents": op10_shard_documents,
