@@ -57,6 +57,18 @@ def drop_scratch(spark: SparkSession) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names like those given that `df` doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def fold_of(doc_id: Column | str = "doc_id") -> Column:
     """crc32 of the id as text, mod 4; 2 is the held-out part.  A null id gives null."""
     id_ = F.col(doc_id) if isinstance(doc_id, str) else doc_id

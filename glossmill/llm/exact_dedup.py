@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import NO_ID, settle, shuffle_partitions
+from glossmill.llm.common import NO_ID, fresh_names, settle, shuffle_partitions
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -207,10 +207,10 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     Copies are found by `content_groups`.  Survivors are picked by (digest, doc_id),
     which spreads the copies of one text over the tasks; of rows repeated whole one stays.
     """
-    digest, key, order = "__digest", "__key", "__order"
+    digest, key, order, n = fresh_names(docs, "digest", "key", "order", "n")
     keyed = docs.withColumns({digest: content_digest(), key: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))})
     rows = settle(keyed.select(F.col("doc_id"), F.col(digest).alias("digest"), F.monotonically_increasing_id().alias("row_no")), "digests")
     keep = content_groups(rows).select(F.col("digest").alias(digest), F.coalesce("keep_id", F.lit(NO_ID)).alias(key))
     once = Window.partitionBy(digest, key).orderBy(order)
     survivors = keyed.join(keep, [digest, key], "left_semi").withColumn(order, F.xxhash64(*docs.columns))
-    return survivors.withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*docs.columns)
+    return survivors.withColumn(n, F.row_number().over(once)).where(F.col(n) == 1).select(*docs.columns)

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import WORD, settle
+from glossmill.llm.common import NO_ID, WORD, fresh_names, settle
 
 MAX_REPEAT = 3
 FAN_IN = 128
@@ -205,12 +205,12 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     Rows are matched by doc_id and, where ids repeat, by their rank among rows of that id.
     """
     plan = mix_sources(docs, **settings)
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    same = lambda: Window.partitionBy("__id").orderBy(F.col("__source").asc_nulls_last(), "__size")
-    left = docs.withColumns({"__id": id_, "__source": F.col("source"), "__size": size})
-    left = left.withColumn("__n", F.row_number().over(same()))
-    right = plan.select(id_.alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copies")
-    right = right.withColumn("__n", F.row_number().over(same())).select("__id", "__n", "copies")
-    repeated = left.join(right, ["__id", "__n"]).where("copies > 0")
-    return repeated.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    id_, source, size, n, copies, copy = fresh_names(docs, "id", "source_key", "size", "n", "copies", "copy")
+    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    whole_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    rank = F.row_number().over(Window.partitionBy(id_).orderBy(F.col(source).asc_nulls_last(), size))
+    left = docs.withColumns({id_: whole_id, source: F.col("source"), size: words}).withColumn(n, rank)
+    right = plan.select(whole_id.alias(id_), F.col("source").alias(source), F.col("size").alias(size), F.col("copies").alias(copies))
+    right = right.withColumn(n, rank).select(id_, n, copies)
+    repeated = left.join(right, [id_, n]).where(F.col(copies) > 0)
+    return repeated.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)

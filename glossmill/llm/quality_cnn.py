@@ -62,12 +62,15 @@ class ByteConvNet:
         scale = {"embed": 0.5, "near": (2 * width) ** -0.5 * 1.4, "next": (2 * width) ** -0.5 * 1.4, "mix": (3 * FILTERS) ** -0.5, "out": HIDDEN**-0.5}
         return cls({k: (rng.normal(0, scale[k], s) if k in scale else np.zeros(s)).astype(np.float32) for k, s in shapes.items()})
 
-    def _pooled(self, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _pooled(self, packed: np.ndarray, halves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Strongest answer of each filter in each half chunk, and the step where it was.
 
-        A stretch of half chunks is worked at a time, so memory does not follow a text's length.
+        A stretch of half chunks is worked at a time, so memory does not follow a text's
+        length.  A text's very last step, which is all padding, would look into the next
+        text and is left out.
         """
         w, per = self.w, HALF // STEP
+        closing = np.cumsum(halves) * per - 1
         n = len(packed) // HALF
         pooled, where = np.empty((n, FILTERS), w["bias"].dtype), np.empty((n, FILTERS), np.int64)
         for at in range(0, n, STRETCH):
@@ -77,6 +80,7 @@ class ByteConvNet:
             answers = blocks[:here] @ w["near"]
             after = blocks[1 : here + 1] @ w["next"]
             answers[: len(after)] += after
+            answers[closing[(closing >= at * per) & (closing < at * per + here)] - at * per] = -np.inf
             answers = answers.reshape(-1, per, FILTERS)
             best = answers.argmax(1)
             where[at : at + STRETCH] = best
@@ -86,7 +90,7 @@ class ByteConvNet:
     def forward(self, texts: list[bytes], keep: bool = False):
         w = self.w
         packed, halves = _pack(texts)
-        pooled, at = self._pooled(packed)
+        pooled, at = self._pooled(packed, halves)
         starts = np.concatenate([[0], np.cumsum(halves)[:-1]])
         last = np.zeros(len(pooled), bool)
         last[starts + halves - 1] = True
@@ -141,8 +145,6 @@ class ByteConvNet:
                 continue
             v = dp[live, f]
             for name, block in (("near", where[live, f]), ("next", where[live, f] + 1)):
-                inside = block < len(letters)  # the very last step has none after it
-                v, block = v[inside], block[inside]
                 g[name][:, f] = v @ w["embed"][letters[block]].reshape(-1, EMBED * STEP)
                 back = (v[:, None] * w[name][:, f]).reshape(-1, EMBED)
                 into = letters[block].ravel()

@@ -201,8 +201,8 @@ class FormatModel:
 def learn(values: dict[str, list[str]], ordinary: list[str]) -> FormatModel:
     """Automata from four fifths of each kind's values; the rest and a fifth of the ordinary runs set the threshold.
 
-    It is the score that all but 5% of left-out credentials reach, and above every
-    left-out ordinary run.
+    It is the score that all but 5% of left-out credentials reach, and above all but 5% of
+    left-out ordinary runs, among which unlabelled credentials may be.
     """
     usable = {k: sorted(set(v)) for k, v in values.items() if len(set(v)) >= LEAST_VALUES}
 
@@ -214,7 +214,7 @@ def learn(values: dict[str, list[str]], ordinary: list[str]) -> FormatModel:
     secret = [model.score(x) for v in usable.values() for x in v if left_out(x) and len(x) >= CANDIDATE_LEAST]
     plain = [model.score(x) for x in ordinary if left_out(x)]
     if secret and formats:
-        model.threshold = max(float(np.quantile(secret, 0.05)), max(plain, default=-math.inf) + MARGIN, 0.0)
+        model.threshold = max(float(np.quantile(secret, 0.05)), (float(np.quantile(plain, 0.95)) if plain else -math.inf) + MARGIN, 0.0)
     return model
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import NO_ID, settle, shuffle_partitions, text_bytes
+from glossmill.llm.common import NO_ID, fresh_names, settle, shuffle_partitions, text_bytes
 from glossmill.llm.graph import components
 
 BITS = 64
@@ -208,11 +208,12 @@ def drop_near_copies(docs: DataFrame, radius: int = RADIUS, shingle: int = SHING
     Rows whose id is null stay only where their component has no id; of rows that share
     the surviving id one stays.
     """
-    key: Column = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    key, order, n = fresh_names(docs, "key", "order", "n")
+    id_: Column = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     rows = settle(fingerprints(docs, shingle), "fingerprints")
     found = rows.join(near_components(rows, radius), "fp")
     # An id that stands in several rows may also lie in several components; it stays if it leads one.
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("__key")).distinct()
-    once = Window.partitionBy("__key").orderBy("__order")
-    survivors = docs.withColumn("__key", key).join(keep, "__key", "left_semi").withColumn("__order", F.xxhash64(*docs.columns))
-    return survivors.withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*docs.columns)
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_.alias(key)).distinct()
+    once = Window.partitionBy(key).orderBy(order)
+    survivors = docs.withColumn(key, id_).join(keep, key, "left_semi").withColumn(order, F.xxhash64(*docs.columns))
+    return survivors.withColumn(n, F.row_number().over(once)).where(F.col(n) == 1).select(*docs.columns)

@@ -1,0 +1,173 @@
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from glossmill.llm import language_id, quality_cnn, quality_rules
+from glossmill.llm.common import table
+from glossmill.llm.quality_rules import IsolationForest, calibrate, repeat_words, statistics
+
+DIR = "/root/testdata/sf0.01"
+
+
+def slow_repeats(words, window=8):
+    spans = [tuple(words[i : i + window]) for i in range(len(words) - window + 1)]
+    inside = set()
+    for i, s in enumerate(spans):
+        if spans.count(s) > 1:
+            inside.update(range(i, i + window))
+    return len(inside)
+
+
+def slow_counts(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, slow_repeats(words)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_repeats(seed):
+    rng = np.random.default_rng(seed)
+    words = [b"w%d" % x for x in rng.integers(0, 3 if seed % 2 else 12, rng.integers(0, 60))]
+    assert repeat_words(words) == slow_repeats(words)
+    assert repeat_words(words, 5) == slow_repeats(words, 5)
+
+
+def test_counts(odd_texts):
+    more = ["a\n\na\n b\na \n", "##| a <b> \x85c d", "x " * 30, "\n".join(["one two three four five six seven eight nine"] * 3), "１２３ \x1c y"]
+    for text in [t for t in odd_texts if len(t or "") < 60_000] + more:
+        s = statistics(text or "")
+        assert (s.n_words, s.word_chars, s.n_symbols, s.n_dup_lines, s.n_repeat_words) == slow_counts(text)
+        assert s.base_failed == (s.n_words < 20 or 100 * s.n_repeat_words > 30 * s.n_words)
+
+
+def test_forest_isolates():
+    rng = np.random.default_rng(1)
+    rows = rng.normal(size=(500, 3))
+    forest = IsolationForest.grow(rows)
+    inner, outer = forest.score(np.zeros((1, 3)))[0], forest.score(np.full((1, 3), 6.0))[0]
+    assert outer > 0.6 > inner and np.array_equal(forest.score(rows), IsolationForest.grow(rows).score(rows))
+    assert len(IsolationForest.grow(np.zeros((0, 3))).score(np.zeros((2, 3)))) == 2
+
+
+def test_calibrate():
+    scores, good = np.array([0.1, 0.2, 0.3, 0.9, 0.95]), np.array([True, True, True, False, False])
+    cut = calibrate(scores, good)
+    assert 0.2 < cut < 0.9
+    assert calibrate(np.array([]), np.array([], bool)) == 1.0
+
+
+def test_quality_rules_on_tables(spark):
+    docs, labels = table(spark, DIR, "documents"), table(spark, DIR, "labels")
+    model = quality_rules.fit(docs, labels)
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs, model).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert set(got) == set(texts)
+    for d in list(texts)[::7]:
+        if len(texts[d]) < 6000:
+            r = got[d]
+            assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == slow_counts(texts[d])
+    rows = labels.collect()
+    long_enough = [r for r in rows if got[r["doc_id"]]["n_words"] >= 20]
+    good = [got[r["doc_id"]]["kept"] for r in long_enough if r["quality"] == 1]
+    bad = [got[r["doc_id"]]["kept"] for r in long_enough if r["quality"] == 0]
+    assert np.mean(good) > 0.98 and np.mean(bad) < 0.1
+    kept = {r["doc_id"] for r in quality_rules.keep_good(docs, model).collect()}
+    assert kept == {d for d, r in got.items() if r["kept"]}
+
+
+def test_quality_rules_odd_rows(spark, make_docs, odd_texts):
+    labels = spark.createDataFrame([(0, 1, 0), (8, 1, 0), (9, None, 0), (None, 1, 0), (777, 0, 0)], "doc_id long, quality int, toxic int")
+    docs = make_docs([(i, t, "en", None) for i, t in enumerate(odd_texts)] + [(None, "x", None, None)] * 2)
+    model = quality_rules.fit(docs, labels)
+    got = quality_rules.judge(docs, model).collect()
+    assert len(got) == len(odd_texts) + 2 and not any(r["kept"] for r in got if r["base_failed"])
+    assert quality_rules.keep_good(docs, model).columns == docs.columns
+    none = quality_rules.fit(docs, labels.limit(0))
+    assert quality_rules.judge(make_docs([]), none).count() == 0
+    assert all(r["kept"] == (not r["base_failed"]) for r in quality_rules.judge(docs, none).collect())
+
+
+def gap(net, texts, y, weight, key):
+    loss, grads = net.gradients(texts, y, weight)
+    flat, i = net.w[key].reshape(-1), int(np.abs(grads[key]).argmax())
+    old, out = flat[i], []
+    for step in (1e-5, -1e-5):
+        flat[i] = old + step
+        out.append(net.gradients(texts, y, weight)[0])
+    flat[i] = old
+    return grads[key].reshape(-1)[i], (out[0] - out[1]) / 2e-5
+
+
+def test_network_gradients():
+    rng = np.random.default_rng(0)
+    net = quality_cnn.ByteConvNet.fresh(1)
+    net.w = {k: v.astype(float) for k, v in net.w.items()}
+    texts = [bytes(rng.integers(97, 122, n).astype(np.uint8)) for n in (10, 300, 900, 0)]
+    for key in net.w:
+        a, b = gap(net, texts, np.array([True, False, True, False]), np.ones(4), key)
+        assert a == pytest.approx(b, rel=0.02, abs=1e-6)
+
+
+def test_network_covers_whole_texts(monkeypatch):
+    net = quality_cnn.ByteConvNet.fresh(3)
+    base = b"plain words here " * 4000
+    far = base[:-40] + bytes(range(200, 240))
+    assert net.logits([base])[0] != net.logits([far])[0]
+    together, apart = net.logits([base, far, b"", b"x"]), np.concatenate([net.logits([t]) for t in (base, far, b"", b"x")])
+    assert together == pytest.approx(apart, abs=1e-4)
+    monkeypatch.setattr(quality_cnn, "STRETCH", 7)
+    assert net.logits([base, far]) == pytest.approx(apart[:2], abs=1e-4)
+
+
+def test_network_held_out_accuracy(spark):
+    docs, labels = table(spark, DIR, "documents"), table(spark, DIR, "labels")
+    model = quality_cnn.fit(docs, labels)
+    got = {r["doc_id"]: r for r in quality_cnn.classify(docs, model).collect()}
+    assert len(got) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got.values())
+    assert all(r["held_out"] == (zlib.crc32(str(d).encode()) % 4 == 2) for d, r in got.items())
+    hits = [got[r["doc_id"]]["predicted"] == r["quality"] for r in labels.collect() if got[r["doc_id"]]["held_out"]]
+    assert np.mean(hits) > 0.88
+
+
+def test_network_odd_rows(spark, make_docs, odd_texts):
+    docs = make_docs([(i, t, None, None) for i, t in enumerate(odd_texts)] + [(None, "x", "en", "s")])
+    for rows in ([], [(0, 1, 0)], [(3, 1, 0), (5, 0, 0), (8, None, 0), (None, 1, 0)]):
+        labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+        got = quality_cnn.classify(docs, quality_cnn.fit(docs, labels)).collect()
+        assert len(got) == len(odd_texts) + 1 and all(0 <= r["score"] <= 1 for r in got)
+    assert quality_cnn.classify(make_docs([]), quality_cnn.QualityNet(quality_cnn.ByteConvNet.fresh(), 0.0)).count() == 0
+
+
+def test_languages_held_out(spark):
+    docs = table(spark, DIR, "documents")
+    got = {r["doc_id"]: r for r in language_id.identify(docs, language_id.fit(docs)).collect()}
+    rows = [r for r in docs.select("doc_id", "lang").collect() if got[r["doc_id"]]["held_out"]]
+    assert np.mean([got[r["doc_id"]]["lang_pred"] == r["lang"] for r in rows]) > 0.95
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+
+
+def test_languages_odd_rows(spark, make_docs, odd_texts):
+    rows = [(i, t, ("en", "de", None)[i % 3], None) for i, t in enumerate(odd_texts)] + [(None, "12 34 ..", "en", None), (50, "", None, None), (51, "4711 !", "en", None)]
+    docs = make_docs(rows)
+    model = language_id.fit(docs)
+    got = language_id.identify(docs, model).collect()
+    assert len(got) == len(rows)
+    texts = {r[0]: r[1] for r in rows}
+    for r in got:
+        lettered = any(c.isalpha() for c in texts[r["doc_id"]] or "")
+        assert (r["lang_pred"] in model.languages) if lettered else (r["lang_pred"], r["score"]) == ("und", 0.0)
+    empty = language_id.fit(make_docs([]))
+    assert {r["lang_pred"] for r in language_id.identify(docs, empty).collect()} == {"und"}
+    assert language_id.identify(make_docs([]), model).count() == 0
+
+
+def test_shared_lines_stay_out_of_dictionaries():
+    held = language_id.dictionaries({"en": ["own english line\nshared licence"], "de": ["eigene zeile\nShared licence"]})
+    assert b"shared" not in held["en"] and b"eigene" in held["de"]
