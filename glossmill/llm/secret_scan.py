@@ -39,8 +39,9 @@ ALPHABET = 66
 SAMPLE_VALUES = 600
 LEAST_VALUES = 12
 ALPHA = 0.01
-#: Log-likelihood ratio per character that a run must be above the ordinary ones.
+#: Least log-likelihood ratio per character of a secret.
 MARGIN = 0.05
+DISCOUNT = 1.5
 
 Span = tuple[int, int, str, str]  # start, end, kind, value
 
@@ -75,10 +76,10 @@ def candidates(text: str, base: list[Span]) -> list[Span]:
 class Automaton:
     """A deterministic probabilistic automaton: per state symbol counts, successors, ends and arrivals."""
 
-    counts: list[dict[str, int]] = field(default_factory=lambda: [{}])
+    counts: list[dict[str, float]] = field(default_factory=lambda: [{}])
     follow: list[dict[str, int]] = field(default_factory=lambda: [{}])
     ends: list[int] = field(default_factory=lambda: [0])
-    total: list[int] = field(default_factory=lambda: [0])
+    total: list[float] = field(default_factory=lambda: [0])
 
     @classmethod
     def prefix_tree(cls, values: Iterable[str]) -> Automaton:
@@ -165,7 +166,11 @@ class Automaton:
 
 
 def _chain(values: list[str]) -> Automaton:
-    """A first-order character chain as an automaton: one state per last character."""
+    """A first-order character chain as an automaton: one state per last character.
+
+    Steps seen only once or so are discounted away, so that a lone unlabelled credential
+    among the ordinary runs doesn't teach the chain its own steps.
+    """
     place: dict[str, int] = {}
     a = Automaton()
     for value in values:
@@ -181,6 +186,8 @@ def _chain(values: list[str]) -> Automaton:
             at = place[c]
             a.total[at] += 1
         a.ends[at] += 1
+    a.counts = [{c: n - DISCOUNT for c, n in seen.items() if n > DISCOUNT} for seen in a.counts]
+    a.total = [sum(seen.values()) + end for seen, end in zip(a.counts, a.ends, strict=True)]
     return a
 
 
@@ -201,8 +208,9 @@ class FormatModel:
 def learn(values: dict[str, list[str]], ordinary: list[str]) -> FormatModel:
     """Automata from four fifths of each kind's values; the rest and a fifth of the ordinary runs set the threshold.
 
-    It is the score that all but 5% of left-out credentials reach, and above all but 5% of
-    left-out ordinary runs, among which unlabelled credentials may be.
+    It lies halfway between what all but 5% of left-out credentials reach and what all but
+    5% of left-out ordinary runs (unlabelled credentials may be among them) stay below, and
+    above 0, where both are equally likely.
     """
     usable = {k: sorted(set(v)) for k, v in values.items() if len(set(v)) >= LEAST_VALUES}
 
@@ -214,7 +222,8 @@ def learn(values: dict[str, list[str]], ordinary: list[str]) -> FormatModel:
     secret = [model.score(x) for v in usable.values() for x in v if left_out(x) and len(x) >= CANDIDATE_LEAST]
     plain = [model.score(x) for x in ordinary if left_out(x)]
     if secret and formats:
-        model.threshold = max(float(np.quantile(secret, 0.05)), (float(np.quantile(plain, 0.95)) if plain else -math.inf) + MARGIN, 0.0)
+        low = float(np.quantile(plain, 0.95)) if plain else 0.0
+        model.threshold = max(MARGIN, (float(np.quantile(secret, 0.05)) + low) / 2)
     return model
 
 
