@@ -16,6 +16,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -177,6 +178,12 @@ class WordTokenizer:
                 yield b"".join(map(known.__getitem__, words))
 
 
+@lru_cache(maxsize=2)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer for a Python worker: the words it remembers serve all its tasks."""
+    return WordTokenizer(path)
+
+
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, file_ids: int = FILE_IDS) -> DataFrame:
     """Tokenize whole texts and write them in ascending doc_id order below `folder`.
 
@@ -193,7 +200,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words = WordTokenizer(tokenizer)
+        words = word_tokenizer(tokenizer)
         end = np.asarray([end_id], f"<u{words.width}").tobytes()
         part, file_no = TaskContext.get().partitionId(), 0
         store, root = file_system(folder)
