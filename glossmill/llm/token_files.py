@@ -32,6 +32,9 @@ SAMPLE = 64
 FILE_IDS = 1 << 24
 END_ID = 2
 REMEMBERED = 700_000
+#: Words of letters that are encoded as one text.
+JOINED = 500
+END_OF_WORD = "</w>"
 
 
 class EliasFano:
@@ -156,10 +159,34 @@ class WordTokenizer:
         self._tokenizer.encode_special_tokens = True
         self.width = 2 if self._tokenizer.get_vocab_size() <= 1 << 16 else 4
         self._known: dict[bytes, bytes] = {}
+        vocabulary = self._tokenizer.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[i for t, i in vocabulary.items() if t.endswith(END_OF_WORD)]] = True
 
     def _encode(self, words: list[bytes]) -> None:
-        found = self._tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        self._known.update((w, np.asarray(e.ids, f"<u{self.width}").tobytes()) for w, e in zip(words, found, strict=True))
+        """Remember the ids of words.
+
+        Words of letters are one split match each, whose last token has the end-of-word
+        mark, so many go in as one text and their ids are parted at the marks.  If the
+        marks of a text are not as many as its words, its words go in one by one.
+        """
+        texts = [w.decode() for w in words]
+        lettered = [i for i, t in enumerate(texts) if t.isalpha()]
+        single = [i for i, t in enumerate(texts) if not t.isalpha()]
+        for at in range(0, len(lettered), JOINED):
+            own = lettered[at : at + JOINED]
+            (found,) = self._tokenizer.encode_batch_fast([" ".join([texts[i] for i in own])], add_special_tokens=False)
+            ids = np.asarray(found.ids, f"<u{self.width}")
+            ends = ((np.flatnonzero(self._ends[ids]) + 1) * self.width).tolist()
+            if len(ends) != len(own):
+                single += own
+                continue
+            packed, start = ids.tobytes(), 0
+            for i, end in zip(own, ends, strict=True):
+                self._known[words[i]] = packed[start:end]
+                start = end
+        found = self._tokenizer.encode_batch_fast([texts[i] for i in single], add_special_tokens=False)
+        self._known.update((words[i], np.asarray(e.ids, f"<u{self.width}").tobytes()) for i, e in zip(single, found, strict=True))
 
     def texts(self, texts: list[bytes]) -> Iterator[bytes]:
         known = self._known
