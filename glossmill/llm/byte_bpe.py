@@ -13,6 +13,7 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
@@ -120,6 +121,12 @@ class ByteBPE:
         return hashlib.sha256(b",".join(map(self._decimal.__getitem__, ids))).hexdigest()
 
 
+@lru_cache(maxsize=2)
+def byte_bpe(path: str) -> ByteBPE:
+    """One encoder for a Python worker: the pre-tokens it remembers serve all its tasks."""
+    return ByteBPE(path)
+
+
 def encode_documents(docs: DataFrame, ranks_file: str | None = None, with_ids: bool = True) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256, and ids if wanted.
 
@@ -132,7 +139,7 @@ def encode_documents(docs: DataFrame, ranks_file: str | None = None, with_ids: b
     schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBPE(path)
+        bpe = byte_bpe(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
