@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,6 +24,9 @@ from glossmill.llm.common import single_thread, text_strings, tokenizer_file
 
 #: Pre-tokens remembered by a Python worker; beyond it the memory starts anew.
 REMEMBERED = 300_000
+#: Characters of a long text that are split at a time.
+PIECE_CHARS = 1 << 20
+_BLANK = re.compile(r"(?<=\S) (?=\S)")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -79,6 +83,7 @@ class ByteBPE:
 
         single_thread()
         self.ranks = load_ranks(path)
+        self._cuttable = pattern is None
         self._split = regex.compile(pattern or public_tokenizers.PATTERN).findall
         self._model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(self.ranks))
         self._shown = {b: c for b, c in enumerate(byte_characters())}
@@ -105,6 +110,23 @@ class ByteBPE:
             known[p] = tuple(ids)
 
     def encode(self, text: str) -> list[int]:
+        return list(chain.from_iterable(self._encode(piece) for piece in self.pieces(text)))
+
+    def pieces(self, text: str) -> Iterator[str]:
+        """A long text in parts that the default pattern splits as it does the whole.
+
+        It always starts a match at a single blank between two other characters.
+        """
+        start = 0
+        while self._cuttable and len(text) - start > PIECE_CHARS:
+            cut = _BLANK.search(text, start + PIECE_CHARS)
+            if not cut:
+                break
+            yield text[start : cut.start()]
+            start = cut.start()
+        yield text[start:] if start else text
+
+    def _encode(self, text: str) -> list[int]:
         pre_tokens = self._split(text)
         try:
             found = list(map(self._known.__getitem__, pre_tokens))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,6 +94,22 @@ def text_strings(column) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+_WHITE = re.compile(rb"[\x09-\x0d\x20]")
+PIECE_BYTES = 1 << 20
+
+
+def word_pieces(data: bytes, size: int = PIECE_BYTES) -> Iterator[list[bytes]]:
+    """Words of a text, in lists of about `size` bytes of text, cut at white space only."""
+    start = 0
+    while len(data) - start > size:
+        cut = _WHITE.search(data, start + size)
+        if not cut:
+            break
+        yield data[start : cut.start()].split()
+        start = cut.start()
+    yield (data[start:] if start else data).split()
+
+
 def tokenizer_file(name: str) -> str:
     """Place of a public vocabulary; every operator takes the path as a parameter."""
     import public_tokenizers

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import NO_ID, fresh_names, settle, shuffle_partitions, text_bytes
+from glossmill.llm.common import NO_ID, fresh_names, settle, shuffle_partitions, text_bytes, word_pieces
 from glossmill.llm.graph import components
 
 BITS = 64
@@ -41,22 +41,27 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     """SimHash of a text: bit set where over half of its shingles' hashes have it."""
     from xxhash import xxh64_intdigest
 
-    words = text.lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        return xxh64_intdigest(joined, SEED)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate([[0], ends[:-1]])
-    n = len(words) - shingle + 1
-    spans = zip(starts[:n].tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)
-    view = memoryview(joined)
-    hashes = np.fromiter((xxh64_intdigest(view[a:b], SEED) for a, b in spans), np.uint64, n)
-    counts = np.zeros(BITS, np.int64)
-    for at in range(0, n, 1 << 14):
-        part = np.ascontiguousarray(hashes[at : at + (1 << 14)].astype("<u8"))
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    counts, n = np.zeros(BITS, np.int64), 0
+    last: list[bytes] = []  # words whose shingles reach into the next piece
+    for words in word_pieces(text.lower()):
+        words = last + words
+        last = words[-(shingle - 1) :] if shingle > 1 else []
+        if len(words) < shingle:
+            last = words
+            continue
+        joined = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        starts = np.concatenate([[0], ends[:-1]])
+        here = len(words) - shingle + 1
+        spans = zip(starts[:here].tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)
+        view = memoryview(joined)
+        hashes = np.fromiter((xxh64_intdigest(view[a:b], SEED) for a, b in spans), np.uint64, here)
+        for at in range(0, here, 1 << 14):
+            part = np.ascontiguousarray(hashes[at : at + (1 << 14)].astype("<u8"))
+            counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += here
+    if not n:
+        return xxh64_intdigest(b" ".join(last), SEED) if last else 0
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 

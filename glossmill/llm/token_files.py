@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import scratch_path, settle, shuffle_partitions, single_thread, text_bytes, tokenizer_file
+from glossmill.llm.common import PIECE_BYTES, scratch_path, settle, shuffle_partitions, single_thread, text_bytes, tokenizer_file, word_pieces
 
 MAGIC, VERSION = b"GMEF", 1
 _HEADER = struct.Struct("<4sHBxQQQQ")  # magic, version, id bytes, documents, of which without id, ids, Elias-Fano bytes
@@ -31,7 +31,7 @@ SAMPLE = 64
 #: A file is closed at this many ids; one longer document has a file of its own.
 FILE_IDS = 1 << 24
 END_ID = 2
-REMEMBERED = 700_000
+REMEMBERED = 1_000_000
 #: Words of letters that are encoded as one text.
 JOINED = 500
 END_OF_WORD = "</w>"
@@ -188,21 +188,37 @@ class WordTokenizer:
         found = self._tokenizer.encode_batch_fast([texts[i] for i in single], add_special_tokens=False)
         self._known.update((words[i], np.asarray(e.ids, f"<u{self.width}").tobytes()) for i, e in zip(single, found, strict=True))
 
-    def texts(self, texts: list[bytes]) -> Iterator[bytes]:
+    def _packed(self, pieces: list[list[bytes]]) -> list[bytes]:
+        """Packed ids of some lists of words."""
         known = self._known
-        for at in range(0, len(texts), 256):
-            if len(known) > REMEMBERED:
-                known.clear()
+        if len(known) > REMEMBERED:
+            known.clear()
+        missing = set().union(*pieces).difference(known)
+        ending = {w for w in missing if len(w) > 1 and w[-1] in b".," and 97 <= w[-2] <= 122}
+        plain = (missing - ending) | {w[:-1] for w in ending} | {w[-1:] for w in ending}
+        self._encode([w for w in plain if w not in known])
+        for w in ending:
+            known[w] = known[w[:-1]] + known[w[-1:]]
+        return [b"".join(map(known.__getitem__, words)) for words in pieces]
+
+    def texts(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Packed ids of each text; about a megabyte of text is in work at a time."""
+        held: list[list[bytes]] = []
+        size = 0
+        for text in texts:
             # Letters before combining marks keep their case: some compose in one case only.
-            split = [(t if b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts[at : at + 256]]
-            missing = set().union(*split).difference(known)
-            ending = {w for w in missing if len(w) > 1 and w[-1] in b".," and 97 <= w[-2] <= 122}
-            plain = (missing - ending) | {w[:-1] for w in ending} | {w[-1:] for w in ending}
-            self._encode([w for w in plain if w not in known])
-            for w in ending:
-                known[w] = known[w[:-1]] + known[w[-1:]]
-            for words in split:
-                yield b"".join(map(known.__getitem__, words))
+            text = text if b"\xcc" in text or b"\xcd" in text else text.lower()
+            if len(text) > PIECE_BYTES:
+                yield from self._packed(held)
+                held, size = [], 0
+                yield b"".join(self._packed([words])[0] for words in word_pieces(text))
+                continue
+            held.append(text.split())
+            size += len(text)
+            if size > PIECE_BYTES:
+                yield from self._packed(held)
+                held, size = [], 0
+        yield from self._packed(held)
 
 
 @lru_cache(maxsize=2)

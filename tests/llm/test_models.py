@@ -5,8 +5,8 @@ import numpy as np
 import pytest
 
 from glossmill.llm import language_id, quality_cnn, quality_rules
-from glossmill.llm.common import table
-from glossmill.llm.quality_rules import IsolationForest, calibrate, repeat_words, statistics
+from glossmill.llm.common import table, word_pieces
+from glossmill.llm.quality_rules import IsolationForest, calibrate, repeat_words, statistics, word_numbers
 
 DIR = "/root/testdata/sf0.01"
 
@@ -35,8 +35,9 @@ def slow_counts(text):
 def test_repeats(seed):
     rng = np.random.default_rng(seed)
     words = [b"w%d" % x for x in rng.integers(0, 3 if seed % 2 else 12, rng.integers(0, 60))]
-    assert repeat_words(words) == slow_repeats(words)
-    assert repeat_words(words, 5) == slow_repeats(words, 5)
+    ids = word_numbers(b" ".join(words))
+    assert repeat_words(ids) == slow_repeats(words)
+    assert repeat_words(ids, 5) == slow_repeats(words, 5)
 
 
 def test_counts(odd_texts):
@@ -171,3 +172,10 @@ def test_languages_odd_rows(spark, make_docs, odd_texts):
 def test_shared_lines_stay_out_of_dictionaries():
     held = language_id.dictionaries({"en": ["own english line\nshared licence"], "de": ["eigene zeile\nShared licence"]})
     assert b"shared" not in held["en"] and b"eigene" in held["de"]
+
+
+def test_words_in_pieces_are_the_words(monkeypatch):
+    text = (b"a bb  ccc\n\tdddd " * 50) + b"e" * 300 + b" f"
+    for size in (1, 7, 64, 1000, 5000):
+        assert [w for p in word_pieces(text, size) for w in p] == text.split()
+    assert list(word_pieces(b"")) == [[]]

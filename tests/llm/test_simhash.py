@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from glossmill.llm.common import word_pieces
 from glossmill.llm.graph import components
 from glossmill.llm.simhash import _search, _Union, bucket_links, covering_masks, drop_near_copies, fingerprint, near_dedup
 
@@ -34,6 +35,17 @@ def test_fingerprints(odd_texts):
             assert fingerprint((text or "").encode()) == slow_fingerprint(text)
 
 
+def test_fingerprints_of_pieces(monkeypatch):
+    from glossmill.llm import simhash
+
+    text = b" ".join(b"w%d" % (i * i % 37) for i in range(500)) + b" \n one two"
+    whole = fingerprint(text)
+    for size in (1, 5, 40, 333):
+        monkeypatch.setattr(simhash, "word_pieces", lambda t, size=size: word_pieces(t, size))
+        assert fingerprint(text) == whole == slow_fingerprint(text.decode())
+        assert fingerprint(b"one two") == slow_fingerprint("one two") and fingerprint(b" ") == 0
+
+
 def union_of(n, links):
     sets = _Union(n)
     for x, y in links:

@@ -42,6 +42,19 @@ def test_any_text(bpe, exact, text):
     assert bpe.decode(bpe.encode(text)) == text.encode()
 
 
+def test_long_texts_in_pieces(bpe, exact, monkeypatch):
+    from glossmill.llm import byte_bpe, common, token_files
+
+    text = " ".join(["it's  two", "a\n\n b", "x 12 ,,", "\u3000 ok", "...", "end."] * 60)
+    words = whole([text])[0]
+    for size in (1, 9, 50):
+        monkeypatch.setattr(byte_bpe, "PIECE_CHARS", size)
+        monkeypatch.setattr(token_files, "PIECE_BYTES", size)
+        monkeypatch.setattr(token_files, "word_pieces", lambda t, size=size: common.word_pieces(t, size))
+        assert bpe.encode(text) == exact.encode_ordinary(text) and len(list(bpe.pieces(text))) > 1
+        assert np.frombuffer(next(WordTokenizer(WORDS).texts([text.encode()])), "<u2").tolist() == words
+
+
 def test_model_needs_whole_ranks():
     assert len(serialise_model({b"a": 0, b"b": 1})) > 20
     with pytest.raises(ValueError):
