@@ -14,15 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossmill.functions.scoring import format_gate, language_of, weights, with_score
-from glossmill.functions.text import chrf, edit_distance_similarity, normalize_text, word_ngrams, words, with_gleu
+from glossmill.functions.text import chrf, edit_distance_similarity, normalize_text, strip, with_gleu, word_ngrams, words
 from glossmill.functions.tokens import fits, masked_labels, truncate
 from glossmill.operators import analyze, evaluate, sampling
 from glossmill.operators.samples import (
     INSTRUCTION, align_documents, align_essays, align_lines, build_samples, filter_pairs, instruction, is_augmented, is_identity_injected, rewrite_prompt, rl_records, sft_records,
 )
 from glossmill.plans import pipelines
-from glossmill.schemas import LANGUAGES
-from glossmill.sources.files import parse_essays
+from glossmill.schemas import LANGUAGES, SAMPLE
+from glossmill.sources.files import classify_files, parse_essays
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -111,8 +111,8 @@ samples AS (
 scored AS (SELECT *, trim(regexp_replace(prediction, '\s+', ' ', 'g')) AS np FROM samples)
 """
 #: DuckDB's distance counts bytes, so letters beyond ASCII become unused control characters, one for one.
-_ODD = "ÄÖÜßàáäçèéêíîñóôöúûüùâ"
-_CODES = [*range(1, 9), *range(14, 28)]
+_ODD = "ÄÇÈÉÊÍÑÓÖÜßàáâäçèéêíîñóôöùúûü"
+_CODES = range(1, 32)
 
 
 def _ascii(x: str) -> str:
@@ -596,3 +596,55 @@ def token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = line_samples(spark, sf_dir).select("id", "doc_id", F.transform(words(normalize_text("target")), F.length).alias("t"))
     text = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), " ")
     return t.select("id", fits("t", 12).alias("fits"), text(truncate("t", 8)).alias("cut"), text(masked_labels("t", F.col("doc_id") % 5)).alias("labels"))
+
+
+# --- files, order, generation -----------------------------------------------------------
+
+
+@_query(
+    """WITH files AS (
+  SELECT '/data/' || source AS corpus_dir, split, kind, CASE WHEN kind = 'ref' THEN 'ref' || (doc_id % 2 + 1)::VARCHAR END AS ref_key,
+         '/data/' || source || '/' || lang || '-' || doc_id::VARCHAR || (CASE WHEN kind = 'orig' THEN '_orig_' ELSE '-ref' || (doc_id % 2 + 1)::VARCHAR || '-' END) || 'x-' || split || '.md' AS path
+  FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'orig' ELSE 'ref' END AS kind, CASE doc_id % 4 WHEN 0 THEN 'dev' WHEN 1 THEN 'test' ELSE 'train' END AS split FROM documents))
+SELECT corpus_dir, split, kind, ref_key, max(path) AS path FROM files GROUP BY ALL"""
+)
+def file_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S2 over file names made of the documents' tags, many for one place, with read-mes among them."""
+    docs = documents(spark, sf_dir).withColumns(
+        {"orig": F.col("doc_id") % 3 == 0, "split": F.when(F.col("doc_id") % 4 == 0, "dev").when(F.col("doc_id") % 4 == 1, "test").otherwise("train"), "ref": (F.col("doc_id") % 2 + 1).cast("string")}
+    )
+    kind = F.when(F.col("orig"), "_orig_").otherwise(F.concat(F.lit("-ref"), "ref", F.lit("-")))
+    name = F.concat("lang", F.lit("-"), F.col("doc_id").cast("string"), kind, F.lit("x-"), "split", F.lit(".md"))
+    files = docs.select(F.concat(F.lit("/data/"), "corpus", F.lit("/"), name).alias("path"))
+    return classify_files(files.union(docs.select(F.concat(F.lit("/data/"), "corpus", F.lit("/ReadMe.md")).alias("path"))))
+
+
+@_query(f"{_CTE} SELECT id, lang, corpus, split, 'ref1' AS ref, md5({_PROMPT}) AS prompt_md5, source, target, 2::BIGINT AS n_messages FROM samples")
+def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples written as JSON lines and read by their schema."""
+    lines = full_samples(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value"))
+    back = lines.select(F.from_json("value", SAMPLE, {"mode": "FAILFAST"}).alias("s")).select("s.*")
+    return back.select("id", "lang", "corpus", "split", "ref", F.md5("prompt").alias("prompt_md5"), "source", "target", F.size("messages").cast("long").alias("n_messages"))
+
+
+@_query(f"{_CTE} SELECT id, row_number() OVER (ORDER BY md5(id || '|42|shuffle'), id) AS position FROM samples")
+def shuffle_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9: every sample's place in a full permutation, without a sort in one task."""
+    return sampling.ranked(line_samples(spark, sf_dir), 42, "shuffle", []).select("id", F.col("__rank").cast("long").alias("position"))
+
+
+@_query(f"{_CTE} SELECT id, lang, source, md5({_PROMPT}) AS prediction_md5 FROM samples")
+def inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D6, J7 and P15 with a generator that echoes its prompt in blanks."""
+
+    def generator() -> Callable[[list[str]], list[str]]:
+        return lambda prompts: [f" \n{p}\t " for p in prompts]
+
+    return pipelines.infer(full_samples(spark, sf_dir), generator).select("id", "lang", "source", F.md5("prediction").alias("prediction_md5"))
+
+
+@_query(r"SELECT doc_id, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS text_md5 FROM documents")
+def text_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P15 over whole documents set in blanks."""
+    docs = documents(spark, sf_dir)
+    return docs.select("doc_id", F.md5(strip(F.concat(F.lit(" \n"), "text", F.lit("\u00a0\t")))).alias("text_md5"))
