@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from glossmill.llm.common import scratch_path, settle
 
 SLOTS = 4096
-#: A slot's rows are numbered in parts of about this many.
-PART_ROWS = 50_000
-MAX_PARTS = 1024
+#: A slot's rows are numbered in parts of about this many, or more where that makes more than PARTS parts in all.
+PART_ROWS = 1000
+PARTS = 1 << 16
 
 
 def balance(slot_bytes: dict[int, int], shards: int) -> dict[int, int]:
@@ -126,14 +126,15 @@ def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, map_p
     version = 1
     slot_shard = balance({r["virtual_slot"]: r["bytes"] for r in stats}, shards)
     stored = store_map(spark, map_path or scratch_path(spark, "slot_map"), slot_shard, version)
-    parts = {r["virtual_slot"]: min(MAX_PARTS, -(-r["n"] // PART_ROWS)) for r in stats}
+    part_rows = max(PART_ROWS, -(-sum(r["n"] for r in stats) // PARTS))
+    parts = {r["virtual_slot"]: -(-r["n"] // part_rows) for r in stats}
     many = {k: v for k, v in parts.items() if v > 1}
     n_parts = F.lit(1)
     if many:
         n_parts = F.coalesce(F.from_json(F.lit(json.dumps({str(k): v for k, v in many.items()})), "map<string,int>")[F.col("virtual_slot").cast("string")], F.lit(1))
     placed = rows.join(F.broadcast(stored.select("virtual_slot", "shard")), "virtual_slot")  # `slots` rows of two ints
     placed = placed.withColumn("part", F.pmod(F.xxhash64("doc_id", "size"), n_parts).cast("int") if many else F.lit(0))
-    # One row per part of a slot: a few thousand, however many documents there are.
+    # One row per part of a slot: at most PARTS + slots, however many documents there are.
     offsets = placed.groupBy("shard", "virtual_slot", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("virtual_slot", "part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = offsets.select("virtual_slot", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
