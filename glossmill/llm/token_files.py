@@ -20,10 +20,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import PIECE_BYTES, scratch_path, settle, shuffle_partitions, single_thread, text_bytes, tokenizer_file, word_pieces
+from glossmill.llm.common import scratch_path, settle, shuffle_partitions, single_thread, text_bytes, tokenizer_file, word_pieces
 
 MAGIC, VERSION = b"GMEF", 1
 _HEADER = struct.Struct("<4sHBxQQQQ")  # magic, version, id bytes, documents, of which without id, ids, Elias-Fano bytes
@@ -32,6 +33,8 @@ SAMPLE = 64
 FILE_IDS = 1 << 24
 END_ID = 2
 REMEMBERED = 1_000_000
+#: Text in work at a time.
+WORK_BYTES = 4 << 20
 #: Words of letters that are encoded as one text.
 JOINED = 500
 END_OF_WORD = "</w>"
@@ -188,37 +191,47 @@ class WordTokenizer:
         found = self._tokenizer.encode_batch_fast([texts[i] for i in single], add_special_tokens=False)
         self._known.update((words[i], np.asarray(e.ids, f"<u{self.width}").tobytes()) for i, e in zip(single, found, strict=True))
 
-    def _packed(self, pieces: list[list[bytes]]) -> list[bytes]:
-        """Packed ids of some lists of words."""
+    def _learn(self, words: list[bytes]) -> None:
+        """Know the ids of all these words."""
         known = self._known
         if len(known) > REMEMBERED:
             known.clear()
-        missing = set().union(*pieces).difference(known)
+        missing = set(words).difference(known)
         ending = {w for w in missing if len(w) > 1 and w[-1] in b".," and 97 <= w[-2] <= 122}
         plain = (missing - ending) | {w[:-1] for w in ending} | {w[-1:] for w in ending}
         self._encode([w for w in plain if w not in known])
         for w in ending:
             known[w] = known[w[:-1]] + known[w[-1:]]
-        return [b"".join(map(known.__getitem__, words)) for words in pieces]
+
+    def _packed(self, texts: list[bytes]) -> list[bytes]:
+        """Packed ids of some texts: their distinct words are looked up once, and laid out by position."""
+        words = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        self._learn(distinct)
+        found = pa.array(map(self._known.__getitem__, distinct), pa.binary(), size=len(distinct)).take(coded.indices)
+        ends = np.frombuffer(found.buffers()[1], np.int32, len(found) + 1)
+        bounds = ends[words.offsets.to_numpy()].tolist()
+        ids = memoryview(found.buffers()[2] or b"")
+        return [bytes(ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def texts(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Packed ids of each text; about a megabyte of text is in work at a time."""
-        held: list[list[bytes]] = []
+        """Packed ids of each text; a few megabytes of text are in work at a time."""
+        held: list[bytes] = []
         size = 0
         for text in texts:
             # Letters before combining marks keep their case: some compose in one case only.
             text = text if b"\xcc" in text or b"\xcd" in text else text.lower()
-            if len(text) > PIECE_BYTES:
-                yield from self._packed(held)
-                held, size = [], 0
-                yield b"".join(self._packed([words])[0] for words in word_pieces(text))
-                continue
-            held.append(text.split())
-            size += len(text)
-            if size > PIECE_BYTES:
+            if size + len(text) > WORK_BYTES and held:
                 yield from self._packed(held)
                 held, size = [], 0
-        yield from self._packed(held)
+            if len(text) > WORK_BYTES:
+                yield b"".join(self._packed([b" ".join(words)])[0] for words in word_pieces(text, WORK_BYTES))
+            else:
+                held.append(text)
+                size += len(text)
+        if held:
+            yield from self._packed(held)
 
 
 @lru_cache(maxsize=2)

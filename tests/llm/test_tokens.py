@@ -49,8 +49,8 @@ def test_long_texts_in_pieces(bpe, exact, monkeypatch):
     words = whole([text])[0]
     for size in (1, 9, 50):
         monkeypatch.setattr(byte_bpe, "PIECE_CHARS", size)
-        monkeypatch.setattr(token_files, "PIECE_BYTES", size)
-        monkeypatch.setattr(token_files, "word_pieces", lambda t, size=size: common.word_pieces(t, size))
+        monkeypatch.setattr(token_files, "WORK_BYTES", size)
+        monkeypatch.setattr(token_files, "word_pieces", lambda t, _, size=size: common.word_pieces(t, size))
         assert bpe.encode(text) == exact.encode_ordinary(text) and len(list(bpe.pieces(text))) > 1
         assert np.frombuffer(next(WordTokenizer(WORDS).texts([text.encode()])), "<u2").tolist() == words
 
