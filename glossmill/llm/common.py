@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import re
 import tempfile
@@ -34,12 +36,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_CLEANED: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, one subfolder per application."""
+    """A fresh path below the shared folder, one subfolder per application; it goes when the driver ends."""
     app = spark.sparkContext.applicationId
+    if app not in _CLEANED:
+        _CLEANED.add(app)
+        atexit.register(_drop_at_exit, spark)
     return f"{shared_dir(spark)}/glossmill-{app}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def _drop_at_exit(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:  # else the session has been stopped
+        with contextlib.suppress(Exception):
+            drop_scratch(spark)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as a Parquet table in the shared folder and read it back.
 
