@@ -41,11 +41,15 @@ def evaluate(predictions: DataFrame, references: DataFrame, seq: str | None = No
     scored = score_matches(match_predictions(predictions, references, seq), composed)
     names = ("exact_match", "edit_distance_similarity", "gleu")
     sums = scored.groupBy("lang").agg(F.count("*").alias("n_matched"), *(F.sum(c).alias(c) for c in names))
-    per = sums.select("lang", F.lit(None).cast("long").alias("n_predictions"), "n_matched", *((F.col(c) / F.col("n_matched")).alias(c) for c in names))
-    n = predictions.agg(F.count("*").alias("n_predictions"))
-    whole = sums.agg(F.coalesce(F.sum("n_matched"), F.lit(0)).alias("n_matched"), *(F.coalesce(F.sum(c) / F.sum("n_matched"), F.lit(0.0)).alias(c) for c in names))
-    overall = whole.crossJoin(n)  # one row each
-    return per.unionByName(overall.withColumn("lang", F.lit(OVERALL)).select(per.columns))
+    # One more row, of no language, brings the count of all predictions into the same small aggregate.
+    none = [F.lit(None).cast("double").alias(c) for c in names]
+    count = predictions.agg(F.count("*").alias("n_predictions")).select(F.lit(None).cast("string").alias("lang"), F.lit(0).cast("long").alias("n_matched"), *none, "n_predictions")
+    rows = sums.withColumn("n_predictions", F.lit(None).cast("long")).unionByName(count)
+    total = [F.sum(c).alias(c) for c in ("n_predictions", "n_matched", *names)]
+    level = rows.groupingSets([[F.col("lang")], []], "lang").agg(F.grouping("lang").alias("__all"), *total).where("__all = 1 OR lang IS NOT NULL")
+    lang = F.when(F.col("__all") == 1, OVERALL).otherwise(F.col("lang")).alias("lang")
+    mean = lambda c: F.when(F.col("n_matched") > 0, F.col(c) / F.col("n_matched")).otherwise(F.lit(0.0)).alias(c)
+    return level.select(lang, "n_predictions", "n_matched", *(mean(c) for c in names))
 
 
 def report(rows: list[dict]) -> dict:
