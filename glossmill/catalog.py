@@ -55,10 +55,10 @@ PUNCTUATION = "[.,;:!?]"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Essays; a scan of fewer partitions than there are cores is dealt out, as the work per row is heavy."""
+    """Essays; a scan of fewer partitions than there are cores is dealt out finely, as the work per row is heavy and uneven."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", F.col("source").alias("corpus"))
     cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    return docs.repartition(4 * cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
 def split_by_id() -> F.Column:

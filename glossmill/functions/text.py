@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 SPACE = r"(?U)[\s\x1c-\x1f]"
 CHRF_MAX_N = 6
 GLEU_MAX_N = 4
+DISTANCE_BANDS = (32, 256)
 
 
 def _col(c: Column | str) -> Column:
@@ -50,8 +51,18 @@ def normalize_text(c: Column | str, composed: bool = False) -> Column:
 
 
 def edit_distance(a: Column | str, b: Column | str) -> Column:
-    """Levenshtein distance in code points."""
-    return F.levenshtein(_col(a), _col(b))
+    """Levenshtein distance in code points.
+
+    Most pairs are close, so narrow bands of the distance table are tried before all of
+    it.  Beyond a band Spark answers -1, whose root is NaN, and `nanvl` goes on to the
+    next only then; each step stands once in the expression, inside generated code.
+    """
+    root = lambda d: F.sqrt(d.cast("double"))
+    a, b = _col(a), _col(b)
+    found = root(F.levenshtein(a, b))
+    for band in reversed(DISTANCE_BANDS):
+        found = F.nanvl(root(F.levenshtein(a, b, band)), found)
+    return F.round(F.pow(found, F.lit(2.0))).cast("int")
 
 
 def edit_distance_similarity(a: Column | str, b: Column | str, distance: Column | None = None) -> Column:

@@ -81,12 +81,16 @@ def running_normalization(scores: DataFrame, lang: str = "lang", seq: str = "seq
     is worked in blocks of seq: block sums first, then a running sum within each block on
     top of all blocks before it, so no task holds a language whole.
     """
+    keys = [lang, "__block"]
+    running = Window.partitionBy(*keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     staged = scores.withColumn("__block", F.floor(F.col(seq) / block_rows))
-    sums = staged.groupBy(lang, "__block").agg(F.count(score).alias("__n0"), F.sum(score).alias("__s0"), F.sum(F.col(score) * F.col(score)).alias("__q0"))
-    before = Window.partitionBy(lang).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(F.col(lang).alias("__lang"), F.col("__block").alias("__b"), *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("__n0", "__s0", "__q0")))
-    running = Window.partitionBy(lang, "__block").orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     staged = staged.withColumns({"__n": F.count(score).over(running), "__s": F.sum(score).over(running), "__q": F.sum(F.col(score) * F.col(score)).over(running)})
+    # A block's last row has its sums.  The whole row is taken, so that both sides read the same
+    # columns of one exchange and the scores are worked out once.
+    ends = staged.groupBy(*keys).agg(F.max_by(F.struct(*staged.columns), "__n").alias("e"))
+    before = Window.partitionBy("__lang").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(F.col(lang).alias("__lang"), F.col("__block").alias("__b"), *(F.col(f"e.{c}").alias(f"{c}0") for c in ("__n", "__s", "__q")))
+    starts = ends.select("__lang", "__b", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("__n0", "__s0", "__q0")))
     staged = staged.join(starts, F.col(lang).eqNullSafe(F.col("__lang")) & (F.col("__block") == F.col("__b")))
     n = F.col("__n0") + F.col("__n")
     mean = (F.col("__s0") + F.col("__s")) / n
