@@ -172,8 +172,9 @@ def chrf_by_join(df: DataFrame, key: str, pred: str, ref: str, max_n: int = CHRF
     hits = grams(pred, "a").join(grams(ref, "b"), [key, "n", "gram"]).groupBy(key, "n").agg(F.sum(F.least("a", "b")).alias("hits"))
     orders = df.select(key, F.length(pred).alias("lp"), F.length(ref).alias("lr"), F.explode(F.sequence(F.lit(1), F.lit(max_n))).alias("n")).where("n <= lp AND n <= lr")
     rated = orders.join(hits, [key, "n"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
-    per = rated.groupBy(key).agg(F.avg(F.col("hits") / (F.col("lp") - F.col("n") + 1)).alias("p"), F.avg(F.col("hits") / (F.col("lr") - F.col("n") + 1)).alias("r"))
-    weight = F.lit(beta * beta)
-    value = F.when(F.col("p") + F.col("r") < 1e-12, F.lit(0.0)).otherwise((1 + weight) * F.col("p") * F.col("r") / (weight * F.col("p") + F.col("r")))
+    share = lambda length: F.avg(F.col("hits") / (F.col(length) - F.col("n") + 1))
+    per = rated.groupBy(key).agg(share("lp").alias("__p"), share("lr").alias("__r"))
+    p, r, weight = F.col("__p"), F.col("__r"), F.lit(beta * beta)
+    value = F.when(p + r < 1e-12, F.lit(0.0)).otherwise((1 + weight) * p * r / (weight * p + r))
     empty = F.when((F.length(pred) == 0) & (F.length(ref) == 0), F.lit(1.0)).otherwise(F.lit(0.0))
     return df.join(per, key, "left").select(key, F.coalesce(value, empty).alias("chrf"))
