@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.functions.scoring import format_gate, language_of, weights, with_score
+from glossmill.functions.scoring import DATA_SOURCE_PREFIX, format_gate, language_of, weights, with_score
 from glossmill.functions.text import chrf, edit_distance_similarity, normalize_text, strip, with_gleu, word_ngrams, words
 from glossmill.functions.tokens import fits, masked_labels, truncate
 from glossmill.operators import analyze, evaluate, sampling
@@ -309,11 +309,11 @@ def running_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("id", "lang", "seq", F.round("normalized", 4).alias("normalized"))
 
 
-@_query("SELECT DISTINCT lang || '_' || source AS data_source, lang || '_' || source AS lang FROM documents UNION SELECT DISTINCT 'multigec_' || lang, lang FROM documents")
+@_query("SELECT DISTINCT lang || '_' || source AS data_source, lang || '_' || source AS lang FROM documents UNION SELECT DISTINCT '" + DATA_SOURCE_PREFIX + "' || lang, lang FROM documents")
 def data_source_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P12 over prefixed and other names."""
     docs = documents(spark, sf_dir)
-    names = docs.select(F.concat(F.lit("multigec_"), "lang").alias("data_source")).union(docs.select(F.concat_ws("_", "lang", "corpus"))).distinct()
+    names = docs.select(F.concat(F.lit(DATA_SOURCE_PREFIX), "lang").alias("data_source")).union(docs.select(F.concat_ws("_", "lang", "corpus"))).distinct()
     return names.select("data_source", language_of("data_source").alias("lang"))
 
 
@@ -575,13 +575,13 @@ def _rl(records: DataFrame, split: F.Column) -> DataFrame:
     )
 
 
-@_query(_rl_sql("'multigec_' || lang", "NULL::VARCHAR"))
+@_query(_rl_sql(f"'{DATA_SOURCE_PREFIX}' || lang", "NULL::VARCHAR"))
 def rl_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S9, flattened."""
     return _rl(rl_records(full_samples(spark, sf_dir)), F.lit(None).cast("string"))
 
 
-@_query(_rl_sql("'multigec_' || lang || '_' || corpus", "split"))
+@_query(_rl_sql(f"'{DATA_SOURCE_PREFIX}' || lang || '_' || corpus", "split"))
 def rl_export_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S7, flattened."""
     return _rl(rl_records(full_samples(spark, sf_dir), with_split=True), F.col("extra_info.split"))

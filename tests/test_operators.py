@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glossmill.functions import noise
+from glossmill.functions.scoring import DATA_SOURCE_PREFIX
 from glossmill.functions.tokens import fits, masked_labels, truncate
 from glossmill.operators import analyze, evaluate, sampling
 from glossmill.operators.samples import (
@@ -57,9 +58,9 @@ def test_records(spark):
     s = make(spark, 2)
     assert sft_records(s).columns == ["messages", "lang", "id"]
     r = rl_records(s).first()
-    assert r["data_source"] == "multigec_en" and r["reward_model"]["style"] == "rule" and "split" not in r["extra_info"].asDict()
+    assert r["data_source"] == DATA_SOURCE_PREFIX + "en" and r["reward_model"]["style"] == "rule" and "split" not in r["extra_info"].asDict()
     r = rl_records(s, with_split=True).first()
-    assert r["data_source"] == "multigec_en_c" and r["extra_info"]["split"] == "train"
+    assert r["data_source"] == DATA_SOURCE_PREFIX + "en_c" and r["extra_info"]["split"] == "train"
 
 
 def test_records_round_trip(spark, tmp_path):

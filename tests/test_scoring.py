@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glossmill.functions import scoring
-from glossmill.functions.scoring import FORMAT_FAIL_SCORE, compute_score, format_gate, language_of, score_value, sigmoid, weights, with_score
+from glossmill.functions.scoring import DATA_SOURCE_PREFIX, FORMAT_FAIL_SCORE, compute_score, format_gate, language_of, score_value, sigmoid, weights, with_score
 
 LONG = "She said that he will correct the grammatical errors in the following week and then go home."
 
@@ -74,15 +74,15 @@ def test_score_order_and_parts(spark):
 
 
 def test_compute_score_by_name():
-    assert compute_score("multigec_en", "a b", "a b", {"source": None}) == 1.0
-    assert compute_score("multigec_en", "", "a b", None) == FORMAT_FAIL_SCORE
+    assert compute_score(DATA_SOURCE_PREFIX + "en", "a b", "a b", {"source": None}) == 1.0
+    assert compute_score(DATA_SOURCE_PREFIX + "en", "", "a b", None) == FORMAT_FAIL_SCORE
     late, early = (compute_score("x", "I am happy today", "I am happy", {"source": "completely other text"}, p) for p in (1.0, 0.0))
     assert late > early
 
 
 def test_language_of(spark):
-    df = spark.createDataFrame([("multigec_cs_NatForm",), ("multigec_en",), ("other",), ("multigec_multigec_x",)], "d string")
-    assert [r[0] for r in df.select(language_of("d")).collect()] == ["cs_NatForm", "en", "other", "multigec_x"]
+    df = spark.createDataFrame([(DATA_SOURCE_PREFIX + "cs_NatForm",), (DATA_SOURCE_PREFIX + "en",), ("other",), (2 * DATA_SOURCE_PREFIX + "x",)], "d string")
+    assert [r[0] for r in df.select(language_of("d")).collect()] == ["cs_NatForm", "en", "other", DATA_SOURCE_PREFIX + "x"]
 
 
 def test_sql_functions(spark):

@@ -3,6 +3,7 @@ import json
 import pytest
 
 from glossmill.__main__ import main
+from glossmill.functions.scoring import DATA_SOURCE_PREFIX
 from glossmill.plans import pipelines
 from glossmill.schemas import SAMPLE
 from glossmill.sources import files
@@ -58,10 +59,10 @@ def test_build_augment_analyze_prepare(spark, corpora, tmp_path, capsys):
     out = str(tmp_path / "out")
     counts = {(r["lang"], r["corpus"], r["split"]): r["n"] for r in pipelines.build_dataset(spark, corpora, out).collect()}
     assert counts[("en", "Alpha", "train")] == 4 and counts[("de", "Beta", "dev")] == 1 and counts[(None, None, None)] == 5
-    train = f"{out}/multigec_train.jsonl"
+    train = f"{out}/{DATA_SOURCE_PREFIX}train.jsonl"
     samples = {(r["ref"], r["source"]): r["target"] for r in files.read_jsonl(spark, train, SAMPLE).collect()}
     assert samples[("ref1", "She are sad.")] == "She is sad." and samples[("ref2", "I is happy.")] == "I'm happy." and samples[("ref1", "New body here.")] == "New body there."
-    assert spark.read.parquet(f"{out}/multigec_dev.parquet").first()["extra_info"]["split"] == "dev"
+    assert spark.read.parquet(f"{out}/{DATA_SOURCE_PREFIX}dev.parquet").first()["extra_info"]["split"] == "dev"
 
     augmented = str(tmp_path / "augmented")
     main(["augment", "--input", train, "--output", augmented, "--identity-ratio", "0.5", "--noise-ratio", "0.5"])
