@@ -26,6 +26,8 @@ HIDDEN = 16
 HALF = 256
 #: Labelled rows the network learns from: the first by a hash of doc_id.
 SAMPLE_ROWS = 6000
+#: Longer labelled texts are scored like all others but not learned from, as the sample is in driver memory.
+LEARN_CHARS = 200_000
 EPOCHS = 12
 #: Few rows are gone over more often, up to this many steps in all.
 LEAST_STEPS = 1500
@@ -229,14 +231,15 @@ def train(texts: list[bytes], good: np.ndarray, epochs: int = EPOCHS, seed: int
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> QualityNet:
-    """Train on at most `sample_rows` labelled rows outside the held-out part, in driver memory.
+    """Train on at most `sample_rows` labelled rows outside the held-out part, of `LEARN_CHARS` characters at most.
 
     Only the text is an input.  Labels that are null or of unknown documents are left out.
     """
     single_thread()
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "quality")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows)
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "text", "quality").limit(sample_rows)
+    texts = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= LEARN_CHARS)
+    found = texts.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "text", "quality").limit(sample_rows)
     rows = found.collect()
     return train([(r["text"] or "").encode() for r in rows], np.asarray([r["quality"] == 1 for r in rows], bool))
 

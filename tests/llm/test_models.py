@@ -155,7 +155,7 @@ def test_languages_held_out(spark):
 
 
 def test_languages_odd_rows(spark, make_docs, odd_texts):
-    rows = [(i, t, ("en", "de", None)[i % 3], None) for i, t in enumerate(odd_texts)] + [(None, "12 34 ..", "en", None), (50, "", None, None), (51, "4711 !", "en", None)]
+    rows = [(i, t, ("en", "de", None)[i % 3], None) for i, t in enumerate(odd_texts)] + [(None, "12 34 ..", "en", None), (50, "", None, None), (51, "4711 !", "en", None), (52, "² Ⅷ ½", None, None)]
     docs = make_docs(rows)
     model = language_id.fit(docs)
     got = language_id.identify(docs, model).collect()
