@@ -13,9 +13,6 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word is a run of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
 #: Stands for a null doc_id where a key must compare; sorts before every id.
 NO_ID = -(2**63)
 
@@ -85,6 +82,17 @@ def fresh_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def count_words(text: str = "text") -> Column:
+    """Number of words of a text column, a null as none.
+
+    Each word becomes one character with the white space around it, so no array of
+    words is built.
+    """
+    space, other = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+    count = F.length(F.regexp_replace(text, f"{space}*{other}+{space}*", "x"))
+    return F.when(F.col(text).rlike(other), count).otherwise(F.lit(0)).cast("long")
+
+
 def fold_of(doc_id: Column | str = "doc_id") -> Column:
     """crc32 of the id as text, mod 4; 2 is the held-out part.  A null id gives null."""
     id_ = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import NO_ID, WORD, fresh_names, settle
+from glossmill.llm.common import NO_ID, count_words, fresh_names, settle
 
 MAX_REPEAT = 3
 FAN_IN = 128
@@ -160,7 +160,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repea
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             "source",
-            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            count_words().alias("size"),
             F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0)).cast("long").alias("salt"),
         ),
         "words",
@@ -206,10 +206,9 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """
     plan = mix_sources(docs, **settings)
     id_, source, size, n, copies, copy = fresh_names(docs, "id", "source_key", "size", "n", "copies", "copy")
-    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     whole_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     rank = F.row_number().over(Window.partitionBy(id_).orderBy(F.col(source).asc_nulls_last(), size))
-    left = docs.withColumns({id_: whole_id, source: F.col("source"), size: words}).withColumn(n, rank)
+    left = docs.withColumns({id_: whole_id, source: F.col("source"), size: count_words()}).withColumn(n, rank)
     right = plan.select(whole_id.alias(id_), F.col("source").alias(source), F.col("size").alias(size), F.col("copies").alias(copies))
     right = right.withColumn(n, rank).select(id_, n, copies)
     repeated = left.join(right, [id_, n]).where(F.col(copies) > 0)

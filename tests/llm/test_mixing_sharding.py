@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from glossmill.llm.common import count_words
 from glossmill.llm.mixing import mix_sources, mixed_documents
 from glossmill.llm.sharding import balance, load_map, rebalance, shard_documents, store_map
 
@@ -79,6 +80,15 @@ def test_odd_rows(make_docs, odd_texts):
     assert Counter(r["doc_id"] for r in out.collect()) == Counter(r["doc_id"] for r in got for _ in range(r["copies"]))
 
 
+def test_word_counts(make_docs, odd_texts):
+    import re
+
+    texts = odd_texts + [" a", "a ", " a  b\n\tc \r\n", "\x0b\x0c", "a\u00a0b \x85 c", "\x1ca"]
+    docs = make_docs(texts)
+    got = {r["doc_id"]: r["n"] for r in docs.select("doc_id", count_words().alias("n")).collect()}
+    assert got == {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in enumerate(texts)}
+
+
 def test_nothing_to_mix(make_docs):
     assert mix_sources(make_docs([])).count() == 0 and mixed_documents(make_docs([])).count() == 0
     wordless = mix_sources(make_docs([(1, "", "en", "a"), (2, None, "en", None)])).collect()
