@@ -3,7 +3,7 @@ from collections import Counter
 
 import corpus_pipeline
 from glossmill.llm import byte_bpe, exact_dedup, mixing, quality_rules, queries, simhash
-from glossmill.llm.common import settle, table
+from glossmill.llm.common import settle, table, tokenizer_file
 
 DIR = "/root/testdata/sf0.001"
 
@@ -12,7 +12,6 @@ def test_stages_against_their_operators(spark):
     docs = table(spark, DIR, "documents")
     columns = docs.columns
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_dedup", "simhash_near_dedup", "mixing", "byte_bpe"]
-    stages = dict(corpus_pipeline.STAGES)
     seen = {}
     for name, f in corpus_pipeline.STAGES:
         seen[name] = docs
@@ -37,7 +36,7 @@ def test_stages_against_their_operators(spark):
     assert Counter(r["doc_id"] for r in seen["byte_bpe"].collect()) == Counter({d: c for d, c in copies.items() if c})
 
     texts = {r["doc_id"]: r["text"] for r in seen["byte_bpe"].collect()}
-    bpe = byte_bpe.ByteBPE(queries.table and byte_bpe.tokenizer_file("byte_bpe_multi_50k.tiktoken"))
+    bpe = byte_bpe.ByteBPE(tokenizer_file("byte_bpe_multi_50k.tiktoken"))
     rows = docs.collect()
     assert len(rows) == sum(copies.values())
     for r in rows:
@@ -45,7 +44,7 @@ def test_stages_against_their_operators(spark):
 
     again = corpus_pipeline.run(spark, DIR)
     assert sorted((r["doc_id"], r["ids_sha256"]) for r in again.collect()) == sorted((r["doc_id"], r["ids_sha256"]) for r in rows)
-    assert stages and corpus_pipeline.ORACLE_SQL is None
+    assert corpus_pipeline.ORACLE_SQL is None
 
 
 def test_stages_take_odd_and_empty_tables(spark, make_docs, odd_texts):
