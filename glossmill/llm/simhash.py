@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmill.llm.common import NO_ID, fresh_names, settle, shuffle_partitions, text_bytes, word_pieces
+from glossmill.llm.exact_dedup import content_digest
 from glossmill.llm.graph import components
 
 BITS = 64
@@ -69,15 +70,17 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each whole text as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, digests: bool = False) -> DataFrame:
+    """(doc_id, fp): the fingerprint of each whole text as a signed 64-bit integer; with its digest if asked for."""
+    carried = ["digest"] if digests else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = np.fromiter((fingerprint(t, shingle) for t in text_bytes(batch.column("text"))), np.uint64, batch.num_rows)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(marks.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(marks.view(np.int64)), *map(batch.column, carried)], names=["doc_id", "fp", *carried])
 
-    return docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(content_digest().alias(c) for c in carried))
+    return source.mapInArrow(run, ", ".join(["doc_id long", "fp long", *(f"{c} binary" for c in carried)]))
 
 
 class _Union:
@@ -186,13 +189,16 @@ def near_links(marks: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_components(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, component_id) per distinct fingerprint of (doc_id, fp); the id is the smallest doc_id reachable."""
+    """(fp, root, component_id) per distinct fingerprint of (doc_id, fp).
+
+    The root, a fingerprint, tells components apart; the id is the smallest doc_id reachable.
+    """
     marks = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     marks = settle(marks, "marks")
     roots = components(near_links(marks, radius)).select(F.col("node").alias("fp"), "root")
     grouped = settle(marks.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    return grouped.join(least, "root").select("fp", "component_id")
+    return grouped.join(least, "root").select("fp", "root", "component_id")
 
 
 def near_dedup(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -208,17 +214,18 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) ->
 
 
 def drop_near_copies(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of `docs` with the smallest doc_id of each component, with their columns.
+    """One row of `docs` for each component, with its columns: a row with the smallest doc_id.
 
-    Rows whose id is null stay only where their component has no id; of rows that share
-    the surviving id one stays.
+    Rows whose id is null stay only where their component has no id.  Of rows that tie on
+    the id the smallest text digest stays; of rows that tie on both, one.
     """
-    key, order, n = fresh_names(docs, "key", "order", "n")
+    digest, key, order, n = fresh_names(docs, "digest", "key", "order", "n")
     id_: Column = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    rows = settle(fingerprints(docs, shingle), "fingerprints")
+    rows = settle(fingerprints(docs, shingle, digests=True), "fingerprints")
     found = rows.join(near_components(rows, radius), "fp")
-    # An id that stands in several rows may also lie in several components; it stays if it leads one.
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_.alias(key)).distinct()
-    once = Window.partitionBy(key).orderBy(order)
-    survivors = docs.withColumn(key, id_).join(keep, key, "left_semi").withColumn(order, F.xxhash64(*docs.columns))
+    leading = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id").agg(F.min("digest").alias("digest"))
+    # A digest lies in one component only, so (digest, id) names one row a component, wherever its id stands besides.
+    keep = leading.select(F.col("digest").alias(digest), id_.alias(key))
+    once = Window.partitionBy(digest, key).orderBy(order)
+    survivors = docs.withColumns({digest: content_digest(), key: id_}).join(keep, [digest, key], "left_semi").withColumn(order, F.xxhash64(*docs.columns))
     return survivors.withColumn(n, F.row_number().over(once)).where(F.col(n) == 1).select(*docs.columns)

@@ -106,6 +106,17 @@ def test_repeated_and_missing_ids(spark, make_docs):
     assert sorted((str(r["doc_id"]), r["text"]) for r in drop_near_copies(docs).collect())[0] == ("7", "a b c")
 
 
+def test_one_row_survives_each_component(spark, make_docs):
+    texts = ["a b c", "d e f", "g h i j", "k l m"]
+    rows = [(None, t, "en", "s") for t in texts] + [(None, "a b c", "en", "t"), (5, "n o p", "en", "s"), (5, "q r s", "en", "s"), (None, "q r s", "en", "s"), (6, "q r s", "en", "s")]
+    docs = make_docs(rows).repartition(5)
+    assert len({fingerprint(t.encode()) for _, t, *_ in rows}) == 6
+    out = drop_near_copies(docs)
+    assert out.columns == docs.columns
+    wanted = [(None, t) for t in texts] + [(5, "n o p"), (5, "q r s")]
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted(wanted, key=str)
+
+
 def test_empty(make_docs):
     assert near_dedup(make_docs([])).count() == 0 and drop_near_copies(make_docs([])).count() == 0
 
