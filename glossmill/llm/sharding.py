@@ -87,6 +87,32 @@ def load_map(spark: SparkSession, path: str, version: int) -> DataFrame:
     return rows.select(F.lit(version).alias("version"), "virtual_slot", "shard")
 
 
+def map_versions(spark: SparkSession, path: str) -> list[tuple[int, bool]]:
+    """(version, whether its rows are there) of the maps below `path`, oldest first; a broken-off write leaves no rows."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    found = []
+    for entry in files.listStatus(folder):
+        name, _, number = entry.getPath().getName().partition("=")
+        if name == "version" and number.isdigit():
+            found.append((int(number), any(f.getPath().getName().endswith(".parquet") for f in files.listStatus(entry.getPath()))))
+    return sorted(found)
+
+
+def next_map(spark: SparkSession, path: str | None, slot_bytes: dict[int, int], shards: int) -> tuple[dict[int, int], int]:
+    """The map to store next and its version: the latest one below `path`, edited, or else a balanced one."""
+    versions = map_versions(spark, path) if path else []
+    version = versions[-1][0] + 1 if versions else 1
+    stored = [v for v, there in versions if there]
+    if not stored:
+        return balance(slot_bytes, shards), version
+    current = {r["virtual_slot"]: r["shard"] for r in load_map(spark, path, stored[-1]).collect()}  # at most `slots` rows
+    # Slots the map doesn't have yet are of no shard, so they are dealt like those of a shard that is gone.
+    return rebalance(dict.fromkeys(slot_bytes, -1) | current, slot_bytes, shards), version
+
+
 def slotted(docs: DataFrame, shards: int, slots: int) -> DataFrame:
     """(doc_id, size, text_crc32, virtual_slot), written once as a compact table."""
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -119,12 +145,14 @@ def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, map_p
     gaps, by virtual slot, then a part of it, then doc_id.  Equal texts share a shard
     unless together they exceed a fair share.  Repeated rows are placed one by one,
     a null doc_id sorts first, an empty table gives an empty result and an empty map.
+
+    Where `map_path` holds maps already, the latest is edited by `rebalance` and stored as
+    the next version; `slots` must be what it was.
     """
     spark = docs.sparkSession
     rows = slotted(docs, shards, slots)
     stats = rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()  # at most `slots` rows
-    version = 1
-    slot_shard = balance({r["virtual_slot"]: r["bytes"] for r in stats}, shards)
+    slot_shard, version = next_map(spark, map_path, {r["virtual_slot"]: r["bytes"] for r in stats}, shards)
     stored = store_map(spark, map_path or scratch_path(spark, "slot_map"), slot_shard, version)
     part_rows = max(PART_ROWS, -(-sum(r["n"] for r in stats) // PARTS))
     parts = {r["virtual_slot"]: -(-r["n"] // part_rows) for r in stats}

@@ -160,3 +160,21 @@ def test_no_python_in_native_operators(make_docs):
     for df in (mix_sources(docs), mixed_documents(docs), shard_documents(docs)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "CartesianProduct"))
+
+
+def test_a_stored_map_is_edited(spark, make_docs, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, "x" * rng.randint(1, 200) + str(i), "en", "s") for i in range(600)]
+    path = str(tmp_path / "map")
+    shard_documents(make_docs(rows[:400]), shards=4, slots=64, map_path=path).count()
+    first = {r["virtual_slot"]: r["shard"] for r in load_map(spark, path, 1).collect()}
+    (tmp_path / "map" / "version=2" / "_temporary").mkdir(parents=True)  # a write that was broken off
+    got = shard_documents(make_docs(rows), shards=5, slots=64, map_path=path).collect()
+    second = {r["virtual_slot"]: r["shard"] for r in load_map(spark, path, 3).collect()}
+    sizes = Counter()
+    for r in got:
+        sizes[r["virtual_slot"]] += r["size"]
+    assert len(got) == 600 and {r["map_version"] for r in got} == {3} and all(second[r["virtual_slot"]] == r["shard"] for r in got)
+    assert second == rebalance(dict.fromkeys(sizes, -1) | first, sizes, 5)
+    assert {r["virtual_slot"]: r["shard"] for r in load_map(spark, path, 1).collect()} == first
+    assert set(second.values()) == set(range(5)) and sum(second[s] != first[s] for s in first) < len(first) / 2
