@@ -13,8 +13,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Stands for a null doc_id where a key must compare; sorts before every id.
-NO_ID = -(2**63)
+#: A key with more than one in so many of all rows is hot; fewer than this many keys can be.
+HOT = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir`.
 
-    Only where the session names none (tests, a laptop) a temporary one is set.
+    Only a local session that names none (tests, a laptop) gets a temporary one; on a
+    cluster a folder of the driver's own would be lost to the executors, so that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="glossmill-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -70,6 +73,24 @@ def drop_scratch(spark: SparkSession) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def id_key(doc_id: Column | str = "doc_id") -> Column:
+    """A key that is equal for equal ids, and for null ids like no number's."""
+    id_ = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.coalesce(id_.cast("long").cast("string"), F.lit(""))
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """`rows` joined with `facts`, which has one row a key and how many of `total` rows have it.
+
+    A hot key's rows stay where they are: its fact is broadcast, and fewer than `HOT`
+    keys can have more than one in `HOT` of the rows.  All others are joined by shuffle.
+    """
+    hot = F.col(count) * HOT > F.lit(total)
+    few = F.broadcast(facts.where(hot))
+    rest = rows.join(F.broadcast(facts.where(hot).select(key)), key, "left_anti")
+    return rows.join(few, key).unionByName(rest.join(facts.where(~hot), key))
+
+
 def fresh_names(df: DataFrame, *names: str) -> list[str]:
     """Column names like those given that `df` doesn't have, whatever the case."""
     taken = {c.lower() for c in df.columns}

@@ -13,12 +13,13 @@ those records the same way.  Only (doc_id, digest) rows move, never texts.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import NO_ID, fresh_names, settle, shuffle_partitions
+from glossmill.llm.common import fresh_names, id_key, join_facts, settle, shuffle_partitions
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -136,34 +137,38 @@ class CuckooIndex:
 GROUP = "digest binary, keep_id long, keep_row long, group_size long"
 _GROUP_ARROW = pa.schema([("digest", pa.binary()), ("keep_id", pa.int64()), ("keep_row", pa.int64()), ("group_size", pa.int64())])
 EMIT_ROWS = 20_000
+#: Live digests a task holds; beyond it the index is emitted and starts anew.
+LIVE = 200_000
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _emit(index: CuckooIndex) -> Iterator[pa.RecordBatch]:
+    live = index.items()
+    while rows := [(digest, doc, row, n) for digest, (_, row, doc, n) in islice(live, EMIT_ROWS)]:
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _GROUP_ARROW, strict=True)], schema=_GROUP_ARROW)
+
+
+def _fold(batches: Iterator[pa.RecordBatch], live: int = LIVE) -> Iterator[pa.RecordBatch]:
     """Records of equal digest become one; the live record is the one with the largest id.
 
     A record that outranks the live one deletes it from the index and takes its place.
+    The index is emitted when it holds `live` digests and another digest comes up, so of
+    rows sorted by digest every digest still gives one record.
     """
-    index = CuckooIndex()
+    index, last = CuckooIndex(), None
     for batch in batches:
         for digest, doc, row, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            rank = (NO_ID if doc is None else doc, row)
-            live = index.get(digest)
-            if live is None:
-                index.insert(digest, (*rank, doc, n))
-            elif rank > live[:2]:
-                index.delete(digest)
-                index.insert(digest, (*rank, doc, n + live[3]))
+            if digest != last and len(index) >= live:
+                yield from _emit(index)
+                index = CuckooIndex()
+            last = digest
+            rank = (doc is not None, doc or 0, row)
+            known = index.get(digest)
+            if known is None:
+                index.insert(digest, (rank, row, doc, n))
             else:
                 index.delete(digest)
-                index.insert(digest, (*live[:3], n + live[3]))
-    rows: list[tuple] = []
-    for digest, (_, row, doc, n) in index.items():
-        rows.append((digest, doc, row, n))
-        if len(rows) == EMIT_ROWS:
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _GROUP_ARROW, strict=True)], schema=_GROUP_ARROW)
-            rows = []
-    if rows:
-        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _GROUP_ARROW, strict=True)], schema=_GROUP_ARROW)
+                index.insert(digest, (rank, row, doc, n + known[3]) if rank > known[0] else (*known[:3], n + known[3]))
+    yield from _emit(index)
 
 
 def content_digest(text="text"):
@@ -175,24 +180,24 @@ def content_groups(digests: DataFrame) -> DataFrame:
     """One row per distinct digest of (digest, doc_id, row_no): who stays, and how many there are."""
     spark = digests.sparkSession
     records = digests.select("digest", F.col("doc_id").cast("long").alias("keep_id"), F.col("row_no").alias("keep_row"), F.lit(1).cast("long").alias("group_size"))
-    combined = records.mapInArrow(_fold, GROUP)
-    return combined.repartition(shuffle_partitions(spark), "digest").mapInArrow(_fold, GROUP)
+    combined = records.mapInArrow(_fold, GROUP).repartition(shuffle_partitions(spark), "digest")
+    return combined.sortWithinPartitions("digest").mapInArrow(_fold, GROUP)
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Rows with identical texts form a group; null counts as empty.  The row with the
-    largest doc_id stays (null sorts below every id); of repeated rows that tie on
-    doc_id exactly one stays.  Columns besides doc_id and text are ignored, an empty
-    table gives an empty result.
+    Rows with identical texts form a group; null counts as empty.  Whole texts count,
+    however long.  The row with the largest doc_id stays (null sorts below every id); of
+    repeated rows that tie on doc_id exactly one stays.  Columns besides doc_id and text
+    are ignored, whatever their names; an empty table gives an empty result.
     """
     rows = settle(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), content_digest().alias("digest"), F.monotonically_increasing_id().alias("row_no")),
         "digests",
     )
-    groups = content_groups(rows)
-    return rows.join(groups, "digest").select(
+    groups = settle(content_groups(rows), "groups")
+    return join_facts(rows, groups, "digest", "group_size", rows.count()).select(
         "doc_id",
         "keep_id",
         "group_size",
@@ -206,11 +211,13 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
 
     Copies are found by `content_groups`.  Survivors are picked by (digest, doc_id),
     which spreads the copies of one text over the tasks; of rows repeated whole one stays.
+    Null texts count as empty, null ids as below every number; columns of any names are
+    carried, and an empty table gives none.
     """
     digest, key, order, n = fresh_names(docs, "digest", "key", "order", "n")
-    keyed = docs.withColumns({digest: content_digest(), key: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))})
+    keyed = docs.withColumns({digest: content_digest(), key: id_key()})
     rows = settle(keyed.select(F.col("doc_id"), F.col(digest).alias("digest"), F.monotonically_increasing_id().alias("row_no")), "digests")
-    keep = content_groups(rows).select(F.col("digest").alias(digest), F.coalesce("keep_id", F.lit(NO_ID)).alias(key))
+    keep = content_groups(rows).select(F.col("digest").alias(digest), id_key("keep_id").alias(key))
     once = Window.partitionBy(digest, key).orderBy(order)
     survivors = keyed.join(keep, [digest, key], "left_semi").withColumn(order, F.xxhash64(*docs.columns))
     return survivors.withColumn(n, F.row_number().over(once)).where(F.col(n) == 1).select(*docs.columns)

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import NO_ID, count_words, fresh_names, settle
+from glossmill.llm.common import count_words, fresh_names, id_key, settle
 
 MAX_REPEAT = 3
 FAN_IN = 128
@@ -35,27 +35,42 @@ WEIGHTS = (1.0, 2.0, 3.0)
 _ITEM = "struct<id:long,size:long,base:long,p:double,salt:long>"
 
 
+def _turns(per: DataFrame, turns: int) -> DataFrame:
+    """Add `turn`, 0 .. turns - 1 in rotation over the sources by code point, null last.
+
+    Sorted sources are numbered within their partitions and partitions by their sizes,
+    so no task holds all sources.
+    """
+    placed = settle(per.orderBy(F.col("source").asc_nulls_last()).withColumn("place", F.monotonically_increasing_id()), "sources")
+    part = F.shiftright("place", 33)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    starts = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    within = F.col("place").bitwiseAND((1 << 33) - 1)
+    return placed.withColumn("part", part).join(F.broadcast(starts), "part").withColumn("turn", (F.col("first") + within) % turns).drop("part", "place", "first")
+
+
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: float = MAX_REPEAT) -> DataFrame:
     """(source, source_size, rows, target) from (source, size).
 
     Weights repeat over the sources in code-point order, null last.  Targets share all
     words by weight but stop at `max_repeat` times the source; what is cut is shared
-    again by weight until none is above.  That fixed point is min(cap, level * weight)
-    with one common level, found from running sums over sources by cap / weight.
+    again by weight until none is above.  A target is min(cap, level * weight) with one
+    common level, which rises from round to round until no further source is capped.
     """
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
-    turn = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
-    per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (turn + 1).cast("int")))
-    per = per.withColumns({"cap": F.lit(float(max_repeat)) * F.col("source_size")}).withColumn("fill", F.col("cap") / F.col("weight"))
-    by_fill = Window.orderBy("fill", F.col("source").asc_nulls_last())
-    lower = by_fill.rowsBetween(Window.unboundedPreceding, -1)
-    upper = by_fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    per = per.withColumn("total", F.sum("source_size").over(whole))
-    per = per.withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(lower), F.lit(0.0))) / F.sum("weight").over(upper))
-    per = per.withColumn("level", F.min(F.when(F.col("level") <= F.col("fill"), F.struct("fill", "level"))).over(whole)["level"])
-    target = F.least("cap", F.coalesce("level", F.lit(0.0)) * F.col("weight"))
-    return per.select("source", "source_size", "rows", target.alias("target"))
+    per = _turns(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), len(weights))
+    per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("turn") + 1).cast("int")))
+    per = settle(per.withColumn("cap", F.lit(float(max_repeat)) * F.col("source_size")), "weighted_sources")
+    total = per.agg(F.sum("source_size")).first()[0] or 0
+    level, before = 0.0, -1.0
+    while level != before:
+        capped = F.col("cap") <= F.lit(level) * F.col("weight")
+        cut, free = per.agg(F.sum(F.when(capped, F.col("cap")).otherwise(0.0)), F.sum(F.when(capped, 0.0).otherwise(F.col("weight")))).first()
+        level, before = ((total - cut) / free if free else level), level
+    return per.select("source", "source_size", "rows", F.least("cap", F.lit(level) * F.col("weight")).alias("target"))
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def _uniform(*keys: Column) -> Column:
@@ -148,20 +163,22 @@ def _blocked(items: DataFrame, rows: Column, seed: int) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = 42) -> DataFrame:
-    """Per row: doc_id, size, source_size, target, taken, source, copies.
+    """Per row: doc_id, size, source_size, target, taken, source, copies, text_hash.
 
     `copies` is how often the mix repeats the whole document; `taken` is copies * size.
     A text without words (or null) has size 0 and follows the same expected copies on
-    its own.  Null sources are a source, sorted last.  Repeated rows are rounded one by
-    one, rows without doc_id are told apart by their place in the input.  An empty
-    table, or one without any word, gives target 0 and takes nothing.
+    its own.  Very long texts are counted whole.  Null sources are a source, sorted last.
+    Rows that share a doc_id or have none are told apart by their text's hash, so reruns
+    agree under any partitioning; rows alike in all of it are rounded one by one.  Extra
+    columns are ignored, whatever their names.  An empty table, or one without any word,
+    gives target 0 and takes nothing.
     """
     sized = settle(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             "source",
             count_words().alias("size"),
-            F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0)).cast("long").alias("salt"),
+            _text_hash().alias("salt"),
         ),
         "words",
     )
@@ -195,21 +212,23 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repea
         every = every.unionByName(part)
     copies = (F.col("base") + F.col("p")).cast("long")
     return every.join(known, F.col("source").eqNullSafe(F.col("name"))).select(
-        F.col("id").alias("doc_id"), "size", "source_size", "target", (copies * F.col("size")).alias("taken"), "source", copies.alias("copies")
+        F.col("id").alias("doc_id"), "size", "source_size", "target", (copies * F.col("size")).alias("taken"), "source", copies.alias("copies"), F.col("salt").alias("text_hash")
     )
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
-    """The mix itself: every row of `docs` as often as `mix_sources` says.
+    """The mix itself: every row of `docs` as often as `mix_sources` says, with its columns.
 
-    Rows are matched by doc_id and, where ids repeat, by their rank among rows of that id.
+    Rows are matched by doc_id and text hash, and where both repeat by their rank among
+    rows of that id and text, which are interchangeable within a source.  Null ids and
+    texts, ties, empty tables and odd column names are as in `mix_sources`; a very long
+    text moves once.
     """
     plan = mix_sources(docs, **settings)
-    id_, source, size, n, copies, copy = fresh_names(docs, "id", "source_key", "size", "n", "copies", "copy")
-    whole_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    rank = F.row_number().over(Window.partitionBy(id_).orderBy(F.col(source).asc_nulls_last(), size))
-    left = docs.withColumns({id_: whole_id, source: F.col("source"), size: count_words()}).withColumn(n, rank)
-    right = plan.select(whole_id.alias(id_), F.col("source").alias(source), F.col("size").alias(size), F.col("copies").alias(copies))
-    right = right.withColumn(n, rank).select(id_, n, copies)
-    repeated = left.join(right, [id_, n]).where(F.col(copies) > 0)
+    id_, text, source, n, copies, copy = fresh_names(docs, "id", "text_hash", "source_key", "n", "copies", "copy")
+    rank = F.row_number().over(Window.partitionBy(id_, text).orderBy(F.col(source).asc_nulls_last()))
+    left = docs.withColumns({id_: id_key(), text: _text_hash(), source: F.col("source")}).withColumn(n, rank)
+    right = plan.select(id_key().alias(id_), F.col("text_hash").alias(text), F.col("source").alias(source), F.col("copies").alias(copies))
+    right = right.withColumn(n, rank).select(id_, text, n, copies)
+    repeated = left.join(right, [id_, text, n]).where(F.col(copies) > 0)
     return repeated.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)

