@@ -1,11 +1,16 @@
 import hashlib
+import os
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from glossmill.llm import secret_scan
-from glossmill.llm.secret_scan import Automaton, base_spans, candidates, fit, learn, scan
+from glossmill.llm.secret_scan import Automaton, base_spans, calibrate, fit, learn, outside, runs, scan
+
+DIR = "/root/testdata/sf0.1"
 
 PATTERNS = (
     ("assign", re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 6),
@@ -39,40 +44,96 @@ def test_base_spans_of_random_texts():
         assert [(k, a, b) for a, b, k, _ in base_spans(text)] == slow_spans(text), text
 
 
-def test_candidates_avoid_base():
-    text = "password=" + "a1" * 10 + " " + "Zz9" * 6 + " short1 " + "b" * 16
-    assert [c[3] for c in candidates(text, base_spans(text))] == ["Zz9" * 6, "b" * 16]
+def test_runs_outside_base():
+    text = "password=" + "a1" * 10 + " .Zz9-/x. short1 key=b64== ..a é_b.c\u00a0d"
+    rest = outside(text, base_spans(text))
+    assert len(rest) == len(text) and rest[: 9 + 20].strip() == ""
+    assert [rest[a:b] for a, b in runs(rest)] == ["Zz9-/x", "short1", "key=b64==", "b64==", "a", "_b.c", "d"]
+    assert outside("", []) == "" and runs("") == [] and runs("...") == []
+
+
+def slow_likelihood(a, value):
+    at, total = 0, 0.0
+    for c in value:
+        i = secret_scan.SYMBOLS.index(c)
+        total, at = total + a.logp[at, i], a.follow[at, i]
+    return total + a.logp[at, secret_scan.END]
 
 
 def test_merging_finds_the_format():
     rng = random.Random(1)
-    values = ["key-" + "".join(rng.choices("0123456789", k=12)) for _ in range(400)]
-    tree = Automaton.prefix_tree(values)
-    before = len(tree.total)
-    small = tree.merge()
-    assert len(small.total) < 40 < before and small.total[0] >= 400
-    fresh = "key-" + "".join(rng.choices("0123456789", k=12))
-    assert small.log_likelihood(fresh) > small.log_likelihood("kkkk-abcdefghijk") + 10
+    values = ["key-" + "".join(rng.choices("0123456789", k=12)) for _ in range(300)] + ["tok_" + "".join(rng.choices("ABCDEF", k=8)) for _ in range(300)]
+    small = Automaton.infer(values)
+    assert 20 < len(small.logp) < 60 < len(set(v[:5] for v in values)) + 50  # both prefixes stay apart, their tails merge
+    fresh = ["key-" + "".join(rng.choices("0123456789", k=12)), "tok_" + "".join(rng.choices("ABCDEF", k=8))]
+    wrong = ["key-" + "".join(rng.choices("0123456789", k=9)), "tok-" + "".join(rng.choices("ABCDEF", k=8)), "key-" + "".join(rng.choices("ABCDEF", k=12))]
+    key, tok, short, other, letters = small.log_likelihood(fresh + wrong)
+    assert tok > other + 3 and key > letters + 3 and short < 9 * np.log(0.1) - 8
+    for v, p in zip(fresh + wrong + ["", "x" * 300], small.log_likelihood(fresh + wrong + ["", "x" * 300]), strict=True):
+        assert p == pytest.approx(slow_likelihood(small, v))
+    # A state's steps and end are a distribution.
+    assert np.exp(small.logp).sum(1) == pytest.approx(np.ones(len(small.logp)))
+
+
+def counted(words):
+    steps = np.zeros((secret_scan.END + 1, secret_scan.END + 1), np.int64)
+    secret_scan._count_steps(Counter(words), steps)
+    return {(int(a), int(b)): int(steps[a, b]) for a, b in zip(*np.nonzero(steps), strict=True)}
+
+
+def test_steps_of_runs():
+    got = counted(["ab", "ab", "b"])
+    a, b = secret_scan.SYMBOLS.index("a"), secret_scan.SYMBOLS.index("b")
+    assert got == {(0, a): 2, (0, b): 1, (a + 1, b): 2, (b + 1, secret_scan.END): 3}
 
 
 def test_learning_separates_formats_from_words():
     rng = random.Random(2)
     secrets = ["".join(rng.choices("0123456789abcdef", k=40)) for _ in range(200)]
-    words = ["".join(rng.choices(["ing", "tion", "the", "ver", "lich", "ment"], k=6)) for _ in range(500)] + [str(rng.randrange(10**15, 10**16)) for _ in range(60)]
-    model = learn({"hex": secrets}, words)
-    new = ["".join(rng.choices("0123456789abcdef", k=20)) for _ in range(100)]
-    assert sum(model.score(x) >= model.threshold for x in new) > 60
-    others = ["".join(rng.choices(["ing", "tion", "the", "ver"], k=7)) for _ in range(200)] + [str(rng.randrange(10**15, 10**16)) for _ in range(100)]
-    assert sum(model.score(x) >= model.threshold for x in others) <= 3
-    assert learn({}, words).threshold == float("inf") and learn({"hex": secrets[:3]}, []).threshold == float("inf")
+    words = ["".join(rng.choices(["ing", "tion", "the", "ver", "lich", "ment"], k=rng.randint(1, 6))) for _ in range(5000)] + [str(rng.randrange(10**15, 10**16)) for _ in range(60)]
+    for known in (secrets, secrets[:8], secrets[:1]):
+        model, unseen = learn({"hex": known}, counted(words))
+        model.threshold = calibrate(unseen, Counter(secret_scan._bins(model.scores(words)).tolist()))
+        new = ["".join(rng.choices("0123456789abcdef", k=40)) for _ in range(100)]
+        assert (model.scores(new) >= model.threshold).mean() > 0.9
+        others = ["".join(rng.choices(["ing", "tion", "the", "ver"], k=7)) for _ in range(200)] + [str(rng.randrange(10**15, 10**16)) for _ in range(100)]
+        assert not (model.scores(others) >= model.threshold).any()
+    nothing, unseen = learn({}, counted(words))
+    assert calibrate(unseen, {}) == secret_scan.MARGIN and not nothing.formats and nothing.scores(["abc"])[0] == -float("inf")
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="needs the test tables")
+def test_hidden_labels_are_found_again():
+    """Formats learned from half of the labelled values find the bare other half, and hardly anything else."""
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table(f"{DIR}/documents.parquet", columns=["text"])["text"].to_pylist()]
+    values, words = {}, Counter()
+    for t in texts:
+        base = base_spans(t)
+        for s in base:
+            values.setdefault(s[2], set()).add(s[3])
+        words.update(outside(t, base).split())
+    found = secret_scan._run_counts(words)
+    half = {k: {v for v in vs if hashlib.md5(v.encode()).digest()[0] % 2} for k, vs in values.items()}
+    model, unseen = learn({k: sorted(v) for k, v in half.items()}, counted(found))
+    scores = model.scores(list(found))
+    model.threshold = calibrate(unseen, Counter(secret_scan._bins(scores).tolist()))
+    assert all(len(a.logp) > 10 for a in model.formats.values())
+    hidden = sorted(set().union(*values.values()) - set().union(*half.values()))
+    hits = [model.spans(f"Some words before {v}, and after it.") for v in hidden]
+    recall = np.mean([[s[3] for s in h] == [v] for h, v in zip(hits, hidden, strict=True)])
+    wrong = int((scores >= model.threshold).sum())
+    precision = sum(map(bool, hits)) / (sum(map(bool, hits)) + wrong)
+    assert len(hidden) > 40 and recall >= 0.9 and precision >= 0.9
 
 
 def test_scan(spark, make_docs, odd_texts):
     rng = random.Random(3)
     rows = [(i, t, "en", None) for i, t in enumerate(odd_texts + TEXTS)]
     rows += [(100 + i, f"some text password={''.join(rng.choices(HEX, k=18))} and more of the longestwordsinthetext", "en", "s") for i in range(120)]
-    rows += [(500, "a bare " + "".join(rng.choices(HEX, k=20)) + " stands here", "en", "s"), (None, "secret=abcdef", "en", "s"), (None, "secret=abcdef", "en", "s")]
-    rows += [(700 + i, "".join(rng.choices(["ing", "tion", "the", "ver", "lich"], k=7)), "en", "s") for i in range(200)]
+    rows += [(500, "a bare " + "".join(rng.choices(HEX, k=18)) + " stands here. é" + "".join(rng.choices(HEX, k=18)) + ".", "en", "s"), (None, "secret=abcdef", "en", "s"), (None, "secret=abcdef", "en", "s")]
+    rows += [(700 + i, " ".join("".join(rng.choices(["ing", "tion", "the", "ver", "lich"], k=rng.randint(1, 7))) for _ in range(30)), "en", "s") for i in range(200)]
     rows += [(900 + i, f"a card {rng.randrange(10**15, 10**16)} of someone", "en", "s") for i in range(90)]
     docs = make_docs(rows)
     got = scan(docs, fit(docs)).collect()
@@ -86,7 +147,10 @@ def test_scan(spark, make_docs, odd_texts):
         spans = [s.split(":") for s in r["spans"].split(",") if s]
         assert {(k, int(a), int(b)) for k, a, b in spans} >= set(base)
         assert [int(a) for _, a, _ in spans] == sorted(int(a) for _, a, _ in spans) and sum(k == "learned" for k, *_ in spans) == r["n_learned"]
-    assert next(r for r in got if r["doc_id"] == 500)["n_learned"] == 1
+    bare = next(r for r in got if r["doc_id"] == 500)
+    assert bare["n_learned"] == 2 and [texts[500][int(a) : int(b)] for _, a, b in (x.split(":") for x in bare["spans"].split(","))] == [w.strip("é.") for w in texts[500].split() if len(w) > 17]
+    again = scan(docs.repartition(7), fit(docs.repartition(3))).collect()
+    assert sorted((str(r) for r in again)) == sorted(str(r) for r in got)
 
 
 def test_nothing_to_learn(make_docs):
