@@ -3,8 +3,8 @@
 Bytes become learned vectors; filters of eight bytes slide by four over the whole text.
 Each filter's strongest answer is kept in every overlapping chunk of `2 * HALF` bytes
 (half chunks are pooled once and neighbours joined), and the chunks' answers are combined
-over the document by their mean, maximum and minimum into one probability.  Training and
-scoring use the same code and whole texts.
+over the document by their mean, maximum and minimum into one probability.  Whole texts
+are scored; of a very long labelled text slices from all over it are learned from.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossmill.llm.common import held_out, single_thread, text_bytes
@@ -26,11 +26,11 @@ HIDDEN = 16
 HALF = 256
 #: Labelled rows the network learns from: the first by a hash of doc_id.
 SAMPLE_ROWS = 6000
-#: Longer labelled texts are scored like all others but not learned from, as the sample is in driver memory.
-LEARN_CHARS = 200_000
+#: A labelled text is learned from by at most so many slices, evenly spread over all of it, of so many characters.
+LEARN_SLICES, LEARN_WIDTH = 12, 512
 EPOCHS = 12
 #: Few rows are gone over more often, up to this many steps in all.
-LEAST_STEPS = 1500
+LEAST_STEPS = 1200
 BATCH = 32
 #: Half chunks convolved at a time.
 STRETCH = 1024
@@ -89,8 +89,10 @@ class ByteConvNet:
             pooled[at : at + STRETCH] = np.take_along_axis(answers, best[:, None], 1)[:, 0]
         return np.maximum(pooled + w["bias"], 0), where
 
-    def forward(self, texts: list[bytes], keep: bool = False):
+    def forward(self, texts: list[bytes], keep: bool = False, sizes: np.ndarray | None = None):
+        """Logits; `sizes` are the bytes of the whole texts where `texts` are parts of them."""
         w = self.w
+        sizes = np.fromiter(map(len, texts), np.float32, len(texts)) if sizes is None else sizes.astype(np.float32)
         packed, halves = _pack(texts)
         pooled, at = self._pooled(packed, halves)
         starts = np.concatenate([[0], np.cumsum(halves)[:-1]])
@@ -102,7 +104,7 @@ class ByteConvNet:
         alone = halves == 1
         mean = np.add.reduceat(chunk, starts) / halves[:, None]
         high, low = np.maximum.reduceat(chunk, starts), self._low(chunk, last, starts, alone)
-        length = np.log1p(np.fromiter(map(len, texts), np.float32, len(texts)))[:, None] / 10
+        length = np.log1p(sizes)[:, None] / 10
         features = np.concatenate([mean, high, low, length], 1, dtype=np.float32)
         hidden = np.tanh(features @ w["mix"] + w["mix_bias"])
         logit = hidden @ w["out"] + w["out_bias"]
@@ -115,9 +117,9 @@ class ByteConvNet:
         hidden = chunk + np.where(last & ~np.isin(np.arange(len(chunk)), starts[alone]), np.float32(1e6), np.float32(0))[:, None]
         return np.minimum.reduceat(hidden, starts)
 
-    def gradients(self, texts: list[bytes], target: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    def gradients(self, texts: list[bytes], target: np.ndarray, weight: np.ndarray, sizes: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
         w = self.w
-        logit, (packed, halves, starts, last, alone, partner, pooled, at, chunk, high, low, features, hidden) = self.forward(texts, keep=True)
+        logit, (packed, halves, starts, last, alone, partner, pooled, at, chunk, high, low, features, hidden) = self.forward(texts, True, sizes)
         p = 1 / (1 + np.exp(-logit))
         loss = float((weight * np.where(target, np.logaddexp(0, -logit), np.logaddexp(0, logit))).sum() / weight.sum())
         g: dict[str, np.ndarray] = {}
@@ -141,6 +143,7 @@ class ByteConvNet:
         per = HALF // STEP
         where = at + np.arange(len(at))[:, None] * per  # block of the strongest answer, by half chunk and filter
         letters = packed.reshape(-1, STEP)
+        into, back = [], []
         for f in range(FILTERS):
             live = np.flatnonzero(dp[:, f])
             if not len(live):
@@ -148,10 +151,11 @@ class ByteConvNet:
             v = dp[live, f]
             for name, block in (("near", where[live, f]), ("next", where[live, f] + 1)):
                 g[name][:, f] = v @ w["embed"][letters[block]].reshape(-1, EMBED * STEP)
-                back = (v[:, None] * w[name][:, f]).reshape(-1, EMBED)
-                into = letters[block].ravel()
-                for e in range(EMBED):
-                    g["embed"][:, e] += np.bincount(into, back[:, e], 256)
+                back.append((v[:, None] * w[name][:, f]).ravel())
+                into.append(letters[block].ravel())
+        if into:
+            cells = np.concatenate(into).astype(np.int64)[:, None] * EMBED + np.arange(EMBED)
+            g["embed"] += np.bincount(cells.ravel(), np.concatenate(back), 256 * EMBED).reshape(256, EMBED)
         return loss, g
 
     def logits(self, texts: list[bytes]) -> np.ndarray:
@@ -202,9 +206,10 @@ def best_cut(logits: np.ndarray, good: np.ndarray) -> float:
     return float((edges[at] + edges[at + 1]) / 2)
 
 
-def train(texts: list[bytes], good: np.ndarray, epochs: int = EPOCHS, seed: int = 42) -> QualityNet:
-    """Fit by Adam on whole texts, classes weighing the same; a fifth of the rows sets the cut."""
+def train(texts: list[bytes], good: np.ndarray, sizes: np.ndarray | None = None, epochs: int = EPOCHS, seed: int = 42) -> QualityNet:
+    """Fit by Adam, classes weighing the same; a fifth of the rows sets the cut.  `sizes` as in `forward`."""
     net = ByteConvNet.fresh(seed)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) if sizes is None else sizes
     if not len(texts) or good.all() or not good.any():
         level = 4.0 if len(texts) and good.all() else -4.0 if len(texts) else 0.0
         net.w["out"][:] = 0
@@ -223,33 +228,45 @@ def train(texts: list[bytes], good: np.ndarray, epochs: int = EPOCHS, seed: int
         for at in range(0, len(learn) - len(learn) % BATCH or len(learn), BATCH):
             own = learn[at : at + BATCH]
             step += 1
-            _, grads = net.gradients([texts[i] for i in own], good[own], weight[own])
+            _, grads = net.gradients([texts[i] for i in own], good[own], weight[own], sizes[own])
             _adam(net, grads, state, 0.004 * (1 - 0.95 * min(1.0, step / total)), step)
     cut = check if good[check].any() and not good[check].all() else ~check
     own = np.flatnonzero(cut)
-    return QualityNet(net, best_cut(net.logits([texts[i] for i in own]), good[own]))
+    logits = [net.forward([texts[i] for i in own[at : at + BATCH]], sizes=sizes[own[at : at + BATCH]]) for at in range(0, len(own), BATCH)]
+    return QualityNet(net, best_cut(np.concatenate(logits), good[own]))
+
+
+def learned_part() -> Column:
+    """A text whole if it is short, else its slices, evenly spread from the first character to the last."""
+    most = LEARN_SLICES * LEARN_WIDTH
+    at = lambda i: F.floor((F.length("text") - F.lit(LEARN_WIDTH)) * i / (LEARN_SLICES - 1)).cast("int") + 1
+    slices = F.concat(*(F.substring(F.col("text"), at(F.lit(i)), F.lit(LEARN_WIDTH)) for i in range(LEARN_SLICES)))
+    text = F.coalesce("text", F.lit(""))
+    return F.when(F.length(text) <= most, text).otherwise(slices)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> QualityNet:
-    """Train on at most `sample_rows` labelled rows outside the held-out part, of `LEARN_CHARS` characters at most.
+    """Train on at most `sample_rows` labelled rows outside the held-out part, however long their texts.
 
-    Only the text is an input.  Labels that are null or of unknown documents are left out.
+    Only the text is an input; what of it is learned from, `learned_part`, bounds the
+    driver's memory.  Labels that are null or of unknown documents are left out.
     """
     single_thread()
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "quality")
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows)
-    texts = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= LEARN_CHARS)
-    found = texts.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "text", "quality").limit(sample_rows)
-    rows = found.collect()
-    return train([(r["text"] or "").encode() for r in rows], np.asarray([r["quality"] == 1 for r in rows], bool))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows)  # two numbers a row
+    parts = docs.select("doc_id", learned_part().alias("part"), F.octet_length(F.coalesce("text", F.lit(""))).alias("size"))
+    found = parts.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "size", "part", "quality").limit(sample_rows)
+    rows = found.select("part", "size", "quality").collect()
+    return train([r["part"].encode() for r in rows], np.asarray([r["quality"] == 1 for r in rows], bool), np.asarray([r["size"] for r in rows], np.int64))
 
 
 def classify(docs: DataFrame, model: QualityNet) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted.
 
-    Whole texts are scored; null and empty ones as no bytes at all.  Rows are scored one
-    by one, repeated rows alike, and an empty table gives an empty result.  A null doc_id
-    is not held out.
+    Whole texts are scored, very long ones in stretches; null and empty ones as no bytes
+    at all.  Rows are scored one by one, repeated rows and ties alike, and an empty table
+    gives an empty result.  A null doc_id is not held out.  Other columns, of whatever
+    names, are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,11 +12,14 @@ Layout, little-endian: header (`_HEADER`), doc ids (int64 each), Elias-Fano byte
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,9 @@ SAMPLE = 64
 #: A file is closed at this many ids; one longer document has a file of its own.
 FILE_IDS = 1 << 24
 END_ID = 2
+#: Characters of a text by which rows of one id are parted, and documents described at a time.
+START_CHARS = 64
+READ_DOCS = 10_000
 REMEMBERED = 1_000_000
 #: Text in work at a time.
 WORK_BYTES = 4 << 20
@@ -146,21 +152,52 @@ class TokenFile:
         return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
 
 
+#: The parts of a tokenizer file under which words can be encoded by themselves.
+WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_SPLITS = [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def encodes_by_words(parts: dict) -> bool:
+    """Whether a tokenizer file is of the kind whose words can be encoded by themselves, remembered and joined.
+
+    Its normaliser and split pattern must never look across white space and take upper
+    case for lower, and its marks of word ends must show where letters' tokens part.
+    """
+    model = parts["model"]
+    plain = not any(parts.get(k) for k in ("truncation", "padding", "post_processor"))
+    added = all(t["special"] and not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]) for t in parts["added_tokens"])
+    splits = parts["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": WORD_SPLITS}
+    bpe = model["type"] == "BPE" and model.get("end_of_word_suffix") == END_OF_WORD and not any(model.get(k) for k in ("dropout", "unk_token", "ignore_merges", "continuing_subword_prefix"))
+    return plain and added and splits and bpe and parts["normalizer"] == WORD_NORMALIZER
+
+
 class WordTokenizer:
-    """Ids of whole texts as packed bytes, by the tokenizers library.
+    """Ids of whole texts as packed bytes, as the tokenizers library gives them.
 
-    The vocabulary's normaliser and split pattern never look across ASCII white space,
-    so words are encoded one by one and remembered.  Case of A-Z makes no difference to
-    it, nor does cutting one final period or comma off a word that ends in a letter.
+    Special tokens' strings in a text are special tokens, as is the library's default,
+    unless `special_as_text`.  Of a vocabulary of the kind `encodes_by_words` tells, words
+    are encoded one by one and remembered: case of A-Z makes no difference to it, nor does
+    cutting one final period or comma off a word that ends in a letter.  With any other
+    vocabulary every text is encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         single_thread()
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        self.by_words = encodes_by_words(parts)
+        # Words never hold a special token: texts are parted at them before.
+        self._tokenizer.encode_special_tokens = special_as_text or self.by_words
         self.width = 2 if self._tokenizer.get_vocab_size() <= 1 << 16 else 4
+        special = {t["content"].encode(): t["id"] for t in parts["added_tokens"]} if self.by_words and not special_as_text else {}
+        self._special = {k: np.asarray([i], f"<u{self.width}").tobytes() for k, i in special.items()}
+        self._cuts = re.compile(b"(" + b"|".join(re.escape(k) for k in sorted(special, key=len, reverse=True)) + b")") if special else None
         self._known: dict[bytes, bytes] = {}
         vocabulary = self._tokenizer.get_vocab()
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -216,7 +253,23 @@ class WordTokenizer:
         return [bytes(ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def texts(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Packed ids of each text; a few megabytes of text are in work at a time."""
+        """Packed ids of each text."""
+        if not self.by_words:
+            for text in texts:
+                yield np.asarray(self._tokenizer.encode(text.decode(), add_special_tokens=False).ids, f"<u{self.width}").tobytes()
+            return
+        # A text with special tokens is parted at them: its pieces go in by turns with their ids.
+        parted = {i: self._cuts.split(t) for i, t in enumerate(texts) if self._cuts and any(k in t for k in self._special)}
+        pieces = self._plain(p for i, t in enumerate(texts) for p in (parted[i][::2] if i in parted else [t]))
+        for i in range(len(texts)):
+            if i in parted:
+                marks = [self._special[p] for p in parted[i][1::2]] + [b""]
+                yield b"".join(next(pieces) + m for m in marks)
+            else:
+                yield next(pieces)
+
+    def _plain(self, texts: Iterable[bytes]) -> Iterator[bytes]:
+        """Packed ids of texts without special tokens; a few megabytes of text are in work at a time."""
         held: list[bytes] = []
         size = 0
         for text in texts:
@@ -249,7 +302,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    ordered = docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first())
+    # Texts' beginnings part the rows that share an id or have none.
+    start = F.substring("text", 1, START_CHARS).asc_nulls_first()
+    ordered = docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), start)
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     schema = pa.schema([("path", pa.string()), ("part", pa.int32()), ("file_no", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
@@ -297,7 +352,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
+    """Per document, from the files: doc_id, start, n_tokens, ids_crc32.
+
+    A document's place in a file is two `select`s on its Elias-Fano boundaries; no table
+    of offsets is laid out.  Empty files and manifests give no rows.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,10 +365,11 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 store, place = file_system(path)
                 with store.open_input_file(place) as f:
                     file = TokenFile(f.read_buffer())
-                bounds = file.bounds.values()
-                crc = [zlib.crc32(file.ids[a:b].astype("<u4").tobytes()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                columns = [file.doc_ids, first + bounds[:-1], np.diff(bounds), crc]
-                yield pa.record_batch([pa.array(c, x.type) for c, x in zip(columns, schema, strict=True)], schema=schema)
+                for at in range(0, len(file), READ_DOCS):
+                    starts = [file.bounds.select(i) for i in range(at, min(at + READ_DOCS, len(file)) + 1)]
+                    crc = [zlib.crc32(file.ids[a:b].astype("<u4").tobytes()) for a, b in pairwise(starts)]
+                    columns = [file.doc_ids[at : at + READ_DOCS], [first + a for a in starts[:-1]], [b - a for a, b in pairwise(starts)], crc]
+                    yield pa.record_batch([pa.array(c, x.type) for c, x in zip(columns, schema, strict=True)], schema=schema)
 
     spread = manifest.select("path", "first").repartition(shuffle_partitions(manifest.sparkSession))
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
@@ -319,8 +379,9 @@ def token_files(docs: DataFrame, tokenizer: str | None = None, folder: str | Non
     """Write the token-id files of `docs`, then describe every document from them.
 
     Per row: doc_id, start, n_tokens, ids_crc32.  A null or empty text is its end id
-    alone.  Documents without doc_id come first; rows that share a doc_id follow each
-    other by text.  Extra columns are ignored, an empty table writes no file.
+    alone.  Whole texts are encoded, very long ones in pieces.  Documents without doc_id
+    come first; rows that share a doc_id follow each other by text.  Extra columns are
+    ignored, whatever their names; an empty table writes no file.
     """
     spark: SparkSession = docs.sparkSession
     where = folder or scratch_path(spark, "token_ids")

@@ -96,15 +96,17 @@ def test_file_round_trip():
         TokenFile(b"nope" + bytes(60))
 
 
-def whole(texts):
+def whole(texts, path=WORDS, special_as_text=False):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(path)
+    if special_as_text:
+        t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
-HARD = ["H̱ẖ T̈ẗ W̊ẘ J̌ǰ ẖ", "A̱. B., c.. d.,", "Ǆ ŉ İ İ ẞ ß Σας", "it's. we'll, I'M.", "x,y. z,.", "...,", "word.", "a\u0085b c.　d"]
+SPECIAL = ["a <|endoftext|> b", "<|startoftext|>A B.<|endoftext|>", "x<|ENDOFTEXT|>y <|endoftext", "<|endoftext|><|endoftext|>", "Word,<|startoftext|>\u0308"]
+HARD = SPECIAL + ["H̱ẖ T̈ẗ W̊ẘ J̌ǰ ẖ", "A̱. B., c.. d.,", "Ǆ ŉ İ İ ẞ ß Σας", "it's. we'll, I'M.", "x,y. z,.", "...,", "word.", "a\u0085b c.　d"]
 
 
 def test_words_equal_whole_texts(odd_texts):
@@ -115,12 +117,28 @@ def test_words_equal_whole_texts(odd_texts):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from("aHTW.,' ̱̈̊")), max_size=40))
+@given(st.lists(st.one_of(st.characters(codec="utf-8"), st.sampled_from("aHTW.,' ̱̈̊"), st.sampled_from(["<|endoftext|>"])), max_size=40).map("".join))
 def test_any_words(text):
     got = next(_tokenizer().texts([text.encode()]))
     assert np.frombuffer(got, "<u2").tolist() == whole([text])[0]
 
 
+def test_special_tokens():
+    assert whole(["a <|endoftext|> b"]) == [[320, 49407, 321]]
+    for as_text in (False, True):
+        tokenizer = WordTokenizer(WORDS, as_text)
+        got = [np.frombuffer(b, "<u2").tolist() for b in tokenizer.texts([t.encode() for t in SPECIAL])]
+        assert tokenizer.by_words and got == whole(SPECIAL, special_as_text=as_text)
+
+
+def test_other_vocabularies_encode_whole_texts(odd_texts):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = WordTokenizer(path)
+    texts = [t or "" for t in odd_texts] + HARD
+    got = [np.frombuffer(b, "<u2").tolist() for b in tokenizer.texts([t.encode() for t in texts])]
+    assert not tokenizer.by_words and got == whole(texts, path)
+
+
 def _tokenizer(cache=[]):  # noqa: B006
     if not cache:
         cache.append(WordTokenizer(WORDS))
