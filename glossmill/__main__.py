@@ -6,7 +6,8 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from glossmill.operators.evaluate import format_report
+from glossmill.functions.scoring import DATA_SOURCE_PREFIX
+from glossmill.operators.analyze import as_table
 from glossmill.plans import pipelines
 
 
@@ -18,6 +19,7 @@ def main(argv: list[str] | None = None) -> None:
     build.add_argument("--data-dir", required=True)
     build.add_argument("--output-dir", required=True)
     build.add_argument("--max-source-len", type=int, default=1024)
+    build.add_argument("--prefix", default=DATA_SOURCE_PREFIX, help="of file names and data sources")
 
     augment = commands.add_parser("augment", help="identity and noisy samples, balanced languages")
     augment.add_argument("--input", required=True)
@@ -47,13 +49,14 @@ def main(argv: list[str] | None = None) -> None:
     prepare.add_argument("--sft-output")
     prepare.add_argument("--rl-output")
     prepare.add_argument("--max-samples", type=int)
+    prepare.add_argument("--prefix", default=DATA_SOURCE_PREFIX, help="of data sources")
 
     args = parser.parse_args(argv)
     if args.command == "analyze" and args.before and not args.after:
         parser.error("--after is required with --before")
     spark = SparkSession.builder.appName("glossmill").getOrCreate()
     if args.command == "build":
-        pipelines.build_dataset(spark, args.data_dir, args.output_dir, args.max_source_len).orderBy("lang", "corpus", "split").show(1000, truncate=False)
+        pipelines.build_dataset(spark, args.data_dir, args.output_dir, args.max_source_len, args.prefix).orderBy("lang", "corpus", "split").show(1000, truncate=False)
     elif args.command == "augment":
         pipelines.augment_dataset(
             spark, args.input, args.output, stage=args.stage, identity_ratio=args.identity_ratio, noise_ratio=args.noise_ratio,
@@ -62,9 +65,10 @@ def main(argv: list[str] | None = None) -> None:
     elif args.command == "analyze":
         print(pipelines.analyze_files(spark, args.input or args.before, args.after, args.output))
     elif args.command == "evaluate":
-        print(format_report(pipelines.evaluate_files(spark, args.predictions, args.references, args.output)))
+        metrics = pipelines.evaluate_files(spark, args.predictions, args.references, args.output)
+        print(as_table([{"lang": "all", **metrics["overall"]}, *({"lang": k, **m} for k, m in metrics["per_language"].items())]))
     else:
-        pipelines.prepare(spark, args.input, args.sft_output, args.rl_output, args.max_samples)
+        pipelines.prepare(spark, args.input, args.sft_output, args.rl_output, args.max_samples, args.prefix)
 
 
 if __name__ == "__main__":

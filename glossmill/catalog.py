@@ -22,7 +22,9 @@ from glossmill.operators.samples import (
 )
 from glossmill.plans import pipelines
 from glossmill.schemas import LANGUAGES, SAMPLE
+from glossmill.sources import files
 from glossmill.sources.files import classify_files, parse_essays
+from glossmill.sources.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -131,6 +133,11 @@ def _words(x: str) -> str:
     return f"(CASE WHEN {x} = '' THEN 0 ELSE len(string_split({x}, ' ')) END)"
 
 
+_NAMES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LANGUAGES.items())
+_BEFORE, _AFTER = INSTRUCTION.split("{}")
+_PROMPT = f"('{_BEFORE}' || (CASE lang {_NAMES} ELSE lang END) || '{_AFTER}' || source)"
+
+
 # --- text functions ---------------------------------------------------------------------
 
 
@@ -305,7 +312,7 @@ def running_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W1 over the similarity of predictions that are no exact match, in document order."""
     lines = predictions(line_samples(spark, sf_dir)).select("id", "lang", "doc_id", "line_no", normalize_text("prediction").alias("p"), normalize_text("target").alias("t"))
     open_ = lines.where("p <> t").select("id", "lang", (F.col("doc_id") * 1_000_000 + F.col("line_no")).alias("seq"), edit_distance_similarity("p", "t").alias("score"))
-    done = evaluate.running_normalization(open_, block_rows=1_000_000_000)
+    done = evaluate.running_normalization(open_, block_rows=500)
     return done.select("id", "lang", "seq", F.round("normalized", 4).alias("normalized"))
 
 
@@ -360,10 +367,54 @@ def identity_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.inject_identity(full_samples(spark, sf_dir), 0.07).select("id", "lang", "source", "target")
 
 
-@_query()
+def _draw(first: int, digits: int, step: str = "step + 1") -> str:
+    """A whole number from hexadecimal digits of the MD5 of a row's key and a step's number."""
+    return f"('0x' || substr(md5(id || '|42|' || ({step})::VARCHAR), {first}, {digits}))::BIGINT"
+
+
+def _cut(x: str, first: str, last: str) -> str:
+    return f"substr({x}, {first}, greatest({last} - ({first}) + 1, 0))"
+
+
+_UPPER = "(CASE WHEN own = 'ß' THEN 'SS' ELSE upper(own) END)"
+#: Synthetic errors step by step: rows (id, step, n, t) for characters and (id, step, n, w) for words.
+_NOISE = rf"""
+chosen AS ({_first("samples", 0.15, "noise", "id, doc_id, lang, source, target")}),
+coins AS (SELECT id, target, {_draw(1, 1, "0")} < 8 AS by_characters, [x FOR x IN string_split_regex(target, '\s+') IF x <> ''] AS w FROM chosen),
+spelled AS (
+  SELECT id, 0 AS step, greatest(1, floor(length(target)::DOUBLE * 0.05::DOUBLE))::INT AS n, target AS t FROM coins WHERE by_characters
+  UNION ALL
+  SELECT id, step + 1, n, CASE
+      WHEN size < 3 THEN t
+      WHEN kind = 0 THEN CASE WHEN regexp_full_match(substr(t, pair, 2), '\p{{L}}\p{{L}}') THEN {_cut("t", "1", "pair - 1")} || substr(t, pair + 1, 1) || substr(t, pair, 1) || {_cut("t", "pair + 2", "size")} ELSE t END
+      WHEN place IS NULL THEN t
+      ELSE {_cut("t", "1", "place - 1")} || (CASE WHEN kind <> 2 THEN '' WHEN own = {_UPPER} THEN lower(own) ELSE {_UPPER} END) || {_cut("t", "place + 1", "size")} END
+  FROM (SELECT *, substr(t, place, 1) AS own FROM (
+    SELECT *, CASE WHEN len(places) > 0 THEN places[at_random % len(places) + 1] END AS place, at_random % greatest(size - 1, 1) + 1 AS pair FROM (
+      SELECT *, CASE kind WHEN 0 THEN [] ELSE [i FOR i IN range(1, size + 1)
+          IF CASE kind WHEN 1 THEN substr(t, i, 1) = ' ' WHEN 2 THEN regexp_full_match(substr(t, i, 1), '\p{{L}}') ELSE contains('.,;:!?', substr(t, i, 1)) END] END AS places FROM (
+        SELECT *, length(t) AS size, {_draw(1, 7)} % 4 AS kind, {_draw(8, 13)} AS at_random FROM spelled WHERE step < n))))),
+worded AS (
+  SELECT id, 0 AS step, greatest(1, floor(len(w)::DOUBLE * 0.05::DOUBLE))::INT AS n, w FROM coins WHERE NOT by_characters AND len(w) > 1
+  UNION ALL
+  SELECT id, step + 1, n, CASE
+      WHEN size < 2 THEN w
+      WHEN kind = 0 THEN w[1:place - 1] || w[place + 1:]
+      WHEN kind = 1 THEN w[1:place] || w[place:]
+      ELSE w[1:place - 1] || [w[place + 1], w[place]] || w[place + 2:] END
+  FROM (SELECT *, at_random % greatest(CASE kind WHEN 2 THEN size - 1 ELSE size END, 1) + 1 AS place FROM (
+    SELECT *, len(w) AS size, {_draw(1, 7)} % 3 AS kind, {_draw(8, 13)} AS at_random FROM worded WHERE step < n))),
+noised AS (
+  SELECT id, t FROM spelled WHERE step = n UNION ALL SELECT id, array_to_string(w, ' ') FROM worded WHERE step = n
+  UNION ALL SELECT id, target FROM coins WHERE NOT by_characters AND len(w) < 2)
+"""
+_RECURSIVE = _CTE.replace("WITH essay_lines", "WITH RECURSIVE essay_lines", 1)
+
+
+@_query(f"{_RECURSIVE}, {_NOISE} SELECT c.id || '_aug' AS id, c.lang, t AS source, c.target, md5({_PROMPT} || chr(10) || chr(10) || t) AS prompt_md5 FROM chosen c JOIN noised n ON c.id = n.id")
 def noise_augmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A share of the samples with synthetic errors."""
-    return sampling.noisy_samples(full_samples(spark, sf_dir), 0.15).select("id", "lang", "source", "target", "prompt")
+    return sampling.noisy_samples(full_samples(spark, sf_dir), 0.15).select("id", "lang", "source", "target", F.md5("prompt").alias("prompt_md5"))
 
 
 @_query(
@@ -377,8 +428,10 @@ FROM a FULL JOIN b ON a.lang = b.lang"""
 def stats_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles before and after identity injection."""
     base = full_samples(spark, sf_dir)
-    after = base.unionByName(sampling.inject_identity(base, 0.07))
-    c = analyze.compare_stats(analyze.language_stats(base), analyze.language_stats(after))
+    return _compared(analyze.compare_growth(base, sampling.inject_identity(base, 0.07)))
+
+
+def _compared(c: DataFrame) -> DataFrame:
     rate = lambda side, m, name: F.round(F.round(F.col(f"{side}.{m}"), 6), 5).alias(name)
     return c.select(
         "lang", F.col("before.n_samples").alias("n_before"), F.col("after.n_samples").alias("n_after"), F.col("delta.n_samples").alias("n_delta"),
@@ -386,6 +439,19 @@ def stats_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query(
+    f"""{_CTE}, b_in AS (SELECT * FROM samples WHERE lang <> 'fr'), a_in AS (SELECT * FROM samples WHERE lang <> 'de'), {_stats_sql("b_in", "b")}, {_stats_sql("a_in", "a")}
+SELECT coalesce(a.lang, b.lang) AS lang, coalesce(b.n_samples, 0) AS n_before, coalesce(a.n_samples, 0) AS n_after, coalesce(a.n_samples, 0) - coalesce(b.n_samples, 0) AS n_delta,
+       coalesce(a.n_identity_injected, 0) AS injected, round(coalesce(b.identity_ratio, 0), 5) AS identity_before, round(coalesce(a.identity_ratio, 0), 5) AS identity_after,
+       round(coalesce(a.error_rate, 0), 5) AS error_after
+FROM a FULL JOIN b ON a.lang = b.lang"""
+)
+def stats_comparison_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of two sets of samples, each of which lacks a language of the other."""
+    lines = line_samples(spark, sf_dir)
+    return _compared(analyze.compare_stats(*(analyze.language_stats(lines.where(F.col("lang") != other)) for other in ("fr", "de"))))
+
+
 @_query(f"{_CTE} SELECT lang, count(*) AS n FROM samples GROUP BY lang")
 def language_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A3."""
@@ -421,9 +487,6 @@ def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- sample building --------------------------------------------------------------------
 
-_NAMES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LANGUAGES.items())
-_BEFORE, _AFTER = INSTRUCTION[0].split("{}")[0], INSTRUCTION[0].split("{}")[1] + INSTRUCTION[1]
-_PROMPT = f"('{_BEFORE}' || (CASE lang {_NAMES} ELSE lang END) || '{_AFTER}' || source)"
 _UID = "substr(md5(lang || ':' || corpus || ':' || substr(source, 1, 200) || ':ref1'), 1, 12)"
 
 
@@ -506,15 +569,15 @@ def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- balancing --------------------------------------------------------------------------
 
 
-def _balance_sql(target: str) -> str:
-    return f"""{_CTE},
-ranked AS (SELECT id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(id || '|42|balance'), id) AS k FROM samples),
-sizes AS (SELECT lang, count(*) AS n FROM samples GROUP BY lang),
+def _balance_sql(target: str, before: str = _CTE, table: str = "samples", columns: str = "id") -> str:
+    return f"""{before},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5(id || '|42|balance'), id) AS k FROM {table}),
+sizes AS (SELECT lang, count(*) AS n FROM {table} GROUP BY lang),
 goals AS (SELECT lang, n, {target}::BIGINT AS goal FROM sizes),
 drawn AS (SELECT lang, n, unnest(range(1, goal - n + 1)) AS draw FROM goals WHERE goal > n),
 places AS (SELECT lang, draw, ('0x' || substr(md5(lang || '|' || draw::VARCHAR || '|42'), 1, 15))::BIGINT % n + 1 AS k FROM drawn)
-SELECT id, r.lang, 0::BIGINT AS draw FROM ranked r JOIN goals g ON r.lang = g.lang WHERE k <= goal
-UNION ALL SELECT id, r.lang, draw FROM places p JOIN ranked r ON p.lang = r.lang AND p.k = r.k"""
+SELECT {columns}, r.lang, 0::BIGINT AS draw FROM ranked r JOIN goals g ON r.lang = g.lang WHERE k <= goal
+UNION ALL SELECT {columns}, r.lang, draw FROM places p JOIN ranked r ON p.lang = r.lang AND p.k = r.k"""
 
 
 def _balanced(spark: SparkSession, sf_dir: str, **settings) -> DataFrame:
@@ -533,7 +596,10 @@ def balance_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _balanced(spark, sf_dir, strategy="uniform")
 
 
-@_query(_balance_sql("floor((sum(n) OVER ())::DOUBLE * sqrt(n) / (sum(sqrt(n)) OVER ()))"))
+_SQRT = "floor((sum(n) OVER ())::DOUBLE * sqrt(n) / (sum(sqrt(n)) OVER ()))"
+
+
+@_query(_balance_sql(_SQRT))
 def balance_sqrt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M5, M7, M8, A7."""
     return _balanced(spark, sf_dir, strategy="sqrt")
@@ -545,7 +611,12 @@ def balance_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _balanced(spark, sf_dir, strategy="log")
 
 
-@_query()
+_EVERY = f"""{_RECURSIVE}, {_IDENTITY}, {_NOISE},
+every AS (SELECT id, lang, source, target FROM samples UNION ALL SELECT id || '_id', lang, target, target FROM identity
+          UNION ALL SELECT c.id || '_aug', lang, t, target FROM chosen c JOIN noised n ON c.id = n.id)"""
+
+
+@_query(_balance_sql(_SQRT, _EVERY, "every", "id, source, target"))
 def augmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identity and noisy samples, balanced by square root."""
     return pipelines.augment(full_samples(spark, sf_dir), "sft").select("id", "lang", "source", "target", "draw")
@@ -621,12 +692,53 @@ def file_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"{_CTE} SELECT id, lang, corpus, split, 'ref1' AS ref, md5({_PROMPT}) AS prompt_md5, source, target, 2::BIGINT AS n_messages FROM samples")
 def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples written as JSON lines and read by their schema."""
-    lines = full_samples(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value"))
-    back = lines.select(F.from_json("value", SAMPLE, {"mode": "FAILFAST"}).alias("s")).select("s.*")
+    """Samples written to JSON-lines files and read back by their schema."""
+    path = scratch_path(spark, "samples_jsonl")
+    files.write_jsonl(full_samples(spark, sf_dir), path)
+    back = files.read_jsonl(spark, path, SAMPLE)
     return back.select("id", "lang", "corpus", "split", "ref", F.md5("prompt").alias("prompt_md5"), "source", "target", F.size("messages").cast("long").alias("n_messages"))
 
 
+@_query(
+    """SELECT doc_id, md5(text) AS text_md5 FROM (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS k, count(*) OVER () AS n FROM documents)
+WHERE k * 3 - 1 <= n // 2"""
+)
+def bounded_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of one file in which every record stands between a blank line and one of white space, the first half as many lines as there are documents."""
+    docs = documents(spark, sf_dir)
+    path = scratch_path(spark, "bounded")
+    record = F.to_json(F.struct("doc_id", "text"))
+    # One file, as a line's place in it is what the scan goes by.
+    docs.select("doc_id", F.explode(F.array(F.lit(""), record, F.lit("\t \t"))).alias("value")).repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id").select("value").write.text(path)
+    head = files.read_jsonl_head(spark, path, "doc_id long, text string", docs.count() // 2)
+    return head.select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@_query(f"{_CTE} SELECT 'sft' AS kind, id, lang, md5({_PROMPT}) AS prompt_md5, md5(target) AS answer_md5 FROM samples UNION ALL SELECT 'rl', id, lang, md5({_PROMPT}), md5(target) FROM samples")
+def prepared_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training tables made from JSON lines, written as Parquet and read back."""
+    path = scratch_path(spark, "prepared")
+    files.write_jsonl(full_samples(spark, sf_dir), f"{path}/samples")
+    pipelines.prepare(spark, f"{path}/samples", f"{path}/sft", f"{path}/rl")
+    content = lambda c, i: F.md5(F.element_at(c, i)["content"])
+    sft = spark.read.parquet(f"{path}/sft").select(F.lit("sft").alias("kind"), "id", "lang", content("messages", 1).alias("prompt_md5"), content("messages", 2).alias("answer_md5"))
+    rl = spark.read.parquet(f"{path}/rl")
+    return sft.unionByName(rl.select(F.lit("rl").alias("kind"), "extra_info.id", "extra_info.lang", content("prompt", 1).alias("prompt_md5"), F.md5("reward_model.ground_truth").alias("answer_md5")))
+
+
+@_query(f"{_CTE} SELECT split AS file, id, lang, corpus, split, md5(target) AS answer_md5 FROM samples")
+def split_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One Parquet table a split, written and read back."""
+    records = rl_records(full_samples(spark, sf_dir), with_split=True)
+    paths = files.write_parquet_by_split(records, scratch_path(spark, "by_split"))
+    info = ("extra_info.id", "extra_info.lang", "extra_info.corpus", "extra_info.split")
+    parts = [spark.read.parquet(path).select(F.lit(split).alias("file"), *info, F.md5("reward_model.ground_truth").alias("answer_md5")) for split, path in paths.items()]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found
+
+
 @_query(f"{_CTE} SELECT id, row_number() OVER (ORDER BY md5(id || '|42|shuffle'), id) AS position FROM samples")
 def shuffle_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M9: every sample's place in a full permutation, without a sort in one task."""

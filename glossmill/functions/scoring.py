@@ -16,7 +16,9 @@ FORMAT_FAIL_SCORE = -1.0
 LENGTH_RATIO_BOUNDS = (0.3, 3.0)
 NO_SOURCE_PRESERVE = 0.5
 LEAK_PATTERN = r"(?:please\s+)?correct\s+(?:all\s+)?(?:the\s+)?grammatical\s+errors?\s+in\s+the\s+following"
-DATA_SOURCE_PREFIX = "multigec_"
+
+#: What stands before the language in a data source's name; callers may have their own.
+DATA_SOURCE_PREFIX = "corpus_"
 
 #: `\s` widened to all white space, case folded beyond ASCII.
 _LEAK = "(?iu)" + LEAK_PATTERN.replace(r"\s", SPACE.removeprefix("(?U)").replace(r"\s", r"\s\x{85}\p{Z}"))
@@ -48,10 +50,10 @@ def format_gate(pred: Column | str, source: Column | str | None = None) -> Colum
     return ok & ((F.length(source) == 0) | ratio.between(low, high))
 
 
-def language_of(data_source: Column | str) -> Column:
+def language_of(data_source: Column | str, prefix: str = DATA_SOURCE_PREFIX) -> Column:
     """The part of a data source after its prefix, if it has it."""
     c = _col(data_source)
-    return F.when(c.startswith(DATA_SOURCE_PREFIX), c.substr(F.lit(len(DATA_SOURCE_PREFIX) + 1), F.length(c))).otherwise(c)
+    return F.when(c.startswith(prefix), c.substr(F.lit(len(prefix) + 1), F.length(c))).otherwise(c)
 
 
 def with_score(df: DataFrame, pred: str, ref: str, source: str | None = None, progress: Column | float = 0.0, out: str = "score", composed: bool = False, parts: bool = False) -> DataFrame:
@@ -75,13 +77,22 @@ def with_score(df: DataFrame, pred: str, ref: str, source: str | None = None, pr
 
 
 def _distance(a: str, b: str) -> int:
-    """Levenshtein distance, one row of the table at a time."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+    """Levenshtein distance, a column of the table at a time as the bits of two whole numbers (up and down steps)."""
+    if not a:
+        return len(b)
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    every, top = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, distance = every, 0, len(a)
+    for y in b:
+        same = at.get(y, 0)
+        flat = ((same & up) + up ^ up) | same | down
+        rise, fall = down | every & ~(flat | up), up & flat
+        distance += bool(rise & top) - bool(fall & top)
+        rise, fall = (rise << 1 | 1) & every, fall << 1 & every
+        up, down = fall | every & ~(flat | rise), rise & flat
+    return distance
 
 
 def score_value(pred: str, ref: str, source: str | None = None, progress: float = 0.0) -> float:

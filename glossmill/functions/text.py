@@ -100,8 +100,17 @@ def word_ngrams(tokens: Column | str, n: int) -> Column:
     return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
-def _among(array: str) -> Callable[[Column], Column]:
-    return lambda x: F.array_contains(F.col(array), x)
+def _hits(n: int) -> Column:
+    """How many of the staged prediction's n-grams are among the reference's.
+
+    Distinct grams are parted into common and own by hashing; only if both kinds occur
+    are the prediction's grams looked up, and then in the smaller part.
+    """
+    p, common, own = F.col(f"__p{n}"), F.col(f"__c{n}"), F.col(f"__o{n}")
+    few = F.size(F.filter(p, lambda x: F.array_contains(F.col(f"__c{n}"), x)))
+    many = F.size(p) - F.size(F.filter(p, lambda x: F.array_contains(F.col(f"__o{n}"), x)))
+    looked_up = F.when(F.size(common) < F.size(own), few).otherwise(many)
+    return F.when(F.size(common) == 0, 0).when(F.size(own) == 0, F.size(p)).otherwise(looked_up)
 
 
 def _tagged(n: int) -> Callable[[Column], Column]:
@@ -118,7 +127,8 @@ def with_gleu(df: DataFrame, pred: str, ref: str, out: str = "gleu", max_n: int
     """
     staged = df.withColumns({"__p": words(pred), "__r": words(ref)})
     staged = staged.withColumns({f"__{s}{n}": word_ngrams(f"__{s}", n) for s in "pr" for n in range(1, max_n + 1)})
-    staged = staged.withColumns({f"__m{n}": F.size(F.filter(f"__p{n}", _among(f"__r{n}"))) for n in range(1, max_n + 1)})
+    staged = staged.withColumns({f"__{k}{n}": f(f"__p{n}", f"__r{n}") for k, f in (("c", F.array_intersect), ("o", F.array_except)) for n in range(1, max_n + 1)})
+    staged = staged.withColumns({f"__m{n}": _hits(n) for n in range(1, max_n + 1)})
     both = [(F.size(f"__p{n}") > 0) & (F.size(f"__r{n}") > 0) for n in range(1, max_n + 1)]
     zero = F.lit(0.0)
     used = sum((b.cast("int") for b in both), F.lit(0))
@@ -127,7 +137,7 @@ def with_gleu(df: DataFrame, pred: str, ref: str, out: str = "gleu", max_n: int
     staged = staged.withColumns({"__n": used, "__ps": p, "__rs": r})
     mean_p, mean_r = F.col("__ps") / F.col("__n"), F.col("__rs") / F.col("__n")
     value = F.when((F.col("__n") == 0) | (F.col("__ps") + F.col("__rs") == 0), zero).otherwise(2 * mean_p * mean_r / (mean_p + mean_r))
-    extra = ["__p", "__r", "__n", "__ps", "__rs", *(f"__{s}{n}" for s in "prm" for n in range(1, max_n + 1))]
+    extra = ["__p", "__r", "__n", "__ps", "__rs", *(f"__{s}{n}" for s in "prmco" for n in range(1, max_n + 1))]
     return staged.withColumn(out, value).drop(*extra)
 
 

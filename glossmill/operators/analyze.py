@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossmill.functions.text import edit_distance, normalize_text, word_count
@@ -45,35 +45,48 @@ def edit_measures(samples: DataFrame, composed: bool = False) -> DataFrame:
     return staged.withColumns({"edit_similarity": similarity, "correction_density": density}).drop("__s", "__t")
 
 
-def language_stats(samples: DataFrame, composed: bool = False) -> DataFrame:
-    """(lang, *METRICS): one row for each language and one for all, named `__overall__`; none for no samples.
+_COUNTS = METRICS[:4]
+_SUMS = ("source_chars", "target_chars", "source_words", "target_words", "edit_distance", "edit_similarity", "correction_density")
+
+
+def _language_sums(measured: DataFrame, sides: dict[str, Column | None]) -> DataFrame:
+    """Counts and sums by language and over all, which is named `__overall__`, for each side of the rows a condition picks.
 
     Rows are summed once by language; the overall row comes from those few sums.
     """
-    measured = edit_measures(samples, composed)
-    count = {
-        "n_samples": F.count("*"),
-        "n_identity": F.count_if("is_identity"),
-        "n_augmented": F.count_if(is_augmented(F.coalesce("id", F.lit("")))),
-        "n_identity_injected": F.count_if(is_identity_injected(F.coalesce("id", F.lit("")))),
-    }
-    total = {c: F.sum(c) for c in ("source_chars", "target_chars", "source_words", "target_words", "edit_distance", "edit_similarity", "correction_density")}
-    sums = measured.groupBy("lang").agg(*(v.alias(k) for k, v in (count | total).items()))
-    level = sums.groupingSets([[F.col("lang")], []], "lang").agg(F.grouping("lang").alias("__all"), *(F.sum(c).alias(c) for c in (*count, *total))).where("n_samples > 0")
-    mean = lambda c: F.col(c) / F.col("n_samples")
-    return level.select(
-        F.when(F.col("__all") == 1, OVERALL).otherwise(F.col("lang")).alias("lang"),
-        *count,
-        mean("n_identity").alias("identity_ratio"),
-        mean("source_chars").alias("avg_source_len_char"),
-        mean("target_chars").alias("avg_target_len_char"),
-        mean("source_words").alias("avg_source_len_word"),
-        mean("target_words").alias("avg_target_len_word"),
-        mean("edit_distance").alias("avg_edit_distance"),
-        mean("edit_similarity").alias("avg_edit_similarity"),
-        (1.0 - mean("edit_similarity")).alias("error_rate"),
-        mean("correction_density").alias("avg_correction_density"),
-    )
+    id_ = F.coalesce("id", F.lit(""))
+    flags = {"n_samples": F.lit(True), "n_identity": F.col("is_identity"), "n_augmented": is_augmented(id_), "n_identity_injected": is_identity_injected(id_)}
+    found = []
+    for side, picked in sides.items():
+        own = (lambda c: c) if picked is None else (lambda c, picked=picked: F.when(picked, c))
+        found += [F.count_if(own(flag)).alias(side + c) for c, flag in flags.items()]
+        found += [F.coalesce(F.sum(own(F.col(c))), F.lit(0)).alias(side + c) for c in _SUMS]
+    sums = measured.groupBy("lang").agg(*found)
+    names = [c for c in sums.columns if c != "lang"]
+    level = sums.groupingSets([[F.col("lang")], []], "lang").agg(F.grouping("lang").alias("__all"), F.count("*").alias("__n"), *(F.sum(c).alias(c) for c in names))
+    return level.where("__n > 0").withColumn("lang", F.when(F.col("__all") == 1, OVERALL).otherwise(F.col("lang")))
+
+
+def _metrics(side: str = "") -> list[Column]:
+    """METRICS from counts and sums; a side without samples has zeros, as has its error rate."""
+    n = F.col(side + "n_samples")
+    mean = lambda c: F.when(n > 0, F.col(side + c) / n).otherwise(F.lit(0.0))
+    values = [F.col(side + c) for c in _COUNTS] + [mean("n_identity"), *map(mean, _SUMS[:6]), F.when(n > 0, 1.0 - mean("edit_similarity")).otherwise(F.lit(0.0)), mean("correction_density")]
+    return [v.alias(m) for v, m in zip(values, METRICS, strict=True)]
+
+
+def language_stats(samples: DataFrame, composed: bool = False) -> DataFrame:
+    """(lang, *METRICS): one row for each language and one for all, named `__overall__`; none for no samples."""
+    return _language_sums(edit_measures(samples, composed), {"": None}).select("lang", *_metrics())
+
+
+def compare_growth(base: DataFrame, added: DataFrame, composed: bool = False) -> DataFrame:
+    """What `compare_stats` says of `base` before and of `base` with `added` after, measuring every sample once."""
+    names = ["id", "lang", "source", "target"]
+    both = base.select(*names, F.lit(True).alias("__old")).unionByName(added.select(*names, F.lit(False).alias("__old")))
+    sums = _language_sums(edit_measures(both, composed), {"b_": F.col("__old"), "a_": None})
+    sides = sums.select("lang", F.struct(*_metrics("b_")).alias("before"), F.struct(*_metrics("a_")).alias("after"))
+    return sides.withColumn("delta", F.struct(*((F.col(f"after.{m}") - F.col(f"before.{m}")).alias(m) for m in METRICS)))
 
 
 def compare_stats(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -108,32 +121,27 @@ def char_ngram_counts(texts: DataFrame, text: str, n: int, keys: tuple[str, ...]
     return texts.select(*keys, F.explode(char_ngrams(text, n)).alias("gram")).groupBy(*keys, "gram").agg(F.count("*").alias("count"))
 
 
+def as_table(rows: list[dict]) -> str:
+    """Rows as lines of text: names on top, columns as wide as their longest cell, words to the left and numbers to the right."""
+    names = list(dict.fromkeys(k for r in rows for k in r))
+    shown = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
+    cells = [names, *([shown(r.get(k)) for k in names] for r in rows)]
+    width = [max(len(line[i]) for line in cells) for i in range(len(names))]
+    words = [any(isinstance(r.get(k), str) for r in rows) for k in names]
+    return "\n".join("  ".join(c.ljust(w) if left else c.rjust(w) for c, w, left in zip(line, width, words, strict=True)).rstrip() for line in cells)
+
+
+def in_order(rows: list[dict]) -> list[dict]:
+    """Languages by name, all of them last."""
+    return sorted(rows, key=lambda r: (r["lang"] == OVERALL, r["lang"]))
+
+
 def format_stats(rows: list[dict]) -> str:
-    """A profile as a table of fixed columns, languages sorted, all of them last."""
-    heads = (("Lang", "<6"), ("N", ">6"), ("Ident", ">6"), ("Ident%", ">7"), ("Aug", ">5"), ("SrcLen", ">7"), ("TgtLen", ">7"), ("SrcWrd", ">7"), ("TgtWrd", ">7"), ("EditDist", ">9"), ("EditSim", ">8"), ("ErrRate", ">8"), ("CorrDen", ">8"))
-    cells = ("n_samples", ">6"), ("n_identity", ">6"), ("identity_ratio", ">7.1%"), ("n_augmented", ">5"), ("avg_source_len_char", ">7.1f"), ("avg_target_len_char", ">7.1f"), ("avg_source_len_word", ">7.1f"), ("avg_target_len_word", ">7.1f"), ("avg_edit_distance", ">9.2f"), ("avg_edit_similarity", ">8.4f"), ("error_rate", ">8.4f"), ("avg_correction_density", ">8.4f")
-    line = lambda name, r: " ".join([format(name, "<6"), *(format(r[c], f) for c, f in cells)])
-    rule = "-" * 110
-    by = {r["lang"]: r for r in rows}
-    out = [" ".join(format(h, f) for h, f in heads), rule, *(line(k, by[k]) for k in sorted(by) if k != OVERALL), rule]
-    return "\n".join(out + ([line("ALL", by[OVERALL])] if OVERALL in by else []))
+    """A profile, a line a language."""
+    return as_table(in_order(rows))
 
 
 def format_comparison(rows: list[dict]) -> str:
-    """A comparison as a table of before and after, languages sorted, all of them last."""
-    head = f"{'Lang':<6} │ {'N (b→a)':>13} {'Ident% (b→a)':>17} {'ErrRate (b→a)':>19} {'CorrDen (b→a)':>19} {'Aug#':>5} {'IdInj#':>6}"
-    pair = lambda r, c, f, g: f"{format(r['before'][c], f)}→{format(r['after'][c], g)}"
-
-    def line(name: str, r: dict) -> str:
-        changes = [
-            format(pair(r, "n_samples", ">5", "<5"), ">13"),
-            format(pair(r, "identity_ratio", ">6.1%", "<6.1%"), ">17"),
-            format(pair(r, "error_rate", ">7.4f", "<7.4f"), ">19"),
-            format(pair(r, "avg_correction_density", ">7.4f", "<7.4f"), ">19"),
-        ]
-        return f"{name:<6} │ " + " ".join([*changes, format(r["after"]["n_augmented"], ">5"), format(r["after"]["n_identity_injected"], ">6")])
-
-    rule = "─" * 100
-    by = {r["lang"]: r for r in rows}
-    out = [head, rule, *(line(k, by[k]) for k in sorted(by) if k != OVERALL), rule]
-    return "\n".join(out + ([line("ALL", by[OVERALL])] if OVERALL in by else []))
+    """A comparison, a line for each language and metric that changed."""
+    lines = [{"lang": r["lang"], "metric": m, **{side: r[side][m] for side in ("before", "after", "delta")}} for r in in_order(rows) for m in METRICS if r["delta"][m]]
+    return as_table(lines)

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossmill.functions.scoring import DATA_SOURCE_PREFIX
 from glossmill.functions.text import _col, strip
 from glossmill.schemas import LANGUAGES
 
-# The instruction around a sentence.
+# Fixed value: the instruction before a sentence; {} stands for its language.
 INSTRUCTION = (
-    "Please identify whether the {} sentence I provide contains any grammatical errors. ",
+    "Please identify whether the {} sentence I provide contains any grammatical errors. "
     "If there are grammatical errors, please correct them with the minimal necessary changes. "
     "If there are no grammatical errors, please reply with the original sentence. "
     "You must output your final answer in the following format: "
     "<answer> your corrected sentence, or the original sentence </answer> "
-    "The sentence you need to correct is: ",
+    "The sentence you need to correct is: "
 )
 ID_TEXT = 200
 ID_LENGTH = 12
@@ -29,8 +30,7 @@ def language_name(code: Column | str) -> Column:
 
 
 def instruction(source: Column | str, lang: Column | str) -> Column:
-    before, after = INSTRUCTION[0].split("{}")
-    return F.concat(F.lit(before), language_name(lang), F.lit(after + INSTRUCTION[1]), _col(source))
+    return F.concat(F.replace(F.lit(INSTRUCTION), F.lit("{}"), language_name(lang)), _col(source))
 
 
 def sample_id(lang: Column | str, corpus: Column | str, source: Column | str, ref: Column | str) -> Column:
@@ -129,15 +129,13 @@ def sft_records(samples: DataFrame) -> DataFrame:
     return samples.select("messages", "lang", "id")
 
 
-def rl_records(samples: DataFrame, with_split: bool = False) -> DataFrame:
+def rl_records(samples: DataFrame, with_split: bool = False, prefix: str = DATA_SOURCE_PREFIX) -> DataFrame:
     """Prompt, rule-based ground truth and provenance for reinforcement learning.
 
     With a split, as the corpus build writes them, the data source also names the corpus
     and the split is part of the provenance and a column to partition by.
     """
-    from glossmill.functions.scoring import DATA_SOURCE_PREFIX
-
-    source = F.concat(F.lit(DATA_SOURCE_PREFIX), "lang", *([F.lit("_"), F.col("corpus")] if with_split else []))
+    source = F.concat(F.lit(prefix), "lang", *([F.lit("_"), F.col("corpus")] if with_split else []))
     info = ["id", "lang", "corpus", "source", *(["split"] if with_split else [])]
     return samples.select(
         source.alias("data_source"),

@@ -51,20 +51,14 @@ def pick(rows: DataFrame, ratio: float, seed: int, tag: str, seq: str | None = N
     if ratio <= 0:
         return rows.limit(0)
     staged = rows.withColumn("__hash", order_hash("id", seed, tag)).withColumn("__bucket", F.substring("__hash", 1, DIGITS))
-    counts = sorted((r["__bucket"], r["n"]) for r in staged.groupBy("__bucket").agg(F.count("*").alias("n")).collect())  # at most 16 ** DIGITS rows
-    left = min(int(sum(n for _, n in counts) * float(ratio)), sum(n for _, n in counts))
-    edge, rest = "", 0
-    for bucket, n in counts:
-        if left < n:
-            edge, rest = bucket, left
-            break
-        left -= n
-    else:
-        return rows
-    whole = staged.where(F.col("__bucket") < edge).drop("__hash", "__bucket")
+    # At most 16 ** DIGITS rows: where each bucket starts, and how many rows are wanted of all.
+    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(F.lit(1))
+    counts = staged.groupBy("__bucket").agg(F.count("*").alias("__n"))
+    starts = counts.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"), share(F.sum("__n").over(every), ratio).alias("__wanted"))
+    some = staged.join(F.broadcast(starts.where("__start < __wanted")), "__bucket")
     within = Window.partitionBy("__bucket").orderBy("__hash", "id", *([seq] if seq else []))
-    part = staged.where(F.col("__bucket") == edge).withColumn("__n", F.row_number().over(within)).where(F.col("__n") <= rest)
-    return whole.unionByName(part.drop("__hash", "__bucket", "__n"))
+    return some.withColumn("__at", F.row_number().over(within)).where("__start + __at <= __wanted").select(*rows.columns)
 
 
 def inject_identity(samples: DataFrame, ratio: float = 0.07, seed: int = 42, seq: str | None = None, rebuild: bool = False) -> DataFrame:
@@ -76,7 +70,7 @@ def noisy_samples(samples: DataFrame, ratio: float = 0.2, rate: float = 0.05, no
     """Copies of a share of the samples whose source is their target with synthetic errors, ids tagged `_aug`."""
     if ratio <= 0:
         return samples.limit(0)
-    key = F.xxhash64("id", *([F.col(seq)] if seq else []), F.lit(seed))
+    key = F.concat_ws("|", "id", *([F.col(seq).cast("string")] if seq else []), F.lit(str(seed)))
     return with_source(pick(samples, ratio, seed, "noise", seq), add_noise("target", key, noise_type, rate), "_aug", rebuild)
 
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossmill.functions.scoring import DATA_SOURCE_PREFIX
 from glossmill.functions.text import strip
 from glossmill.operators import analyze, evaluate, sampling
 from glossmill.operators.samples import align_documents, align_essays, align_lines, build_samples, filter_pairs, rl_records, sft_records
@@ -42,15 +43,15 @@ def samples_from_corpora(spark: SparkSession, data_dir: str, max_source_len: int
     return build_samples(pairs.withColumnsRenamed({"lang_code": "lang", "corpus_name": "corpus"}))
 
 
-def build_dataset(spark: SparkSession, data_dir: str, output_dir: str, max_source_len: int = 1024) -> DataFrame:
-    """Write the samples of every split as JSON lines and Parquet; returns the counts."""
+def build_dataset(spark: SparkSession, data_dir: str, output_dir: str, max_source_len: int = 1024, prefix: str = DATA_SOURCE_PREFIX) -> DataFrame:
+    """Write the samples of every split as JSON lines and Parquet, file names and data sources with a prefix; returns the counts."""
     samples = samples_from_corpora(spark, data_dir, max_source_len)
     out = f"{output_dir}/samples"
     samples.write.mode("overwrite").partitionBy("split").parquet(out)
     stored = spark.read.schema(SAMPLE).parquet(out)
     for split in SPLITS:
-        files.write_jsonl(stored.where(F.col("split") == split), f"{output_dir}/{files.DATA_SOURCE_PREFIX}{split}.jsonl")
-    files.write_parquet_by_split(rl_records(stored, with_split=True), output_dir)
+        files.write_jsonl(stored.where(F.col("split") == split), f"{output_dir}/{prefix}{split}.jsonl")
+    files.write_parquet_by_split(rl_records(stored, True, prefix), output_dir, prefix)
     return analyze.corpus_counts(stored)
 
 
@@ -99,13 +100,13 @@ def evaluate_files(spark: SparkSession, predictions: str, references: str, outpu
     return metrics
 
 
-def prepare(spark: SparkSession, path: str, sft_output: str | None = None, rl_output: str | None = None, max_samples: int | None = None) -> None:
+def prepare(spark: SparkSession, path: str, sft_output: str | None = None, rl_output: str | None = None, max_samples: int | None = None, prefix: str = DATA_SOURCE_PREFIX) -> None:
     """Training tables from JSON lines."""
     samples = files.read_jsonl_head(spark, path, SAMPLE, max_samples)
     if sft_output:
         sft_records(samples).write.mode("overwrite").parquet(sft_output)
     if rl_output:
-        rl_records(samples).write.mode("overwrite").parquet(rl_output)
+        rl_records(samples, prefix=prefix).write.mode("overwrite").parquet(rl_output)
 
 
 def infer(samples: DataFrame, generator: Callable[[], Callable[[list[str]], list[str]]], batch_size: int = 8) -> DataFrame:

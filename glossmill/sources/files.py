@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossmill.functions.scoring import DATA_SOURCE_PREFIX
+from glossmill.functions.text import strip
 from glossmill.schemas import LANGUAGES, SPLITS
 
 
@@ -106,8 +107,10 @@ def read_jsonl_head(spark: SparkSession, path: str, schema: str, max_samples: in
     """The samples among the first `max_samples` lines of one file, blank lines counted; 0 or None means all."""
     if not max_samples:
         return read_jsonl(spark, path, schema)
-    lines = spark.read.text(path).limit(max_samples)
-    return lines.where(F.trim("value") != "").select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("s")).select("s.*")
+    # Lines in the file's order, whatever splits it is read in.
+    placed = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+    lines = placed.orderBy("file_path", "file_block_start", "at").limit(max_samples)
+    return lines.where(strip("value") != "").select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("s")).select("s.*")
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -115,18 +118,16 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def write_parquet_by_split(df: DataFrame, folder: str) -> dict[str, str]:
+def write_parquet_by_split(df: DataFrame, folder: str, prefix: str = DATA_SOURCE_PREFIX) -> dict[str, str]:
     """One Parquet table per split that has rows; returns their paths."""
     found = [r["split"] for r in df.select("split").distinct().collect()]  # three values at most
     out = {}
     for split in sorted(found):
-        out[split] = f"{folder}/{DATA_SOURCE_PREFIX}{split}.parquet"
+        out[split] = f"{folder}/{prefix}{split}.parquet"
         df.where(F.col("split") == split).drop("split").write.mode("overwrite").parquet(out[split])
     return out
 
 
-
-
 def write_report(report: dict, path: str) -> None:
     """A small result as indented JSON, non-ASCII kept."""
     with open(path, "w", encoding="utf-8") as f:
