@@ -1,5 +1,7 @@
+import hashlib
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,17 +110,61 @@ def test_noisy_samples(spark):
         sampling.noisy_samples(s, 0.2, noise_type="odd")
 
 
-def test_noise_functions():
-    for seed in range(200):
-        rng = random.Random(seed)
-        text = "The cat, it sat on the mat. Groß!"
-        out = noise.spelling_noise(text, 0.1, rng)
-        assert len(text) - 3 <= len(out) <= len(text) + 3
-        words = noise.grammar_noise(text, 0.1, rng).split()
-        assert abs(len(words) - 8) <= 1 and set(words) <= set(text.split())
-    assert noise.grammar_noise(" one ", 0.5, random.Random(1)) == " one "
-    assert noise.spelling_noise("ab", 0.5, random.Random(1)) == "ab"
-    assert len(noise.grammar_noise("a b c d", 5.0, random.Random(3)).split()) >= 1
+def drawn(key, step, first, digits):
+    return int(hashlib.md5(f"{key}|{step}".encode()).hexdigest()[first - 1 : first - 1 + digits], 16)
+
+
+def slow_spelling(text, key, rate):
+    for step in range(1, max(1, int(len(text) * rate)) + 1):
+        if len(text) < 3:
+            continue
+        kind, at_random = drawn(key, step, 1, 7) % 4, drawn(key, step, 8, 13)
+        if kind == 0:
+            at = at_random % (len(text) - 1)
+            if text[at].isalpha() and text[at + 1].isalpha():
+                text = text[:at] + text[at + 1] + text[at] + text[at + 2 :]
+            continue
+        places = [i for i, c in enumerate(text) if (None, c == " ", c.isalpha(), c in ".,;:!?")[kind]]
+        if places:
+            at = places[at_random % len(places)]
+            text = text[:at] + (text[at].swapcase() if kind == 2 else "") + text[at + 1 :]
+    return text
+
+
+def slow_grammar(text, key, rate):
+    words = text.split()
+    if len(words) < 2:
+        return text
+    for step in range(1, max(1, int(len(words) * rate)) + 1):
+        if len(words) < 2:
+            continue
+        kind, at_random = drawn(key, step, 1, 7) % 3, drawn(key, step, 8, 13)
+        at = at_random % (len(words) - (kind == 2))
+        words = words[:at] + ([], [words[at]] * 2, words[at : at + 2][::-1])[kind] + words[at + (2 if kind == 2 else 1) :]
+    return " ".join(words)
+
+
+NOISED = ["The cat, it sat on the mat. Groß!", "ab", "", "one", " one ", "a b c d e f g", "Ünï\u00a0cödé\n\ntext; с буквами? 😀 x", "0101 1 0", "a.b,c;d:e!f?"]
+
+
+@pytest.mark.parametrize("rate", [0.05, 0.3, 2.0])
+def test_noise_against_plain_steps(spark, rate):
+    rows = [(f"{t}-{i}", text) for t in range(6) for i, text in enumerate(NOISED)]
+    df = spark.createDataFrame(rows, "key string, text string")
+    kinds = {k: noise.add_noise("text", F.col("key"), k, rate).alias(k) for k in noise.NOISE_TYPES}
+    for r in df.select("key", "text", *kinds.values()).collect():
+        spelled, worded = slow_spelling(r["text"], r["key"], rate), slow_grammar(r["text"], r["key"], rate)
+        assert (r["spelling"], r["grammar"]) == (spelled, worded)
+        assert r["mixed"] == (spelled if drawn(r["key"], 0, 1, 1) < 8 else worded)
+    assert spark.createDataFrame([(None,)], "text string").select(noise.add_noise("text", F.lit("k"))).first()[0] is None
+
+
+def test_noise_places_are_drawn_evenly(spark):
+    df = spark.range(4000).select(noise.add_spelling_noise(F.lit("abcdef gh"), F.col("id").cast("string"), 0.1).alias("t"))
+    counts = Counter(r["t"] for r in df.collect())
+    assert abs(counts["abcdefgh"] - 1000) < 150  # one blank, a quarter of the steps
+    assert all(abs(counts[x] - 125) < 60 for x in ("Abcdef gh", "abcDef gh", "abcdef gH"))
+    assert abs(counts["abcdef gh"] - 1000 - 250) < 200  # no mark to drop, or a swap over the blank
 
 
 @pytest.mark.parametrize("strategy, fixed", [("uniform", None), ("sqrt", None), ("log", None), (None, 30)])
@@ -187,10 +233,23 @@ def test_comparison_and_tables(spark):
     rows = {r["lang"]: r.asDict(recursive=True) for r in analyze.compare_stats(a, b).collect()}
     assert rows["en"]["after"]["n_samples"] == 0 and rows["en"]["delta"]["n_samples"] == -1
     assert rows["de"]["before"]["error_rate"] == 0 and rows["__overall__"]["delta"]["n_samples"] == 1
-    table = analyze.format_comparison(list(rows.values()))
-    assert table.splitlines()[2].startswith("de     │") and table.splitlines()[-1].startswith("ALL")
-    single = analyze.format_stats([r.asDict() for r in a.collect()])
-    assert len(single.splitlines()[1]) == 110 and "100.0%" not in single.splitlines()[2]
+    table = analyze.format_comparison(list(rows.values())).splitlines()
+    assert table[0].split() == ["lang", "metric", "before", "after", "delta"] and table[1].split() == ["de", "n_samples", "0", "2", "2"] and table[-1].startswith("__overall__")
+    single = analyze.format_stats([r.asDict() for r in a.collect()]).splitlines()
+    assert single[0].split() == ["lang", *analyze.METRICS] and [x.split()[0] for x in single[1:]] == ["en", "__overall__"] and len(set(map(len, single))) == 1
+    assert analyze.as_table([]) == ""
+
+
+def test_growth_is_a_comparison_in_one_pass(spark):
+    base = spark.createDataFrame([("1", "en", "a b", "a c"), ("2", "de", "x", "x"), ("3", None, "", "q")], STATS)
+    added = spark.createDataFrame([("1_id", "en", "a c", "a c"), ("4_aug", "fr", "u", "v")], STATS)
+    asked = analyze.compare_stats(analyze.language_stats(base), analyze.language_stats(base.unionByName(added)))
+    grown = analyze.compare_growth(base, added)
+    assert {r["lang"]: (r["before"]["n_samples"], r["after"]["n_samples"]) for r in grown.collect()} == {"en": (1, 2), "de": (1, 1), "fr": (0, 1), "unknown": (1, 1), "__overall__": (3, 5)}
+    for m in analyze.METRICS:
+        a, b = ({r["lang"]: (r["before"][m], r["after"][m], r["delta"][m]) for r in df.collect()} for df in (asked, grown))
+        assert all(a[k] == pytest.approx(b[k]) for k in a) and set(a) == set(b)
+    assert analyze.compare_growth(base.limit(0), added.limit(0)).count() == 0
 
 
 def test_counts(spark):
@@ -208,7 +267,7 @@ def test_evaluate(spark):
     assert got["__overall__"]["n_predictions"] == 4 and got["__overall__"]["n_matched"] == 3 and got["__overall__"]["exact_match"] == pytest.approx(2 / 3)
     assert got["en"]["n_matched"] == 2 and got["en"]["exact_match"] == 0.5
     report = evaluate.report([r.asDict() for r in got.values()])
-    assert list(report["per_language"]) == ["en", "unknown"] and "Matched: 3 / 4" in evaluate.format_report(report)
+    assert list(report["per_language"]) == ["en", "unknown"] and report["overall"]["n_matched"] == 3
 
 
 def test_evaluate_without_match(spark):
@@ -229,15 +288,15 @@ def welford(scores, warmup=30):
     return out
 
 
-@pytest.mark.parametrize("block", [7, 10_000])
-def test_running_normalization(spark, block):
+@pytest.mark.parametrize("block, base", [(7, 0.0), (10_000, 0.0), (7, 1e6)])
+def test_running_normalization(spark, block, base):
     rng = random.Random(1)
-    rows = [(lang, i, rng.random()) for i in range(100) for lang in ("en", "de")] + [("fr", i, 0.5) for i in range(40)]
+    rows = [(lang, i * i - 50, base + rng.random()) for i in range(100) for lang in ("en", "de")] + [("fr", i, 0.5) for i in range(40)]
     df = spark.createDataFrame(rows, "lang string, seq long, score double")
     got = evaluate.running_normalization(df.repartition(5), block_rows=block).collect()
     for lang in ("en", "de", "fr"):
         mine = [r["normalized"] for r in sorted((r for r in got if r["lang"] == lang), key=lambda r: r["seq"])]
-        assert mine == pytest.approx(welford([s for k, _, s in rows if k == lang]), abs=1e-6)
+        assert mine == pytest.approx(welford([s for k, _, s in rows if k == lang]), abs=1e-6 if not base else 1e-4)
 
 
 def test_tokens(spark):

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,6 +66,22 @@ def test_scores_columns_and_scalar_agree(spark):
         assert got[i] == pytest.approx(score_value(p, r, s))
 
 
+def test_distances_of_long_and_odd_texts():
+    def slow(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(3)
+    for _ in range(400):
+        a, b = ("".join(rng.choices("abé😀", k=rng.randint(0, 70))) for _ in range(2))
+        assert scoring._distance(a, b) == slow(a, b)
+    assert scoring._distance("ab" * 2000, "ba" * 2000) == 2
+
+
 def test_score_order_and_parts(spark):
     source, ref = "I is happy and she are sad.", "I am happy and she is sad."
     df = spark.createDataFrame([(ref,), ("I am happy and she are sad.",), (source,)], "p string").withColumns({"r": F.lit(ref), "s": F.lit(source)})
@@ -82,6 +99,7 @@ def test_compute_score_by_name():
 
 def test_language_of(spark):
     df = spark.createDataFrame([(DATA_SOURCE_PREFIX + "cs_NatForm",), (DATA_SOURCE_PREFIX + "en",), ("other",), (2 * DATA_SOURCE_PREFIX + "x",)], "d string")
+    assert df.select(language_of("d", "oth")).collect()[2][0] == "er"
     assert [r[0] for r in df.select(language_of("d")).collect()] == ["cs_NatForm", "en", "other", DATA_SOURCE_PREFIX + "x"]
 
 

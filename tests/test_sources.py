@@ -71,7 +71,7 @@ def test_build_augment_analyze_prepare(spark, corpora, tmp_path, capsys):
     main(["analyze", "--before", train, "--after", augmented, "--output", str(report)])
     assert json.loads(report.read_text())["en"]["delta"]["n_samples"] == 4
     main(["analyze", "--input", train])
-    assert "EditDist" in capsys.readouterr().out
+    assert "avg_edit_distance" in capsys.readouterr().out
     main(["prepare", "--input", augmented, "--sft-output", str(tmp_path / "sft"), "--rl-output", str(tmp_path / "rl")])
     assert spark.read.parquet(str(tmp_path / "sft")).columns == ["messages", "lang", "id"] and spark.read.parquet(str(tmp_path / "rl")).count() == 8
 
@@ -82,7 +82,8 @@ def test_evaluate_files(spark, tmp_path, capsys):
     refs.write_text('{"id": "1", "target": "stale", "lang": "en"}\n{"id": "1", "target": "ä b", "lang": "en"}\n')
     main(["evaluate", "--predictions", str(preds), "--references", str(refs), "--output", str(out)])
     assert json.loads(out.read_text())["overall"] == {"n_predictions": 2, "n_matched": 1, "exact_match": 1.0, "edit_distance_similarity": 1.0, "gleu": 1.0}
-    assert "Matched: 1 / 2" in capsys.readouterr().out
+    printed = capsys.readouterr().out.splitlines()
+    assert printed[0].split()[:2] == ["lang", "n_predictions"] and printed[1].split()[:3] == ["all", "2", "1"]
 
 
 def test_jsonl_bad_line_fails(spark, tmp_path):
@@ -97,6 +98,24 @@ def test_bounded_scan_counts_blank_lines(spark, tmp_path):
     path.write_text('{"id": "1"}\n\n{"id": "2"}\n{"id": "3"}\n')
     assert [r["id"] for r in files.read_jsonl_head(spark, str(path), "id string", 3).collect()] == ["1", "2"]
     assert files.read_jsonl_head(spark, str(path), "id string", 0).count() == 3
+    path.write_text('{"id": "1"}\n\t \t\n\u00a0\n{"id": "2"}\n{"id": "3"}\n')
+    assert [r["id"] for r in files.read_jsonl_head(spark, str(path), "id string", 4).collect()] == ["1", "2"]
+
+
+def test_bounded_scan_keeps_the_order_of_lines_over_splits(spark, tmp_path):
+    path = tmp_path / "x.jsonl"
+    path.write_text("".join(f'{{"id": "{i}"}}\n' for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 4096)
+    try:
+        got = [int(r["id"]) for r in files.read_jsonl_head(spark, str(path), "id string", 3000).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == list(range(3000))
+
+
+def test_prefix_is_the_callers(spark, corpora, tmp_path):
+    pipelines.build_dataset(spark, corpora, str(tmp_path / "own"), prefix="mine_")
+    assert spark.read.parquet(str(tmp_path / "own" / "mine_dev.parquet")).first()["data_source"] == "mine_de_Beta"
 
 
 def test_jsonl_keeps_letters(spark, tmp_path):
