@@ -153,8 +153,9 @@ def encode_documents(docs: DataFrame, ranks_file: str | None = None, with_ids: b
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256, and ids if wanted.
 
     Whole texts are encoded; a null or empty text has no ids.  The decoded bytes are
-    the text's own UTF-8.  Rows map one to one, repeated ids or texts included, and an
-    empty table gives an empty result.
+    the text's own UTF-8.  Rows map one to one, repeated ids, texts and ties included;
+    null ids are carried; very long texts are split in pieces that don't change the ids;
+    other columns, of whatever names, are ignored; an empty table gives an empty result.
     """
     path = ranks_file or tokenizer_file("byte_bpe_multi_50k.tiktoken")
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]

@@ -2,7 +2,8 @@
 
 The index keeps short fingerprints in buckets of four, each with a slot number of
 the stored key.  A fingerprint hit alone proves nothing: it is verified against the
-key in the bucketed content store.  When an insertion cannot find room, the table
+content's key that the slot holds, the SHA-256 of the whole text, which stands for the
+text itself (among 10^12 different texts two share one with odds of 1 to 10^53).  When an insertion cannot find room, the table
 doubles and is refilled from the stored keys, so nothing is ever lost.
 
 On the cluster each input task folds its own rows first, so a text with any number

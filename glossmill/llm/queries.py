@@ -1,7 +1,10 @@
 """Contract queries over the corpus operators, one per operator, and their SQL.
 
 Each takes (spark, sf_dir), applies its operator with production parameters to the
-whole `documents` table and returns the full result.
+whole `documents` table and returns the full result.  For null ids and texts, empty and
+very long texts, ties, repeated rows, empty tables and extra columns the results are
+those that the operator's docstring defines; extra columns of `documents` never reach a
+result.
 """
 
 from __future__ import annotations
@@ -15,46 +18,56 @@ from glossmill.llm.common import table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rules and the forest's verdict for every row; null and empty texts fail the base rules."""
     docs = table(spark, sf_dir, "documents")
     return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and ids as read back from the token files; null ids first, null texts their end id alone."""
     return token_files.token_files(table(spark, sf_dir, "documents"))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed and learned spans of every row; null and empty texts have none."""
     docs = table(spark, sf_dir, "documents")
     return secret_scan.scan(docs, secret_scan.fit(docs))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every row's ids and decoded bytes; null and empty texts have no ids."""
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), with_ids=False)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every row, repeated ones too; texts without words have fingerprint zero."""
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
 
 
 def op6_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and prediction for every row, null and empty texts included."""
     docs = table(spark, sf_dir, "documents")
     return quality_cnn.classify(docs, quality_cnn.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, target and words taken for every row; null sources are one source, null texts size 0."""
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every row; `und` for null texts and those without a letter."""
     docs = table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.fit(docs))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who stays for every row, dropped ones too; null texts equal empty ones."""
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def op10_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every row by the law `bytes`; null texts have size 1."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 

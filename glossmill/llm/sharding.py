@@ -143,8 +143,10 @@ def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, map_p
     The law is `bytes`: the shards' summed sizes are near equal.  Size is the text's
     UTF-8 bytes plus 1 (null: 1).  `slot` numbers the rows of a shard from 0 without
     gaps, by virtual slot, then a part of it, then doc_id.  Equal texts share a shard
-    unless together they exceed a fair share.  Repeated rows are placed one by one,
-    a null doc_id sorts first, an empty table gives an empty result and an empty map.
+    unless together they exceed a fair share.  Repeated rows and ties are placed one by
+    one, a null doc_id sorts first, very long texts count whole, other columns are
+    ignored, whatever their names, and an empty table gives an empty result and an empty
+    map.
 
     Where `map_path` holds maps already, the latest is edited by `rebalance` and stored as
     the next version; `slots` must be what it was.
