@@ -72,12 +72,17 @@ def essays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "lang", "corpus", split_by_id().alias("split"), F.regexp_replace("text", PUNCTUATION, "").alias("orig_text"), F.col("text").alias("ref_text"))
 
 
-def line_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, line_no, id, lang, corpus, split, source, target) of every aligned line."""
-    pairs = filter_pairs(align_lines(essays(spark, sf_dir), ("doc_id", "lang", "corpus", "split")))
+def all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, line_no, id, lang, corpus, split, source, target) of every aligned line, however long."""
+    pairs = align_lines(essays(spark, sf_dir), ("doc_id", "lang", "corpus", "split"))
     return pairs.withColumn("id", F.concat_ws(":", "doc_id", "line_no"))
 
 
+def line_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that the corpus build keeps as samples."""
+    return filter_pairs(all_lines(spark, sf_dir))
+
+
 def full_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples with prompts and messages; the id is the line's place, which is unique."""
     lines = line_samples(spark, sf_dir).withColumns({"ref": F.lit("ref1"), "place": F.col("id")})
@@ -112,6 +117,8 @@ samples AS (
   FROM raw_samples),
 scored AS (SELECT *, trim(regexp_replace(prediction, '\s+', ' ', 'g')) AS np FROM samples)
 """
+#: The same over every aligned line.
+_ALL_CTE = _CTE.replace("length(source) <= 4096 AND length(target) <= 4096 AND ", "")
 #: DuckDB's distance counts bytes, so letters beyond ASCII become unused control characters, one for one.
 _ODD = "ÄÇÈÉÊÍÑÓÖÜßàáâäçèéêíîñóôöùúûü"
 _CODES = range(1, 32)
@@ -169,22 +176,22 @@ def edit_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    f"""{_CTE}
+    f"""{_ALL_CTE}
 SELECT lang, gram, count(*) AS n FROM (SELECT lang, unnest([substr(nt, i, 3) FOR i IN range(1, length(nt) - 1)]) AS gram FROM samples WHERE length(nt) >= 3) GROUP BY ALL"""
 )
 def char_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character trigram counts by language."""
-    t = line_samples(spark, sf_dir).select("lang", normalize_text("target").alias("t"))
+    t = all_lines(spark, sf_dir).select("lang", normalize_text("target").alias("t"))
     return analyze.char_ngram_counts(t, "t", 3, ("lang",)).withColumnRenamed("count", "n")
 
 
 @_query(
-    f"""{_CTE}, tok AS (SELECT lang, string_split(nt, ' ') AS w FROM samples WHERE nt <> '')
+    f"""{_ALL_CTE}, tok AS (SELECT lang, string_split(nt, ' ') AS w FROM samples WHERE nt <> '')
 SELECT lang, gram, count(*) AS n FROM (SELECT lang, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS gram FROM tok WHERE len(w) >= 2) GROUP BY ALL"""
 )
 def word_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """word bigram counts by language."""
-    t = line_samples(spark, sf_dir).select("lang", words(normalize_text("target")).alias("w"))
+    t = all_lines(spark, sf_dir).select("lang", words(normalize_text("target")).alias("w"))
     return t.select("lang", F.explode(word_ngrams("w", 2)).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
 
 
@@ -205,10 +212,10 @@ gleus AS (SELECT s.id, CASE WHEN per.id IS NULL OR p + r = 0 THEN 0.0::DOUBLE EL
 """
 
 
-@_query(f"{_CTE}, {_GLEU} SELECT id, round(gleu, 6) AS gleu FROM gleus")
+@_query(f"{_ALL_CTE}, {_GLEU} SELECT id, round(gleu, 6) AS gleu FROM gleus")
 def gleu(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F7 for every prediction."""
-    lines = predictions(line_samples(spark, sf_dir)).select("id", normalize_text("prediction").alias("p"), normalize_text("target").alias("t"))
+    lines = predictions(all_lines(spark, sf_dir)).select("id", normalize_text("prediction").alias("p"), normalize_text("target").alias("t"))
     return with_gleu(lines, "p", "t").select("id", F.round("gleu", 6).alias("gleu"))
 
 
@@ -228,10 +235,10 @@ chrfs AS (SELECT id, CASE WHEN mp + mr < 1e-12 THEN 0.0::DOUBLE ELSE 2 * mp * mr
 """
 
 
-@_query(f"{_CTE}, t AS (SELECT id, np AS p, nt AS r FROM scored WHERE np <> '' AND nt <> ''), {_chrf('t')} SELECT id, round(chrf, 6) AS chrf FROM chrfs")
+@_query(f"{_ALL_CTE}, t AS (SELECT id, np AS p, nt AS r FROM scored WHERE np <> '' AND nt <> ''), {_chrf('t')} SELECT id, round(chrf, 6) AS chrf FROM chrfs")
 def chrf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F4 for every prediction."""
-    lines = predictions(line_samples(spark, sf_dir)).select("id", normalize_text("prediction").alias("p"), normalize_text("target").alias("t"))
+    lines = predictions(all_lines(spark, sf_dir)).select("id", normalize_text("prediction").alias("p"), normalize_text("target").alias("t"))
     return lines.where("p <> '' AND t <> ''").select("id", F.round(chrf("p", "t"), 6).alias("chrf"))
 
 
@@ -269,10 +276,10 @@ gated AS (SELECT *, no <> '' AND (ns = '' OR length(no)::DOUBLE / length(ns) BET
 """
 
 
-@_query(f"{_CTE}, {_OUTPUTS} SELECT id, passed FROM gated")
+@_query(f"{_ALL_CTE}, {_OUTPUTS} SELECT id, passed FROM gated")
 def format_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P11 and F12 for every generation."""
-    lines = _outputs(line_samples(spark, sf_dir)).select("id", normalize_text("output").alias("o"), normalize_text("source").alias("s"))
+    lines = _outputs(all_lines(spark, sf_dir)).select("id", normalize_text("output").alias("o"), normalize_text("source").alias("s"))
     return lines.select("id", format_gate("o", "s").alias("passed"))
 
 
@@ -659,12 +666,12 @@ def rl_export_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    f"""{_CTE}, tok AS (SELECT id, doc_id, [length(w) FOR w IN string_split(nt, ' ')] AS t FROM samples)
+    f"""{_ALL_CTE}, tok AS (SELECT id, doc_id, [length(w) FOR w IN string_split(nt, ' ')] AS t FROM samples)
 SELECT id, len(t) <= 12 AS fits, array_to_string(t[1:8], ' ') AS cut, array_to_string([CASE WHEN i <= doc_id % 5 THEN -100 ELSE t[i] END FOR i IN range(1, len(t) + 1)], ' ') AS labels FROM tok"""
 )
 def token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P13, P14 and F20 with word lengths for token ids."""
-    t = line_samples(spark, sf_dir).select("id", "doc_id", F.transform(words(normalize_text("target")), F.length).alias("t"))
+    t = all_lines(spark, sf_dir).select("id", "doc_id", F.transform(words(normalize_text("target")), F.length).alias("t"))
     text = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), " ")
     return t.select("id", fits("t", 12).alias("fits"), text(truncate("t", 8)).alias("cut"), text(masked_labels("t", F.col("doc_id") % 5)).alias("labels"))
 
