@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.functions.text import SPACE, _col, chrf, chrf_value, edit_distance_similarity, normalize_text, strip
+from glossmill.functions.text import SPACE, _col, chrf, chrf_value, chrf_values, edit_distance_similarity, normalize_text, strip
 
 # Fixed values.
 FORMAT_FAIL_SCORE = -1.0
@@ -127,7 +127,7 @@ def register(spark: SparkSession) -> None:
 
     @F.pandas_udf("double")
     def chrf_score(pred: pd.Series, ref: pd.Series) -> pd.Series:
-        return pd.Series([chrf_value(p or "", r or "") for p, r in zip(pred, ref, strict=True)], dtype="float64")
+        return pd.Series(chrf_values([p or "" for p in pred], [r or "" for r in ref]), dtype="float64")
 
     spark.udf.register("compute_score", score)
     spark.udf.register("chrf_score", chrf_score)

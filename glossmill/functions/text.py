@@ -9,6 +9,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -159,12 +160,65 @@ def chrf_value(pred: str, ref: str, max_n: int = CHRF_MAX_N, beta: float = 1.0)
     return (1 + weight) * precision * recall / (weight * precision + recall)
 
 
+def _chrf_of(preds: list[str], refs: list[str], max_n: int, beta: float) -> np.ndarray:
+    """`chrf_value` of pairs with no empty side, all n-grams of a length numbered and counted at once.
+
+    An n-gram's number is made of its row's, so grams are told apart by row; that of its
+    first n - 1 characters and its last character give the next length's.
+    """
+    m = len(preds)
+    lengths = np.fromiter(map(len, preds + refs), np.int64, 2 * m)
+    codes = np.unique(np.frombuffer("".join(preds + refs).encode("utf-32-le", "surrogatepass"), "<u4"), return_inverse=True)[1].astype(np.int64)
+    base = int(codes.max()) + 1
+    text = np.repeat(np.arange(2 * m), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))  # characters from here to the text's end
+    grams = text % m
+    shares = np.zeros((2, m))
+    orders = np.minimum(np.minimum(lengths[:m], lengths[m:]), max_n)
+    for n in range(1, max_n + 1):
+        at = np.flatnonzero(left >= n)
+        if not len(at):
+            break
+        _, first, ids = np.unique(grams[at] * base + codes[at + n - 1], return_index=True, return_inverse=True)
+        grams[at] = ids
+        ours = text[at] < m
+        hits = np.minimum(np.bincount(ids[ours], minlength=len(first)), np.bincount(ids[~ours], minlength=len(first)))
+        per_row = np.bincount(text[at[first]] % m, hits, m)
+        used = orders >= n
+        for side in (0, 1):
+            shares[side, used] += per_row[used] / (lengths[side * m : (side + 1) * m][used] - n + 1)
+    precision, recall = shares / orders
+    weight = beta * beta
+    total = weight * precision + recall
+    return np.where(precision + recall < 1e-12, 0.0, (1 + weight) * precision * recall / np.where(total == 0, 1.0, total))
+
+
+#: Characters of the pairs that are worked at a time.
+CHRF_CHARS = 1 << 20
+
+
+def chrf_values(preds: list[str | None], refs: list[str | None], max_n: int = CHRF_MAX_N, beta: float = 1.0) -> np.ndarray:
+    """chrF of many pairs; a null side gives NaN, two empty sides 1 and one 0."""
+    out = np.array([np.nan if p is None or r is None else float(p == r) for p, r in zip(preds, refs, strict=True)], float)
+    whole = [i for i, (p, r) in enumerate(zip(preds, refs, strict=True)) if p and r]
+    held: list[int] = []
+    size = 0
+    for i in [*whole, -1]:
+        if held and (i < 0 or size > CHRF_CHARS):
+            out[held] = _chrf_of([preds[k] for k in held], [refs[k] for k in held], max_n, beta)
+            held, size = [], 0
+        if i >= 0:
+            held.append(i)
+            size += len(preds[i]) + len(refs[i])
+    return out
+
+
 def chrf(pred: Column | str, ref: Column | str, max_n: int = CHRF_MAX_N, beta: float = 1.0) -> Column:
     """chrF as an Arrow UDF; a null side gives null at no cost."""
 
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else chrf_value(x, y, max_n, beta) for x, y in zip(a, b, strict=True)], dtype="float64")
+        return pd.Series(chrf_values(a.tolist(), b.tolist(), max_n, beta))  # NaN becomes null
 
     return run(_col(pred), _col(ref))
 
