@@ -155,6 +155,14 @@ def normalize_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", F.md5("t").alias("text_md5"), F.length("t").cast("long").alias("n_chars"))
 
 
+@_query(r"SELECT doc_id, md5(t) AS text_md5, length(t) AS n_chars FROM (SELECT doc_id, trim(regexp_replace(nfc_normalize(replace(replace(text, 'é', 'e' || chr(769)), 'ü', 'u' || chr(776))), '\s+', ' ', 'g')) AS t FROM documents)")
+def normalize_decomposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1's composition: whole documents with some letters taken apart beforehand."""
+    apart = F.replace(F.replace(F.col("text"), F.lit("é"), F.lit("e\u0301")), F.lit("ü"), F.lit("u\u0308"))
+    t = documents(spark, sf_dir).select("doc_id", normalize_text(apart).alias("t"))
+    return t.select("doc_id", F.md5("t").alias("text_md5"), F.length("t").cast("long").alias("n_chars"))
+
+
 _MEASURES = f"""
 measured AS (
   SELECT *, length(ns) AS sc, length(nt) AS tc, {_words("ns")} AS sw, {_words("nt")} AS tw, {_lev("ns", "nt")} AS ed, {_similarity("ns", "nt")} AS sim FROM samples)
