@@ -15,12 +15,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ _KEYWORDS = ("password", "passwd", "secret", "token", "api")
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 END = len(SYMBOLS)
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])\.*([A-Za-z0-9+/_=-](?:[A-Za-z0-9+/_.=-]*[A-Za-z0-9+/_=-])?)")
+#: Marks off a word's ends that no run begins or ends with.
+_EDGES = ".,;:!?()[]{}\"'"
 _CODE = np.zeros(256, np.uint8)
 _CODE[np.frombuffer(SYMBOLS.encode(), np.uint8)] = np.arange(END)
 
@@ -98,11 +101,28 @@ def runs(word: str) -> list[tuple[int, int]]:
         start, end = m.span(1)
         out.append((start, end))
         inner = word.rfind("=", start, start + len(word[start:end].rstrip("=")))
-        if inner > start:
+        if inner >= start:
             out.append((inner + 1, end))
     return out
 
 
+def run_texts(word: str) -> list[str]:
+    """The texts of a word's runs.  Most words are one run of letters or digits between marks that no run has at its ends."""
+    plain = word.strip(_EDGES)
+    if plain.isalnum() and plain.isascii():
+        return [plain]
+    return [word[a:b] for a, b in runs(word)] if "=" in word else _RUN.findall(word)
+
+
+def split_words(texts: list[str]) -> pa.Array:
+    """Words of each text, parted at ASCII white space, as lists."""
+    return pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+
+
+def _strings(words: pa.Array) -> list[str]:
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
 @dataclass
 class Automaton:
     """A deterministic probabilistic automaton as arrays: log-probabilities and successors by state and symbol.
@@ -258,9 +278,19 @@ class FormatModel:
 
     def secrets(self, words: Iterable[str]) -> set[str]:
         """Of these words those with a run that is a secret."""
-        found = [(w, w[a:b]) for w in words for a, b in runs(w)]
+        found = [(w, run) for w in words for run in run_texts(w)]
         return {w for (w, _), hit in zip(found, self.scores([r for _, r in found]) >= self.threshold, strict=True) if hit}
 
+    def texts_with_secrets(self, texts: list[str]) -> set[int]:
+        """Places of the texts that have a word with a secret; each distinct word is scored once."""
+        words = split_words(texts)
+        every = words.flatten()
+        secret = self.secrets(_strings(pc.unique(every)))
+        if not secret:
+            return set()
+        hits = np.flatnonzero(pc.is_in(every, pa.array(sorted(secret), pa.large_string())).to_numpy(zero_copy_only=False))
+        return set((np.searchsorted(words.offsets.to_numpy(), hits, side="right") - 1).tolist())
+
     def spans(self, text: str) -> list[Span]:
         """Secrets of a text with blanks for the fixed matches: of a run and its inner value the run, if it is one."""
         found = runs(text)
@@ -324,17 +354,19 @@ def _bins(scores: np.ndarray) -> np.ndarray:
     return np.floor(np.clip(scores, -WIDEST, WIDEST) / BIN).astype(np.int64)
 
 
-def _ordinary_words(batch: pa.RecordBatch) -> Iterator[tuple[list[Span], str]]:
+def _outside_base(batch: pa.RecordBatch) -> Iterator[tuple[list[Span], str]]:
     for text in text_strings(batch.column("text")):
         base = base_spans(text)
         yield base, outside(text, base)
 
 
-def _run_counts(words: Counter) -> Counter:
-    found: Counter = Counter()
-    for word, n in words.items():
-        for a, b in runs(word):
-            found[word[a:b]] += n
+def _run_counts(texts: list[str]) -> dict[str, int]:
+    """How often each run occurs in the texts."""
+    counted = pc.value_counts(split_words(texts).flatten())
+    found: dict[str, int] = defaultdict(int)
+    for word, n in zip(_strings(counted.field("values")), counted.field("counts").to_numpy().tolist(), strict=True):
+        for run in run_texts(word):
+            found[run] += n
     return found
 
 
@@ -351,11 +383,9 @@ def fit(docs: DataFrame, sample_values: int = SAMPLE_VALUES) -> FormatModel:
         steps = np.zeros((END + 1, END + 1), np.int64)
         for batch in batches:
             labelled: set[tuple[str, str]] = set()
-            words: Counter = Counter()
-            for base, rest in _ordinary_words(batch):
-                labelled.update((s[2], s[3][: SAMPLE_CHARS + 1]) for s in base)
-                words.update(rest.split())
-            _count_steps(_run_counts(words), steps)
+            texts = list(_outside_base(batch))
+            labelled.update((s[2], s[3][: SAMPLE_CHARS + 1]) for base, _ in texts for s in base)
+            _count_steps(_run_counts([rest for _, rest in texts]), steps)
             if labelled:
                 kinds, values = zip(*sorted(labelled), strict=True)
                 yield pa.record_batch([pa.array(kinds), pa.array(values), pa.array([0] * len(kinds), pa.int64())], names=["kind", "value", "n"])
@@ -374,10 +404,7 @@ def fit(docs: DataFrame, sample_values: int = SAMPLE_VALUES) -> FormatModel:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins: Counter = Counter()
         for batch in batches:
-            words: Counter = Counter()
-            for _, rest in _ordinary_words(batch):
-                words.update(rest.split())
-            found = _run_counts(words)
+            found = _run_counts([rest for _, rest in _outside_base(batch)])
             for b, n in zip(_bins(model.scores(list(found))).tolist(), found.values(), strict=True):
                 bins[b] += n
         yield pa.record_batch([pa.array(list(bins), pa.int64()), pa.array(list(bins.values()), pa.int64())], names=["bin", "n"])
@@ -387,7 +414,7 @@ def fit(docs: DataFrame, sample_values: int = SAMPLE_VALUES) -> FormatModel:
     return model
 
 
-def _count_steps(found: Counter, steps: np.ndarray) -> None:
+def _count_steps(found: dict[str, int], steps: np.ndarray) -> None:
     """Add the steps of runs, each as often as it was found, from the start to the end."""
     if not found:
         return
@@ -422,10 +449,10 @@ def scan(docs: DataFrame, model: FormatModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            texts = list(_ordinary_words(batch))
-            secret = model.secrets(set().union(*(rest.split() for _, rest in texts))) if model.formats else set()
-            for base, rest in texts:
-                more = model.spans(rest) if secret and not secret.isdisjoint(rest.split()) else []
+            texts = list(_outside_base(batch))
+            with_secrets = model.texts_with_secrets([rest for _, rest in texts]) if model.formats else set()
+            for i, (base, rest) in enumerate(texts):
+                more = model.spans(rest) if i in with_secrets else []
                 kinds = [s[2] for s in base]
                 digest = hashlib.sha256(_written(base).encode()).hexdigest()
                 rows.append((*(kinds.count(k) for k in KINDS[:3]), digest, _written(sorted(base + more, key=_order)), len(more)))

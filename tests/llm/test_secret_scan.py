@@ -52,6 +52,14 @@ def test_runs_outside_base():
     assert outside("", []) == "" and runs("") == [] and runs("...") == []
 
 
+def test_runs_of_words_are_the_texts_runs():
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("ab1.=-/,;(\"' é\u00a0\t", k=rng.randint(0, 25))) for _ in range(2000)]
+    wanted = Counter(t[a:b] for t in texts for a, b in runs(t))
+    assert secret_scan._run_counts(texts) == wanted
+    assert secret_scan._run_counts([]) == {} and secret_scan._run_counts(["", "..."]) == {}
+
+
 def slow_likelihood(a, value):
     at, total = 0, 0.0
     for c in value:
@@ -108,13 +116,13 @@ def test_hidden_labels_are_found_again():
     import pyarrow.parquet as pq
 
     texts = [t or "" for t in pq.read_table(f"{DIR}/documents.parquet", columns=["text"])["text"].to_pylist()]
-    values, words = {}, Counter()
+    values, rest = {}, []
     for t in texts:
         base = base_spans(t)
         for s in base:
             values.setdefault(s[2], set()).add(s[3])
-        words.update(outside(t, base).split())
-    found = secret_scan._run_counts(words)
+        rest.append(outside(t, base))
+    found = secret_scan._run_counts(rest)
     half = {k: {v for v in vs if hashlib.md5(v.encode()).digest()[0] % 2} for k, vs in values.items()}
     model, unseen = learn({k: sorted(v) for k, v in half.items()}, counted(found))
     scores = model.scores(list(found))
