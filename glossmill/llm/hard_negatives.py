@@ -198,7 +198,7 @@ def _enter(own: Block, a: int, held: list, lower: np.ndarray, gap, ids: np.ndarr
     fits = labels == own.labels[a]
     fits = fits & (ids != own.ids[a]) if own.same else ~fits
     # What a row must reach to be among a window's first, if it has enough rows already.
-    floors = [max(least, scores[-1]) if len(scores) == own.most else least for (_, least, _), (scores, _) in zip(own.windows[a], held, strict=True)]
+    floors = [least if len(scores) < own.most else scores[-1] for (_, least, _), (scores, _) in zip(own.windows[a], held, strict=True)]
     least = min(f for f in floors if f is not None) if None not in floors else None
     if least is not None:
         fits &= lower >= least - gap

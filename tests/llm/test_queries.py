@@ -175,3 +175,30 @@ def test_columns_of_the_contracts(spark):
     }
     for name, columns in wanted.items():
         assert set(columns.split()) <= set(queries.queries()[name](spark, DIR).columns)
+
+
+@pytest.mark.parametrize("name", ["op11_filter_audit", "op13_hard_negatives"])
+def test_sql(spark, name):
+    """The query agrees with its SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("documents", "labels", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
+    found = con.execute(queries.oracle_sql()[name])
+    columns = sorted(d[0] for d in found.description)
+    df = queries.queries()[name](spark, DIR)
+    assert columns == sorted(df.columns)
+    place = {d[0]: i for i, d in enumerate(found.description)}
+    wanted = sorted(tuple(str(r[place[c]]) for c in columns) for r in found.fetchall())
+    assert sorted(tuple(str(r[c]) for c in columns) for r in df.collect()) == wanted and wanted
+
+
+def test_op12(spark, docs):
+    import public_tokenizers
+    from test_packing import check
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [r.asDict() for r in queries.queries()["op12_pack_documents"](spark, DIR).collect()]
+    check(rows, {d["doc_id"]: d["text"] for d in docs}, lambda t: tokenizer.encode(t, add_special_tokens=False).ids, 2048)
+    assert len({r["sequence_id"] for r in rows}) <= 1.02 * sum(r["length"] for r in rows) / 2048 + 1
