@@ -31,6 +31,9 @@ STREAM_PIECES = 8192
 #: Distinct runs of white space and letters whose ids a worker remembers.
 REMEMBERED = 1_000_000
 PART_BYTES = 1 << 20
+#: Runs that are encoded as one text.
+JOINED = 500
+SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 _RUN = re.compile(rb"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+\Z")
 #: White space beyond ASCII: a text with any is encoded whole.
@@ -61,19 +64,46 @@ class PieceTokenizer:
 
         self._tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.by_runs = splits_at_space(json.load(f))
+            parts = json.load(f)
+            self.by_runs = splits_at_space(parts)
+        added = {t["id"]: len(t["content"].encode()) for t in parts["added_tokens"]}
         self._known: dict[bytes, bytes] = {}
+        # Bytes of each token: one for each character of its name, but for added ones.
+        names = self._tokenizer.get_vocab()
+        self._bytes = np.zeros(max(names.values(), default=0) + 1, np.int64)
+        for name, i in names.items():
+            self._bytes[i] = added.get(i, len(name))
 
     def _whole(self, text: bytes) -> bytes:
         return np.asarray(self._tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, runs: list[bytes]) -> None:
+        """Know the ids of all these runs.
+
+        Runs that begin with white space and end without can follow one another in one
+        text; its ids are parted where the bytes of their tokens reach a run's end.
+        """
         known = self._known
         if len(known) > REMEMBERED:
             known.clear()
         new = list({r for r in runs if r not in known})
-        found = self._tokenizer.encode_batch_fast([r.decode() for r in new], add_special_tokens=False)
-        known.update((r, np.asarray(e.ids, "<u4").tobytes()) for r, e in zip(new, found, strict=True))
+        joined = [r for r in new if r[0] in SPACES and r[-1] not in SPACES]
+        single = [r for r in new if r[0] not in SPACES or r[-1] in SPACES]
+        for at in range(0, len(joined), JOINED):
+            own = joined[at : at + JOINED]
+            (found,) = self._tokenizer.encode_batch_fast([b"".join(own).decode()], add_special_tokens=False)
+            ids = np.asarray(found.ids, "<u4")
+            reached, ends = np.cumsum(self._bytes[ids]), np.cumsum([len(r) for r in own])
+            cuts = (np.searchsorted(reached, ends) + 1) * 4
+            if len(ids) == 0 or not np.array_equal(reached[cuts // 4 - 1], ends):
+                single += own
+                continue
+            packed, start = ids.tobytes(), 0
+            for run, end in zip(own, cuts.tolist(), strict=True):
+                known[run] = packed[start:end]
+                start = end
+        found = self._tokenizer.encode_batch_fast([r.decode() for r in single], add_special_tokens=False)
+        known.update((r, np.asarray(e.ids, "<u4").tobytes()) for r, e in zip(single, found, strict=True))
 
     def encode(self, text: bytes) -> bytes:
         """Packed ids of one text; a long one is worked in parts cut before white space."""
