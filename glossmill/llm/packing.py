@@ -15,9 +15,11 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +35,8 @@ REMEMBERED = 1_000_000
 PART_BYTES = 1 << 20
 #: Runs that are encoded as one text.
 JOINED = 500
-SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
+#: Text in work at a time.
+WORK_BYTES = 4 << 20
 
 _RUN = re.compile(rb"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+\Z")
 #: White space beyond ASCII: a text with any is encoded whole.
@@ -44,6 +47,12 @@ _CUT = re.compile(rb"(?<=[^\x20\x09-\x0d])[\x20\x09-\x0d]")
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 
 
+def _is_even(text: bytes) -> bool:
+    """Whether a text's white space is single blanks and line ends, none at its ends."""
+    flat = text.replace(b"\n", b" ")
+    return not (b"  " in flat or flat[0] == 32 or flat[-1] == 32 or b"\t" in text or b"\r" in text or b"\v" in text or b"\f" in text)
+
+
 def splits_at_space(parts: dict) -> bool:
     """Whether texts of a tokenizer file may be cut before any run of white space, and the parts' ids joined."""
     plain = not any(parts.get(k) for k in ("truncation", "padding", "post_processor", "normalizer"))
@@ -77,31 +86,28 @@ class PieceTokenizer:
     def _whole(self, text: bytes) -> bytes:
         return np.asarray(self._tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, runs: list[bytes]) -> None:
-        """Know the ids of all these runs.
+    def _learn(self, joined: list[bytes], single: list[bytes]) -> None:
+        """Know the ids of all these runs, which are distinct.
 
-        Runs that begin with white space and end without can follow one another in one
-        text; its ids are parted where the bytes of their tokens reach a run's end.
+        Those of `joined` begin with white space and end without, so they can follow one
+        another in one text; its ids are parted where the bytes of its tokens reach a
+        run's end.
         """
         known = self._known
         if len(known) > REMEMBERED:
             known.clear()
-        new = list({r for r in runs if r not in known})
-        joined = [r for r in new if r[0] in SPACES and r[-1] not in SPACES]
-        single = [r for r in new if r[0] not in SPACES or r[-1] in SPACES]
+        joined, single = ([r for r in runs if r not in known] for runs in (joined, single))
         for at in range(0, len(joined), JOINED):
             own = joined[at : at + JOINED]
             (found,) = self._tokenizer.encode_batch_fast([b"".join(own).decode()], add_special_tokens=False)
             ids = np.asarray(found.ids, "<u4")
-            reached, ends = np.cumsum(self._bytes[ids]), np.cumsum([len(r) for r in own])
-            cuts = (np.searchsorted(reached, ends) + 1) * 4
-            if len(ids) == 0 or not np.array_equal(reached[cuts // 4 - 1], ends):
+            reached, ends = np.cumsum(self._bytes[ids]), np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))
+            cuts = np.searchsorted(reached, ends) + 1
+            if not len(ids) or cuts[-1] > len(ids) or not np.array_equal(reached[cuts - 1], ends):
                 single += own
                 continue
-            packed, start = ids.tobytes(), 0
-            for run, end in zip(own, cuts.tolist(), strict=True):
-                known[run] = packed[start:end]
-                start = end
+            packed, bounds = ids.tobytes(), [0, *(cuts * 4).tolist()]
+            known.update(zip(own, (packed[i:j] for i, j in pairwise(bounds)), strict=True))
         found = self._tokenizer.encode_batch_fast([r.decode() for r in single], add_special_tokens=False)
         known.update((r, np.asarray(e.ids, "<u4").tobytes()) for r, e in zip(single, found, strict=True))
 
@@ -114,14 +120,50 @@ class PieceTokenizer:
             cut = _CUT.search(text, start + PART_BYTES) if len(text) - start > PART_BYTES else None
             end = cut.start() if cut else len(text)
             runs = _RUN.findall(text, start, end)
-            try:
-                out.append(b"".join(map(self._known.__getitem__, runs)))
-            except KeyError:
-                self._learn(runs)
-                out.append(b"".join(map(self._known.__getitem__, runs)))
+            distinct = set(runs)
+            joined = {r for r in distinct if r[:1].isspace() and not r[-1:].isspace()}
+            self._learn(list(joined), list(distinct - joined))
+            out.append(b"".join(map(self._known.__getitem__, runs)))
             start = end
         return b"".join(out)
 
+    def _even(self, texts: list[bytes]) -> list[bytes]:
+        """Packed ids of texts whose white space is single blanks and line ends, between words.
+
+        Each line end gets a blank before it, so that texts are split at blanks alone and
+        their distinct runs are looked up once.
+        """
+        words = pc.split_pattern(pa.array([t.replace(b"\n", b" \n") for t in texts], pa.string()), " ")
+        coded = words.flatten().dictionary_encode()
+        runs = [w if w[:1] == b"\n" else b" " + w for w in coded.dictionary.cast(pa.binary()).to_pylist()]
+        offsets = words.offsets.to_numpy()
+        # The first run of a text has no blank before it.
+        first = words.flatten().take(offsets[:-1]).cast(pa.binary()).to_pylist()
+        self._learn(runs, list(set(first)))
+        known = self._known
+        found = pa.array(map(known.__getitem__, runs), pa.large_binary(), size=len(runs)).take(coded.indices)
+        ends = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1)
+        ids = memoryview(found.buffers()[2] or b"")
+        rest, last = ends[offsets[:-1] + 1].tolist(), ends[offsets[1:]].tolist()
+        return [known[f] + ids[i:j] for f, i, j in zip(first, rest, last, strict=True)]
+
+    def texts(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Packed ids of each text, some megabytes of text in work at a time."""
+        held: list[bytes] = []
+        size = 0
+        for text in texts:
+            even = self.by_runs and 0 < len(text) <= PART_BYTES and not _WIDE.search(text) and _is_even(text)
+            if held and (not even or size + len(text) > WORK_BYTES):
+                yield from self._even(held)
+                held, size = [], 0
+            if even:
+                held.append(text)
+                size += len(text)
+            else:
+                yield self.encode(text)
+        if held:
+            yield from self._even(held)
+
 
 @lru_cache(maxsize=2)
 def piece_tokenizer(path: str) -> PieceTokenizer:
@@ -144,13 +186,13 @@ def document_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capac
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = piece_tokenizer(tokenizer).encode
+        encoded = piece_tokenizer(tokenizer).texts
         for batch in batches:
             numbers = batch.column("doc_id").to_pylist()
-            for at in range(0, batch.num_rows, 500):
+            for at in range(0, batch.num_rows, 2000):
                 columns: list[list] = [[] for _ in schema]
-                for doc_id, text in zip(numbers[at : at + 500], text_bytes(batch.column("text").slice(at, 500)), strict=True):
-                    ids = memoryview(encode(text) + end)
+                for doc_id, packed in zip(numbers[at : at + 2000], encoded(text_bytes(batch.column("text").slice(at, 2000))), strict=True):
+                    ids = memoryview(packed + end)
                     start = 0
                     for piece, length in enumerate(cut_lengths(len(ids) // 4, capacity)):
                         own = ids[4 * start : 4 * (start + length)]

@@ -38,6 +38,13 @@ def test_ids_are_the_librarys(library, own, parts):
     assert np.frombuffer(own.encode(text.encode()), "<u4").tolist() == library(text)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=9), max_size=8))
+def test_ids_of_many_texts(library, own, parts):
+    texts = ["".join(p) for p in parts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.texts([t.encode() for t in texts])] == [library(t) for t in texts]
+
+
 def test_long_texts_are_worked_in_parts(library, own, monkeypatch):
     monkeypatch.setattr("glossmill.llm.packing.PART_BYTES", 10)
     text = "Ein  Satz,\n\n der   länger ist.\t\t x " * 20
