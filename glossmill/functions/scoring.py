@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.functions.text import SPACE, _col, chrf, chrf_value, chrf_values, edit_distance_similarity, normalize_text, strip
+from glossmill.functions.distance import distance, distances
+from glossmill.functions.text import SPACE, _col, chrf, chrf_value, chrf_values, compose_texts, edit_distance_similarity, normalize_text, strip
 
 # Fixed values.
 FORMAT_FAIL_SCORE = -1.0
@@ -76,27 +77,8 @@ def with_score(df: DataFrame, pred: str, ref: str, source: str | None = None, pr
     return staged if parts else staged.drop("gate_passed", "exact", "r_preserve", "r_correct")
 
 
-def _distance(a: str, b: str) -> int:
-    """Levenshtein distance, a column of the table at a time as the bits of two whole numbers (up and down steps)."""
-    if not a:
-        return len(b)
-    at: dict[str, int] = {}
-    for i, x in enumerate(a):
-        at[x] = at.get(x, 0) | 1 << i
-    every, top = (1 << len(a)) - 1, 1 << len(a) - 1
-    up, down, distance = every, 0, len(a)
-    for y in b:
-        same = at.get(y, 0)
-        flat = ((same & up) + up ^ up) | same | down
-        rise, fall = down | every & ~(flat | up), up & flat
-        distance += bool(rise & top) - bool(fall & top)
-        rise, fall = (rise << 1 | 1) & every, fall << 1 & every
-        up, down = fall | every & ~(flat | rise), rise & flat
-    return distance
-
-
 def score_value(pred: str, ref: str, source: str | None = None, progress: float = 0.0) -> float:
-    """The reward of one triple, for callers outside Spark and the registered SQL function."""
+    """The reward of one triple, for callers outside Spark."""
     import unicodedata
 
     def norm(t: str | None) -> str:
@@ -108,7 +90,7 @@ def score_value(pred: str, ref: str, source: str | None = None, progress: float
         return FORMAT_FAIL_SCORE
     if p == r:
         return 1.0
-    preserve = 1 - _distance(p, s) / max(len(p), len(s)) if s else NO_SOURCE_PRESERVE
+    preserve = 1 - distance(p, s) / max(len(p), len(s)) if s else NO_SOURCE_PRESERVE
     shift = 0.25 / (1 + math.exp(-8.0 * (progress - 0.5)))
     return max(-1.0, min(1.0, (0.5 - shift) * preserve + (0.5 + shift) * chrf_value(p, r)))
 
@@ -118,21 +100,45 @@ def compute_score(data_source: str, solution_str: str, ground_truth: str, extra_
     return score_value(solution_str, ground_truth, (extra_info or {}).get("source"), progress)
 
 
+#: What `register` makes, each of built-ins and of functions before it.  Arrow functions get nulls for rows that are decided already.
+_SQL_FUNCTIONS = (
+    r"squeeze_text(t STRING) RETURNS STRING RETURN trim(regexp_replace(t, r'" + SPACE + r"+', ' '))",
+    r"normalize_text(t STRING) RETURNS STRING RETURN squeeze_text(coalesce(compose_text(CASE WHEN t RLIKE r'[^\x{0}-\x{2ff}]' THEN t END), t))",
+    "edit_distance_similarity(a STRING, b STRING) RETURNS DOUBLE RETURN CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0D ELSE 1.0D - edit_distance(a, b) / greatest(length(a), length(b)) END",
+    f"format_gate(pred STRING, source STRING) RETURNS BOOLEAN RETURN length(squeeze_text(pred)) > 0 AND NOT pred RLIKE r'{_LEAK}' AND "
+    f"(length(source) = 0 OR length(pred) / greatest(length(source), 1) BETWEEN {LENGTH_RATIO_BOUNDS[0]}D AND {LENGTH_RATIO_BOUNDS[1]}D)",
+    "correct_weight(progress DOUBLE) RETURNS DOUBLE RETURN 0.5D + 0.25D / (1.0D + exp(-8.0D * (progress - 0.5D)))",
+    "mixed_reward(pred STRING, ref STRING, source STRING, progress DOUBLE) RETURNS DOUBLE RETURN greatest(-1.0D, least(1.0D, "
+    f"(1.0D - correct_weight(progress)) * (CASE WHEN length(source) = 0 THEN {NO_SOURCE_PRESERVE}D ELSE edit_distance_similarity(pred, source) END) + correct_weight(progress) * chrf_score(pred, ref)))",
+    f"gated_reward(pred STRING, ref STRING, source STRING, progress DOUBLE) RETURNS DOUBLE RETURN CASE WHEN NOT format_gate(pred, source) THEN {FORMAT_FAIL_SCORE}D WHEN pred = ref THEN 1.0D "
+    "ELSE mixed_reward(CASE WHEN format_gate(pred, source) AND pred <> ref THEN pred END, ref, source, progress) END",
+    "compute_score(data_source STRING, solution_str STRING, ground_truth STRING, extra_info STRUCT<source: STRING>, progress DOUBLE DEFAULT 0.0D) RETURNS DOUBLE RETURN "
+    "gated_reward(normalize_text(coalesce(solution_str, '')), normalize_text(coalesce(ground_truth, '')), normalize_text(coalesce(extra_info.source, '')), progress)",
+)
+
+
 def register(spark: SparkSession) -> None:
-    """Make the functions callable from SQL."""
+    """Make the functions callable from SQL.
 
-    @F.pandas_udf("double")
-    def score(pred: pd.Series, ref: pd.Series, source: pd.Series) -> pd.Series:
-        return pd.Series([score_value(p or "", r or "", s) for p, r, s in zip(pred, ref, source, strict=True)], dtype="float64")
+    `compute_score(data_source, solution_str, ground_truth, extra_info[, progress])` takes
+    what trainers pass, `extra_info` as a struct of the source alone; a null text is empty
+    and a null struct or source absent.  Composing, distances and chrF are Arrow functions,
+    all else is built-in.
+    """
+
+    @F.pandas_udf("string")
+    def compose_text(texts: pd.Series) -> pd.Series:
+        return compose_texts(texts)
+
+    @F.pandas_udf("int")
+    def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(distances(a.tolist(), b.tolist()), dtype="Int32")
 
     @F.pandas_udf("double")
     def chrf_score(pred: pd.Series, ref: pd.Series) -> pd.Series:
-        return pd.Series(chrf_values([p or "" for p in pred], [r or "" for r in ref]), dtype="float64")
-
-    spark.udf.register("compute_score", score)
-    spark.udf.register("chrf_score", chrf_score)
-    spark.sql(
-        "CREATE OR REPLACE TEMPORARY FUNCTION edit_distance_similarity(a STRING, b STRING) RETURNS DOUBLE RETURN "
-        "CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0D ELSE 1.0D - levenshtein(a, b) / greatest(length(a), length(b)) END"
-    )
-    spark.sql(r"CREATE OR REPLACE TEMPORARY FUNCTION squeeze_text(t STRING) RETURNS STRING RETURN trim(regexp_replace(t, r'(?U)[\s\x1c-\x1f]+', ' '))")
+        return pd.Series(chrf_values(pred.tolist(), ref.tolist()), dtype="float64")
+
+    for f in (compose_text, edit_distance, chrf_score):
+        spark.udf.register(f.__name__, f)
+    for made in _SQL_FUNCTIONS:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {made}")

@@ -14,11 +14,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossmill.functions.distance import distances
+
 #: White space as Python's `\\s` and `strip` have it.
 SPACE = r"(?U)[\s\x1c-\x1f]"
 CHRF_MAX_N = 6
 GLEU_MAX_N = 4
-DISTANCE_BANDS = (32, 256)
 
 
 def _col(c: Column | str) -> Column:
@@ -35,12 +36,16 @@ def strip(c: Column | str) -> Column:
     return F.regexp_replace(_col(c), rf"^{SPACE}+|{SPACE}+$", "")
 
 
+def compose_texts(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
 def compose(c: Column | str) -> Column:
     """Unicode NFC.  Texts below U+0300 are composed already and are not sent to Python."""
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+        return compose_texts(texts)
 
     c = _col(c)
     return F.coalesce(run(F.when(c.rlike("[^\\x{0}-\\x{2ff}]"), c)), c)
@@ -52,18 +57,17 @@ def normalize_text(c: Column | str, composed: bool = False) -> Column:
 
 
 def edit_distance(a: Column | str, b: Column | str) -> Column:
-    """Levenshtein distance in code points.
+    """Levenshtein distance in code points, as an Arrow UDF; a null side gives null.
 
-    Most pairs are close, so narrow bands of the distance table are tried before all of
-    it.  Beyond a band Spark answers -1, whose root is NaN, and `nanvl` goes on to the
-    next only then; each step stands once in the expression, inside generated code.
+    The built-in function decodes UTF-8 in every cell of its table, some thirty times the
+    cost of bit vectors over a batch of pairs.
     """
-    root = lambda d: F.sqrt(d.cast("double"))
-    a, b = _col(a), _col(b)
-    found = root(F.levenshtein(a, b))
-    for band in reversed(DISTANCE_BANDS):
-        found = F.nanvl(root(F.levenshtein(a, b, band)), found)
-    return F.round(F.pow(found, F.lit(2.0))).cast("int")
+
+    @F.pandas_udf("int")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(distances(a.tolist(), b.tolist()), dtype="Int32")
+
+    return run(_col(a), _col(b))
 
 
 def edit_distance_similarity(a: Column | str, b: Column | str, distance: Column | None = None) -> Column:
@@ -101,45 +105,23 @@ def word_ngrams(tokens: Column | str, n: int) -> Column:
     return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
-def _hits(n: int) -> Column:
-    """How many of the staged prediction's n-grams are among the reference's.
-
-    Distinct grams are parted into common and own by hashing; only if both kinds occur
-    are the prediction's grams looked up, and then in the smaller part.
-    """
-    p, common, own = F.col(f"__p{n}"), F.col(f"__c{n}"), F.col(f"__o{n}")
-    few = F.size(F.filter(p, lambda x: F.array_contains(F.col(f"__c{n}"), x)))
-    many = F.size(p) - F.size(F.filter(p, lambda x: F.array_contains(F.col(f"__o{n}"), x)))
-    looked_up = F.when(F.size(common) < F.size(own), few).otherwise(many)
-    return F.when(F.size(common) == 0, 0).when(F.size(own) == 0, F.size(p)).otherwise(looked_up)
-
-
 def _tagged(n: int) -> Callable[[Column], Column]:
     return lambda gram: F.struct(F.lit(n).alias("n"), gram.alias("gram"))
 
 
-def with_gleu(df: DataFrame, pred: str, ref: str, out: str = "gleu", max_n: int = GLEU_MAX_N) -> DataFrame:
-    """Add the simplified GLEU of two normalized texts.
+def gleu(pred: Column | str, ref: Column | str, max_n: int = GLEU_MAX_N) -> Column:
+    """The simplified GLEU of two normalized texts, as an Arrow UDF; a null side gives null.
 
     Precision and recall count prediction n-grams found among the reference's, each
     against its own total; their means over the orders both sides have give a harmonic
-    mean.  Repeats are not clipped, so values above 1 occur.  The n-gram arrays are
-    staged as columns: a lambda that made them anew would do so for every element.
+    mean.  Repeats are not clipped, so values above 1 occur.
     """
-    staged = df.withColumns({"__p": words(pred), "__r": words(ref)})
-    staged = staged.withColumns({f"__{s}{n}": word_ngrams(f"__{s}", n) for s in "pr" for n in range(1, max_n + 1)})
-    staged = staged.withColumns({f"__{k}{n}": f(f"__p{n}", f"__r{n}") for k, f in (("c", F.array_intersect), ("o", F.array_except)) for n in range(1, max_n + 1)})
-    staged = staged.withColumns({f"__m{n}": _hits(n) for n in range(1, max_n + 1)})
-    both = [(F.size(f"__p{n}") > 0) & (F.size(f"__r{n}") > 0) for n in range(1, max_n + 1)]
-    zero = F.lit(0.0)
-    used = sum((b.cast("int") for b in both), F.lit(0))
-    p = sum((F.when(b, F.col(f"__m{n}") / F.size(f"__p{n}")).otherwise(zero) for n, b in enumerate(both, 1)), zero)
-    r = sum((F.when(b, F.col(f"__m{n}") / F.size(f"__r{n}")).otherwise(zero) for n, b in enumerate(both, 1)), zero)
-    staged = staged.withColumns({"__n": used, "__ps": p, "__rs": r})
-    mean_p, mean_r = F.col("__ps") / F.col("__n"), F.col("__rs") / F.col("__n")
-    value = F.when((F.col("__n") == 0) | (F.col("__ps") + F.col("__rs") == 0), zero).otherwise(2 * mean_p * mean_r / (mean_p + mean_r))
-    extra = ["__p", "__r", "__n", "__ps", "__rs", *(f"__{s}{n}" for s in "prmco" for n in range(1, max_n + 1))]
-    return staged.withColumn(out, value).drop(*extra)
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(gleu_values(a.tolist(), b.tolist(), max_n))  # NaN becomes null
+
+    return run(_col(pred), _col(ref))
 
 
 def chrf_value(pred: str, ref: str, max_n: int = CHRF_MAX_N, beta: float = 1.0) -> float:
@@ -160,21 +142,28 @@ def chrf_value(pred: str, ref: str, max_n: int = CHRF_MAX_N, beta: float = 1.0)
     return (1 + weight) * precision * recall / (weight * precision + recall)
 
 
-def _chrf_of(preds: list[str], refs: list[str], max_n: int, beta: float) -> np.ndarray:
-    """`chrf_value` of pairs with no empty side, all n-grams of a length numbered and counted at once.
+def with_gleu(df: DataFrame, pred: str, ref: str, out: str = "gleu", max_n: int = GLEU_MAX_N) -> DataFrame:
+    """Add `gleu` of two normalized texts as a column."""
+    return df.withColumn(out, gleu(pred, ref, max_n))
+
+
+def _gram_shares(codes: np.ndarray, lengths: np.ndarray, max_n: int, clipped: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Summed precision and recall over the orders that both sides of each row have, and how many these are.
 
-    An n-gram's number is made of its row's, so grams are told apart by row; that of its
-    first n - 1 characters and its last character give the next length's.
+    `codes` are the units of all predictions and then of all references, `lengths` their
+    numbers.  An n-gram's number is made of its row's, so grams are told apart by row; that
+    of its first n - 1 units and its last unit give the next length's.  Hits are the
+    prediction's grams that the reference has, `clipped` to as many as it has.
     """
-    m = len(preds)
-    lengths = np.fromiter(map(len, preds + refs), np.int64, 2 * m)
-    codes = np.unique(np.frombuffer("".join(preds + refs).encode("utf-32-le", "surrogatepass"), "<u4"), return_inverse=True)[1].astype(np.int64)
+    m = len(lengths) // 2
+    shares = np.zeros((2, m))
+    orders = np.minimum(np.minimum(lengths[:m], lengths[m:]), max_n)
+    if not len(codes):
+        return shares, orders
     base = int(codes.max()) + 1
     text = np.repeat(np.arange(2 * m), lengths)
-    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))  # characters from here to the text's end
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))  # units from here to the text's end
     grams = text % m
-    shares = np.zeros((2, m))
-    orders = np.minimum(np.minimum(lengths[:m], lengths[m:]), max_n)
     for n in range(1, max_n + 1):
         at = np.flatnonzero(left >= n)
         if not len(at):
@@ -182,30 +171,49 @@ def _chrf_of(preds: list[str], refs: list[str], max_n: int, beta: float) -> np.n
         _, first, ids = np.unique(grams[at] * base + codes[at + n - 1], return_index=True, return_inverse=True)
         grams[at] = ids
         ours = text[at] < m
-        hits = np.minimum(np.bincount(ids[ours], minlength=len(first)), np.bincount(ids[~ours], minlength=len(first)))
+        mine, theirs = np.bincount(ids[ours], minlength=len(first)), np.bincount(ids[~ours], minlength=len(first))
+        hits = np.minimum(mine, theirs) if clipped else np.where(theirs > 0, mine, 0)
         per_row = np.bincount(text[at[first]] % m, hits, m)
         used = orders >= n
         for side in (0, 1):
             shares[side, used] += per_row[used] / (lengths[side * m : (side + 1) * m][used] - n + 1)
+    return shares, orders
+
+
+def _chrf_of(preds: list[str], refs: list[str], max_n: int, beta: float) -> np.ndarray:
+    """`chrf_value` of pairs with no empty side, all n-grams of a length numbered and counted at once."""
+    lengths = np.fromiter(map(len, preds + refs), np.int64, 2 * len(preds))
+    codes = np.unique(np.frombuffer("".join(preds + refs).encode("utf-32-le", "surrogatepass"), "<u4"), return_inverse=True)[1].astype(np.int64)
+    shares, orders = _gram_shares(codes, lengths, max_n, clipped=True)
     precision, recall = shares / orders
     weight = beta * beta
     total = weight * precision + recall
     return np.where(precision + recall < 1e-12, 0.0, (1 + weight) * precision * recall / np.where(total == 0, 1.0, total))
 
 
+def _gleu_of(preds: list[str], refs: list[str], max_n: int) -> np.ndarray:
+    """GLEU of pairs of normalized texts, words numbered and their n-grams counted at once."""
+    tokens = [t.split(" ") if t else [] for t in preds + refs]
+    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    seen: dict[str, int] = {}
+    codes = np.fromiter((seen.setdefault(w, len(seen)) for words in tokens for w in words), np.int64, int(lengths.sum()))
+    shares, orders = _gram_shares(codes, lengths, max_n, clipped=False)
+    precision, recall = shares / np.maximum(orders, 1)
+    total = precision + recall
+    return np.where(total == 0, 0.0, 2 * precision * recall / np.where(total == 0, 1.0, total))
+
+
 #: Characters of the pairs that are worked at a time.
-CHRF_CHARS = 1 << 20
+BATCH_CHARS = 1 << 20
 
 
-def chrf_values(preds: list[str | None], refs: list[str | None], max_n: int = CHRF_MAX_N, beta: float = 1.0) -> np.ndarray:
-    """chrF of many pairs; a null side gives NaN, two empty sides 1 and one 0."""
-    out = np.array([np.nan if p is None or r is None else float(p == r) for p, r in zip(preds, refs, strict=True)], float)
-    whole = [i for i, (p, r) in enumerate(zip(preds, refs, strict=True)) if p and r]
+def _by_batch(preds: list[str | None], refs: list[str | None], chosen: list[int], out: np.ndarray, work: Callable[[list[str], list[str]], np.ndarray]) -> np.ndarray:
+    """Fill `out` at the chosen places with what `work` makes of their pairs, some characters at a time."""
     held: list[int] = []
     size = 0
-    for i in [*whole, -1]:
-        if held and (i < 0 or size > CHRF_CHARS):
-            out[held] = _chrf_of([preds[k] for k in held], [refs[k] for k in held], max_n, beta)
+    for i in [*chosen, -1]:
+        if held and (i < 0 or size > BATCH_CHARS):
+            out[held] = work([preds[k] for k in held], [refs[k] for k in held])
             held, size = [], 0
         if i >= 0:
             held.append(i)
@@ -213,6 +221,20 @@ def chrf_values(preds: list[str | None], refs: list[str | None], max_n: int = CH
     return out
 
 
+def gleu_values(preds: list[str | None], refs: list[str | None], max_n: int = GLEU_MAX_N) -> np.ndarray:
+    """GLEU of many pairs; a null side gives NaN, an empty one 0."""
+    out = np.array([np.nan if p is None or r is None else 0.0 for p, r in zip(preds, refs, strict=True)], float)
+    whole = [i for i, (p, r) in enumerate(zip(preds, refs, strict=True)) if p and r]
+    return _by_batch(preds, refs, whole, out, lambda a, b: _gleu_of(a, b, max_n))
+
+
+def chrf_values(preds: list[str | None], refs: list[str | None], max_n: int = CHRF_MAX_N, beta: float = 1.0) -> np.ndarray:
+    """chrF of many pairs; a null side gives NaN, two empty sides 1 and one 0."""
+    out = np.array([np.nan if p is None or r is None else float(p == r) for p, r in zip(preds, refs, strict=True)], float)
+    whole = [i for i, (p, r) in enumerate(zip(preds, refs, strict=True)) if p and r]
+    return _by_batch(preds, refs, whole, out, lambda a, b: _chrf_of(a, b, max_n, beta))
+
+
 def chrf(pred: Column | str, ref: Column | str, max_n: int = CHRF_MAX_N, beta: float = 1.0) -> Column:
     """chrF as an Arrow UDF; a null side gives null at no cost."""
 

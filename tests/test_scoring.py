@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,22 +67,6 @@ def test_scores_columns_and_scalar_agree(spark):
         assert got[i] == pytest.approx(score_value(p, r, s))
 
 
-def test_distances_of_long_and_odd_texts():
-    def slow(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
-    rng = random.Random(3)
-    for _ in range(400):
-        a, b = ("".join(rng.choices("abé😀", k=rng.randint(0, 70))) for _ in range(2))
-        assert scoring._distance(a, b) == slow(a, b)
-    assert scoring._distance("ab" * 2000, "ba" * 2000) == 2
-
-
 def test_score_order_and_parts(spark):
     source, ref = "I is happy and she are sad.", "I am happy and she is sad."
     df = spark.createDataFrame([(ref,), ("I am happy and she are sad.",), (source,)], "p string").withColumns({"r": F.lit(ref), "s": F.lit(source)})
@@ -105,5 +90,30 @@ def test_language_of(spark):
 
 def test_sql_functions(spark):
     scoring.register(spark)
-    row = spark.sql("SELECT compute_score('I am happy.', 'I am happy.', 'I is happy.') a, edit_distance_similarity('abc', 'axc') b, chrf_score('ab', 'ab') c, squeeze_text(' a  b ') d").first()
+    row = spark.sql("SELECT compute_score('corpus_en', 'I am happy.', 'I am happy.', struct('I is happy.')) a, edit_distance_similarity('abc', 'axc') b, chrf_score('ab', 'ab') c, squeeze_text(' a  b ') d").first()
     assert row["a"] == 1.0 and row["b"] == pytest.approx(2 / 3) and row["c"] == pytest.approx(1) and row["d"] == "a b"
+
+
+def test_score_in_sql(spark):
+    """The function that SQL calls agrees with the scalar form, by the trainers' four arguments and with progress."""
+    scoring.register(spark)
+    rows = [(i, p, r, s) for i, (p, r, s, _) in enumerate(CASES)] + [(90, None, "a", "a"), (91, "a b c", None, "a b d"), (92, "e\u0301t\u00e9  x", "\u00e9t\u00e9 x", None)]
+    df = spark.createDataFrame(rows, "i int, p string, r string, s string")
+    got = spark.sql(
+        "SELECT i, compute_score('corpus_en', p, r, struct(s)) AS early, compute_score('corpus_en', p, r, named_struct('source', s), 0.8D) AS late, "
+        "compute_score('corpus_en', p, r, NULL) AS without, edit_distance(p, r) AS d, edit_distance_similarity(p, r) AS e FROM {df}", df=df,
+    ).collect()
+    for row, (_, p, r, s) in zip(sorted(got, key=lambda x: x["i"]), rows, strict=True):
+        assert row["early"] == pytest.approx(score_value(p or "", r or "", s))
+        assert row["late"] == pytest.approx(score_value(p or "", r or "", s, 0.8))
+        assert row["without"] == pytest.approx(score_value(p or "", r or "", None))
+        assert (row["d"] is None) == (p is None or r is None)
+
+
+def test_sql_function_scores_in_batches(spark):
+    """No function of the plan but the three Arrow ones."""
+    scoring.register(spark)
+    df = spark.createDataFrame([("a b", "a c", "a")], "p string, r string, s string")
+    plan = spark.sql("SELECT compute_score('x', p, r, struct(s)) AS score FROM {df}", df=df)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "BatchEvalPython" not in plan
+    assert set(re.findall(r"(\w+)\([^()]*\)#\d+", " ".join(re.findall(r"ArrowEvalPython \[(.*?)\], \[", plan)))) <= {"compose_text", "edit_distance", "chrf_score"}
