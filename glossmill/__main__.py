@@ -19,6 +19,7 @@ def main(argv: list[str] | None = None) -> None:
     build.add_argument("--data-dir", required=True)
     build.add_argument("--output-dir", required=True)
     build.add_argument("--max-source-len", type=int, default=1024)
+    build.add_argument("--max-target-len", type=int, default=1024)
     build.add_argument("--prefix", default=DATA_SOURCE_PREFIX, help="of file names and data sources")
 
     augment = commands.add_parser("augment", help="identity and noisy samples, balanced languages")
@@ -56,7 +57,7 @@ def main(argv: list[str] | None = None) -> None:
         parser.error("--after is required with --before")
     spark = SparkSession.builder.appName("glossmill").getOrCreate()
     if args.command == "build":
-        pipelines.build_dataset(spark, args.data_dir, args.output_dir, args.max_source_len, args.prefix).orderBy("lang", "corpus", "split").show(1000, truncate=False)
+        pipelines.build_dataset(spark, args.data_dir, args.output_dir, args.max_source_len, args.prefix, args.max_target_len).orderBy("lang", "corpus", "split").show(1000, truncate=False)
     elif args.command == "augment":
         pipelines.augment_dataset(
             spark, args.input, args.output, stage=args.stage, identity_ratio=args.identity_ratio, noise_ratio=args.noise_ratio,

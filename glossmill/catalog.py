@@ -8,20 +8,21 @@ of every document becomes a sample.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.functions.scoring import DATA_SOURCE_PREFIX, format_gate, language_of, weights, with_score
-from glossmill.functions.text import chrf, edit_distance_similarity, normalize_text, strip, with_gleu, word_ngrams, words
+from glossmill.functions.scoring import DATA_SOURCE_PREFIX, format_gate, language_of, register, weights, with_score
+from glossmill.functions.text import chrf, edit_distance, edit_distance_similarity, normalize_text, strip, with_gleu, word_ngrams, words
 from glossmill.functions.tokens import fits, masked_labels, truncate
 from glossmill.operators import analyze, evaluate, sampling
 from glossmill.operators.samples import (
     INSTRUCTION, align_documents, align_essays, align_lines, build_samples, filter_pairs, instruction, is_augmented, is_identity_injected, rewrite_prompt, rl_records, sft_records,
 )
 from glossmill.plans import pipelines
-from glossmill.schemas import LANGUAGES, SAMPLE
+from glossmill.schemas import LANGUAGES, SAMPLE, SPLITS
 from glossmill.sources import files
 from glossmill.sources.files import classify_files, parse_essays
 from glossmill.sources.scratch import scratch_path
@@ -170,15 +171,15 @@ measured AS (
 
 
 @_query(
-    f"""{_CTE}, {_MEASURES}
+    f"""{_ALL_CTE}, {_MEASURES}
 SELECT id, sc::BIGINT AS source_chars, tc::BIGINT AS target_chars, sw::BIGINT AS source_words, tw::BIGINT AS target_words,
        ed::BIGINT AS edit_distance, round(sim, 6) AS edit_similarity,
        round(CASE WHEN sc = 0 AND tc = 0 THEN 0.0::DOUBLE WHEN sc = 0 OR tc = 0 THEN 1.0::DOUBLE ELSE ed::DOUBLE / sc END, 6) AS correction_density, ns = nt AS is_identity
 FROM measured"""
 )
 def edit_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F2, F3, F13 and A1d for every sample."""
-    m = analyze.edit_measures(line_samples(spark, sf_dir))
+    """F2, F3, F13 and A1d for every line."""
+    m = analyze.edit_measures(all_lines(spark, sf_dir))
     counts = [F.col(c).cast("long").alias(c) for c in ("source_chars", "target_chars", "source_words", "target_words", "edit_distance")]
     return m.select("id", *counts, F.round("edit_similarity", 6).alias("edit_similarity"), F.round("correction_density", 6).alias("correction_density"), "is_identity")
 
@@ -250,13 +251,33 @@ def chrf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.where("p <> '' AND t <> ''").select("id", F.round(chrf("p", "t"), 6).alias("chrf"))
 
 
-@_query(f"{_CTE} SELECT id, round({_similarity('np', 'nt')}, 6) AS similarity, (np = nt)::DOUBLE AS exact_match FROM scored")
+@_query(f"{_ALL_CTE} SELECT id, round({_similarity('np', 'nt')}, 6) AS similarity, (np = nt)::DOUBLE AS exact_match FROM scored")
 def prediction_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F3 and F8 for every prediction."""
-    lines = predictions(line_samples(spark, sf_dir)).select("id", normalize_text("prediction").alias("p"), normalize_text("target").alias("t"))
+    lines = predictions(all_lines(spark, sf_dir)).select("id", normalize_text("prediction").alias("p"), normalize_text("target").alias("t"))
     return lines.select("id", F.round(edit_distance_similarity("p", "t"), 6).alias("similarity"), (F.col("p") == F.col("t")).cast("double").alias("exact_match"))
 
 
+_WHOLE = r"""
+whole AS (SELECT doc_id::VARCHAR AS id, trim(regexp_replace(regexp_replace(text, '[.,;:!?]', '', 'g'), '\s+', ' ', 'g')) AS np, trim(regexp_replace(text, '\s+', ' ', 'g')) AS nt FROM documents)
+"""
+
+
+@_query(f"WITH {_WHOLE} SELECT id, {_lev('np', 'nt')}::BIGINT AS distance, round({_similarity('np', 'nt')}, 6) AS similarity FROM whole")
+def document_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2 and F3 of whole essays: every document against itself without punctuation."""
+    e = essays(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), normalize_text("orig_text").alias("p"), normalize_text("ref_text").alias("t"))
+    e = e.withColumn("distance", edit_distance("p", "t").cast("long"))
+    return e.select("id", "distance", F.round(edit_distance_similarity("p", "t", F.col("distance")), 6).alias("similarity"))
+
+
+@_query(f"WITH {_WHOLE}, scored AS (SELECT * FROM whole), {_GLEU} SELECT id, round(gleu, 6) AS gleu FROM gleus")
+def document_gleu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F7 of whole essays: every document against itself without punctuation."""
+    e = essays(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), normalize_text("orig_text").alias("p"), normalize_text("ref_text").alias("t"))
+    return with_gleu(e, "p", "t").select("id", F.round("gleu", 6).alias("gleu"))
+
+
 # --- reward -----------------------------------------------------------------------------
 
 _LEAK_SQL = r"(?i)(?:please\s+)?correct\s+(?:all\s+)?(?:the\s+)?grammatical\s+errors?\s+in\s+the\s+following"
@@ -312,10 +333,18 @@ scores AS (
 """
 
 
-@_query(f"{_CTE}, {_OUTPUTS}, {_SCORES} SELECT id, round(score, 6) AS score FROM scores")
+@_query(f"{_ALL_CTE}, {_OUTPUTS}, {_SCORES} SELECT id, round(score, 6) AS score FROM scores")
 def rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F11 for every generation at progress 0."""
-    return with_score(_outputs(line_samples(spark, sf_dir)), "output", "target", "source").select("id", F.round("score", 6).alias("score"))
+    return with_score(_outputs(all_lines(spark, sf_dir)), "output", "target", "source").select("id", F.round("score", 6).alias("score"))
+
+
+@_query(f"{_ALL_CTE}, {_OUTPUTS}, {_SCORES} SELECT id, round(score, 6) AS score FROM scores")
+def rewards_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F11 for every generation through the SQL function, by the arguments that trainers pass."""
+    register(spark)
+    outputs = _outputs(all_lines(spark, sf_dir)).select("id", F.concat(F.lit(DATA_SOURCE_PREFIX), "lang").alias("data_source"), "output", "target", "source")
+    return spark.sql("SELECT id, round(compute_score(data_source, output, target, named_struct('source', source)), 6) AS score FROM {outputs}", outputs=outputs)
 
 
 @_query(
@@ -327,7 +356,7 @@ def running_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W1 over the similarity of predictions that are no exact match, in document order."""
     lines = predictions(line_samples(spark, sf_dir)).select("id", "lang", "doc_id", "line_no", normalize_text("prediction").alias("p"), normalize_text("target").alias("t"))
     open_ = lines.where("p <> t").select("id", "lang", (F.col("doc_id") * 1_000_000 + F.col("line_no")).alias("seq"), edit_distance_similarity("p", "t").alias("score"))
-    done = evaluate.running_normalization(open_, block_rows=500)
+    done = evaluate.running_normalization(open_)
     return done.select("id", "lang", "seq", F.round("normalized", 4).alias("normalized"))
 
 
@@ -500,6 +529,60 @@ def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("lang", "n_predictions", "n_matched", *(F.round(c, 6).alias(c) for c in ("exact_match", "edit_distance_similarity", "gleu")))
 
 
+@_query(
+    f"""{_CTE}, {_GLEU}, {_EVALUATED}
+SELECT lang, count(*) AS n, round(avg((np = nt)::INT), 6) AS exact_match, round(avg(eds), 6) AS edit_distance_similarity, round(avg(gleu), 6) AS gleu FROM matched GROUP BY lang
+UNION ALL
+SELECT '__overall__', count(*), round(avg((np = nt)::INT), 6), round(avg(eds), 6), round(avg(gleu), 6) FROM matched"""
+)
+def evaluation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prediction files against reference files, where only the last line of an id's last file holds; the report as it was written."""
+    path = scratch_path(spark, "evaluation")
+    lines = predictions(line_samples(spark, sf_dir))
+    files.write_jsonl(lines.select("id", "lang", "source", "prediction"), f"{path}/predictions")
+    present = lines.where(F.col("doc_id") % 5 != 4)
+    reference = lambda target: F.struct("id", target.alias("target"), "source", "lang")
+    files.write_jsonl(present.select(reference(F.lit("stale")).alias("r")).select("r.*"), f"{path}/references/1")
+    twice = present.select(F.explode(F.array(reference(F.lit("stale too")), reference(F.col("target")))).alias("r")).select("r.*")
+    files.write_jsonl(twice, f"{path}/references/2")
+    pipelines.evaluate_files(spark, f"{path}/predictions", [f"{path}/references/2", f"{path}/references/1"], f"{path}/report.json")
+    rates = "exact_match double, edit_distance_similarity double, gleu double"
+    schema = f"overall struct<n_matched: long, {rates.replace(' ', ': ')}>, per_language map<string, struct<n: long, {rates.replace(' ', ': ')}>>".replace(",: ", ", ")
+    found = spark.read.text(f"{path}/report.json", wholetext=True).select(F.from_json("value", schema).alias("r")).select("r.*")
+    rounded = lambda side: [F.round(f"{side}.{c}", 6).alias(c) for c in ("exact_match", "edit_distance_similarity", "gleu")]
+    own = found.select(F.explode("per_language").alias("lang", "m")).select("lang", "m.n", *rounded("m"))
+    return own.unionByName(found.select(F.lit("__overall__").alias("lang"), F.col("overall.n_matched").alias("n"), *rounded("overall")))
+
+
+_SHOWN = " UNION ALL ".join(
+    f"SELECT a.lang, {i} AS k, '{m}' AS metric, {shown('coalesce(b.' + m + ', 0)')} AS before, {shown('coalesce(a.' + m + ', 0)')} AS after, {shown(delta)} AS delta FROM a LEFT JOIN b ON a.lang = b.lang WHERE {delta} <> 0"
+    for i, m in enumerate(analyze.METRICS)
+    for delta in [f"(coalesce(a.{m}, 0) - coalesce(b.{m}, 0))"]
+    for shown in [(lambda x: f"({x})::VARCHAR") if m.startswith("n_") else (lambda x: f"printf('%.4f', {x}::DOUBLE)")]
+)
+
+
+@_query(
+    f"""{_CTE}, {_IDENTITY}, {_stats_sql("samples", "b").replace(", 6)", ", 15)")},
+changed AS (SELECT id, lang, ns, nt FROM samples UNION ALL SELECT id || '_id', lang, nt, nt FROM identity), {_stats_sql("changed", "a").replace(", 6)", ", 15)")},
+shown AS ({_SHOWN})
+SELECT row_number() OVER (ORDER BY lang = '__overall__', lang, k) AS line, lang, metric, before, after, delta FROM shown"""
+)
+def comparison_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The printed lines of a comparison of two sample files, in their order."""
+    path = scratch_path(spark, "comparison")
+    base = full_samples(spark, sf_dir)
+    files.write_jsonl(base, f"{path}/before")
+    stored = files.read_jsonl(spark, f"{path}/before", SAMPLE)
+    files.write_jsonl(stored.unionByName(sampling.inject_identity(stored, 0.07)), f"{path}/after")
+    text = pipelines.analyze_files(spark, f"{path}/before", f"{path}/after", f"{path}/report.json")
+    files.write_small(spark, f"{path}/report.txt", text)
+    printed = spark.read.text(f"{path}/report.txt", wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "value")).where("line > 0")
+    cells = F.split("value", " +")
+    names = ("lang", "metric", "before", "after", "delta")
+    return printed.select(F.col("line").cast("long").alias("line"), *(cells[i].alias(c) for i, c in enumerate(names)))
+
+
 # --- sample building --------------------------------------------------------------------
 
 _UID = "substr(md5(lang || ':' || corpus || ':' || substr(source, 1, 200) || ':ref1'), 1, 12)"
@@ -686,6 +769,98 @@ def token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- files, order, generation -----------------------------------------------------------
 
+#: Documents of one corpus at most, in the folder tree made of them.
+CORPUS_DOCS = 5000
+_TREE_SETTINGS = "max_source_len: 1500\nmax_target_len: 1250\n"
+
+
+def write_corpora(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """A tree of corpora as their authors leave them: a folder each with metadata and essay files.
+
+    Documents of a source and language are some corpora.  Learners' texts lack punctuation;
+    every third essay has a second reference.  Files have leading text, stale essays that
+    later ones replace, headings inside essays, and in French two-character line ends.
+    """
+    remark = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("\n### remark "), "lang", F.lit("\n###"))).otherwise(F.lit(""))
+    docs = documents(spark, sf_dir).withColumns({"dir": F.concat_ws("-", "corpus", "lang", F.floor(F.col("doc_id") / CORPUS_DOCS).cast("string")), "split": split_by_id(), "remark": remark})
+    header = F.concat(F.lit("### essay_id = "), F.col("doc_id").cast("string"), F.lit("\n"))
+    stale = F.when(F.col("doc_id") % 4 == 0, F.concat(header, F.lit("stale\n"))).otherwise(F.lit(""))
+    kinds = {"orig": F.regexp_replace("text", PUNCTUATION, ""), "ref1": F.col("text"), "ref2": F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("text", r"\.", " ."))}
+    rows = docs.select("doc_id", "dir", "lang", "split", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.concat(stale, header, t, "remark").alias("value")) for k, t in kinds.items()))).alias("e"))
+    rows = rows.select("doc_id", "dir", "lang", F.concat_ws("-", "lang", "e.kind", "split").alias("file"), F.col("e.value").alias("value")).where("value IS NOT NULL")
+    rows = rows.withColumn("value", F.when(F.col("lang") == "fr", F.replace("value", F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("value")))
+    first = rows.select("dir", "file").distinct().select(F.lit(-1).cast("long").alias("doc_id"), "dir", F.lit("").alias("lang"), "file", F.lit("# a corpus\nnot an essay").alias("value"))
+    every = rows.unionByName(first).repartition("dir", "file").sortWithinPartitions("dir", "file", "doc_id")
+    every.select("dir", "file", "value").write.partitionBy("dir", "file").text(f"{folder}/.raw")
+    # Files get the names that corpora have; there are some for each corpus, none of them read here.
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for corpus in system.listStatus(path(f"{folder}/.raw")):
+        name = corpus.getPath().getName().removeprefix("dir=")
+        if name == corpus.getPath().getName():
+            continue
+        lang = name.split("-")[-2]
+        files.write_small(spark, f"{folder}/{name}/metadata.yaml", f"target_language: {lang}\nsentence_aligned: {str(lang in ('en', 'de')).lower()}\nreference_essays_1: yes\n")
+        for file in system.listStatus(corpus.getPath()):
+            (part,) = (f.getPath() for f in system.listStatus(file.getPath()) if f.getPath().getName().startswith("part-"))
+            system.rename(part, path(f"{folder}/{name}/{file.getPath().getName().removeprefix('file=')}.md"))
+    system.delete(path(f"{folder}/.raw"), True)
+
+
+@contextmanager
+def _small_splits(spark: SparkSession, size: int = 64 << 10) -> Iterator[None]:
+    """Input splits of a few essays while files are read."""
+    names = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": str(size // 16)}
+    old = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in old.items():
+            spark.conf.set(name, value)
+
+
+_TREE = rf"""
+WITH tree AS (
+  SELECT doc_id, lang, source || '-' || lang || '-' || (doc_id // {CORPUS_DOCS})::VARCHAR AS corpus, CASE doc_id % 10 WHEN 0 THEN 'dev' WHEN 1 THEN 'test' ELSE 'train' END AS split,
+         regexp_replace(text, '[.,;:!?]', '', 'g') || remark AS o, text || remark AS r1, CASE WHEN doc_id % 3 = 0 THEN replace(text, '.', ' .') || remark END AS r2
+  FROM (SELECT *, CASE WHEN doc_id % 5 = 0 THEN chr(10) || '### remark ' || lang || chr(10) || '###' ELSE '' END AS remark FROM documents)),
+sides AS (SELECT doc_id, lang, corpus, split, o, 'ref1' AS ref, r1 AS r FROM tree UNION ALL SELECT doc_id, lang, corpus, split, o, 'ref2', r2 FROM tree WHERE r2 IS NOT NULL),
+stripped AS (SELECT doc_id, lang, corpus, split, ref, regexp_replace(o, '^\s+|\s+$', '', 'g') AS o, regexp_replace(r, '^\s+|\s+$', '', 'g') AS r FROM sides),
+listed AS (
+  SELECT *, [x FOR x IN [{_STRIP} FOR y IN string_split(o, chr(10))] IF x <> ''] AS ol, [x FOR x IN [{_STRIP} FOR y IN string_split(r, chr(10))] IF x <> ''] AS rl
+  FROM stripped WHERE o <> '' AND r <> ''),
+aligned AS (
+  SELECT lang, corpus, split, ref, unnest(ol[1:least(len(ol), len(rl))]) AS source, unnest(rl[1:least(len(ol), len(rl))]) AS target FROM listed WHERE lang IN ('en', 'de')
+  UNION ALL SELECT lang, corpus, split, ref, o, r FROM listed WHERE lang NOT IN ('en', 'de')),
+built AS (
+  SELECT *, substr(md5(lang || ':' || corpus || ':' || substr(source, 1, 200) || ':' || ref), 1, 12) AS id, md5({_PROMPT}) AS prompt_md5
+  FROM aligned WHERE length(source) BETWEEN 1 AND 6000 AND length(target) BETWEEN 1 AND 5000)
+"""
+
+
+@_query(
+    f"""{_TREE}
+SELECT 'lines' AS store, id, lang, corpus, split, ref, prompt_md5, md5(target) AS target_md5, NULL AS data_source FROM built
+UNION ALL SELECT 'table', id, lang, corpus, split, NULL, prompt_md5, md5(target), '{DATA_SOURCE_PREFIX}' || lang || '_' || corpus FROM built"""
+)
+def corpus_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1 with S1, S2, S3, S6, S7, S11 and J1-J4: samples of a tree of corpora, read in small splits, as they were written by split."""
+    path = scratch_path(spark, "build")
+    write_corpora(spark, sf_dir, f"{path}/data")
+    files.write_small(spark, f"{path}/settings.yaml", _TREE_SETTINGS)
+    settings = files.read_settings(f"{path}/settings.yaml", spark)
+    with _small_splits(spark):
+        pipelines.build_dataset(spark, f"{path}/data", f"{path}/out", int(settings["max_source_len"]), DATA_SOURCE_PREFIX, int(settings["max_target_len"]))
+    lines = files.read_jsonl(spark, [f"{path}/out/{DATA_SOURCE_PREFIX}{s}.jsonl" for s in SPLITS], SAMPLE)
+    keys = ("id", "lang", "corpus", "split")
+    lines = lines.select(F.lit("lines").alias("store"), *keys, "ref", F.md5("prompt").alias("prompt_md5"), F.md5("target").alias("target_md5"), F.lit(None).cast("string").alias("data_source"))
+    table = spark.read.parquet(*(f"{path}/out/{DATA_SOURCE_PREFIX}{s}.parquet" for s in SPLITS))
+    prompt = F.md5(F.element_at("prompt", 1)["content"])
+    return lines.unionByName(table.select(F.lit("table").alias("store"), *(f"extra_info.{k}" for k in keys), F.lit(None).cast("string").alias("ref"), prompt.alias("prompt_md5"), F.md5("reward_model.ground_truth").alias("target_md5"), "data_source"))
+
+
 
 @_query(
     """WITH files AS (
@@ -719,12 +894,13 @@ def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHERE k * 3 - 1 <= n // 2"""
 )
 def bounded_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of one file in which every record stands between a blank line and one of white space, the first half as many lines as there are documents."""
+    """Of files in which every record stands between a blank line and one of white space, the first half as many lines as there are documents."""
     docs = documents(spark, sf_dir)
     path = scratch_path(spark, "bounded")
     record = F.to_json(F.struct("doc_id", "text"))
-    # One file, as a line's place in it is what the scan goes by.
-    docs.select("doc_id", F.explode(F.array(F.lit(""), record, F.lit("\t \t"))).alias("value")).repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id").select("value").write.text(path)
+    # Files follow one another by name, so their lines are in the order of doc_id.
+    lines = docs.select("doc_id", F.posexplode(F.array(F.lit(""), record, F.lit("\t \t"))).alias("pos", "value"))
+    lines.repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id", "pos").select("value").write.text(path)
     head = files.read_jsonl_head(spark, path, "doc_id long, text string", docs.count() // 2)
     return head.select("doc_id", F.md5("text").alias("text_md5"))
 

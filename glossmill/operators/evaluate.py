@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glossmill.functions.text import edit_distance_similarity, exact_match, normalize_text, with_gleu
 from glossmill.operators.analyze import OVERALL
+from glossmill.sources.scratch import settle
 
 WARMUP = 30
-BLOCK_ROWS = 65_536
 
 
 def match_predictions(predictions: DataFrame, references: DataFrame, seq: str | None = None) -> DataFrame:
     """(id, lang, prediction, target) of predictions whose id has a reference.
 
-    Of references with one id the last by `seq` holds; predictions are not deduplicated.
-    The language is the reference's, `unknown` if it has none.
+    Of references with one id the last by `seq` holds, which may be a struct (files have
+    their rows' places, `files.read_jsonl_placed`).  Rows of a DataFrame have no order, so
+    without a `seq` the greatest target, then language, holds.  Predictions are not
+    deduplicated.  The language is the reference's, `unknown` if it has none.
     """
     fields = F.struct(F.col("target"), F.col("lang").alias("ref_lang"))
-    last = F.max_by(fields, seq) if seq else F.last(fields)
+    last = F.max_by(fields, seq) if seq else F.max(fields)
     refs = references.groupBy("id").agg(last.alias("r")).select("id", "r.*")
     lang = F.coalesce("ref_lang", F.lit("unknown"))
     return predictions.select("id", "prediction").join(refs, "id").select("id", lang.alias("lang"), "prediction", "target")
@@ -63,41 +71,59 @@ def report(rows: list[dict]) -> dict:
     }
 
 
-def _running(scores: DataFrame, keys: list[str], seq: str, score: str) -> DataFrame:
-    """Add `__n`, `__mean`, `__m2`: count, mean and squared deviations up to the current row within the keys."""
-    up_to = Window.partitionBy(*keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    n = F.count(score).over(up_to)
-    return scores.withColumns({"__n": n, "__mean": F.avg(score).over(up_to), "__m2": F.var_pop(score).over(up_to) * n})
-
-
-def running_normalization(scores: DataFrame, lang: str = "lang", seq: str = "seq", score: str = "score", warmup: int = WARMUP, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _running(placed: DataFrame, lang: str, score: str) -> DataFrame:
+    """Add `__n`, `__mean`, `__m2`: count, mean and squared deviations of a language up to the current row of its part, rows being in order."""
+    schema = T.StructType([*placed.schema.fields, *(T.StructField(c, T.DoubleType()) for c in ("__n", "__mean", "__m2"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Of the language at the last row: its name, rows so far, first score, and sums of what lies above that score.
+        name, n, first, total, squares = object(), 0, 0.0, 0.0, 0.0
+        for batch in batches:
+            codes = batch.column(lang).dictionary_encode()
+            at = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            x = batch.column(score).to_numpy(zero_copy_only=False).astype(float)
+            out = np.zeros((3, len(x)))
+            starts = np.flatnonzero(np.diff(at, prepend=np.iinfo(np.int32).min)) if len(x) else []
+            for start, end in pairwise([*starts, len(x)]):
+                own = codes.dictionary[int(at[start])].as_py() if at[start] >= 0 else None
+                if own != name:
+                    name, n, first, total, squares = own, 0, x[start], 0.0, 0.0
+                d = x[start:end] - first
+                rows, sums, square_sums = n + np.arange(1, len(d) + 1), total + np.cumsum(d), squares + np.cumsum(d * d)
+                out[:, start:end] = rows, first + sums / rows, np.maximum(square_sums - sums * sums / rows, 0.0)
+                n, total, squares = int(rows[-1]), sums[-1], square_sums[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, out)], names=schema.fieldNames())
+
+    return placed.mapInArrow(run, schema)
+
+
+def running_normalization(scores: DataFrame, lang: str = "lang", seq: str = "seq", score: str = "score", warmup: int = WARMUP, parts: int | None = None) -> DataFrame:
     """Add `normalized`: the score against its language's running mean and population deviation.
 
     Both include the current row; the first `warmup - 1` rows of a language keep their
-    score.  `seq` orders a language's rows by a whole number without repeats.  A language
-    is worked in blocks of seq, of about `block_rows` rows where seq is spread evenly: a
-    running (count, mean, squared deviations) within each block is combined with that of
-    all blocks before it, so no task holds a language whole and no digits are lost in
-    differences of large sums.
+    score.  `seq` orders a language's rows, without repeats.  This is a scan by prefixes:
+    rows are written once, range-partitioned by language and seq from a sample of them, so
+    parts are even however seq is spread and a large language lies over many; each part
+    is run through in order; and what its few languages amount to at its end is added up
+    over the parts before.  Scores are worked out once, and no digits are lost in
+    differences of large sums, which are taken around a score of their own part.
     """
-    keys = [lang, "__block"]
-    # Blocks are as wide in seq as that many rows take on average; one row a language.
-    spans = scores.groupBy(F.col(lang).alias("__lang")).agg(F.count("*").alias("__rows"), F.min(seq).alias("__low"), F.max(seq).alias("__high"))
-    width = F.greatest(F.lit(1.0), (F.col("__high") - F.col("__low") + 1).cast("double") * block_rows / F.col("__rows"))
-    spans = spans.select("__lang", "__low", width.alias("__width"))
-    placed = scores.join(spans, F.col(lang).eqNullSafe(F.col("__lang"))).withColumn("__block", F.floor((F.col(seq) - F.col("__low")) / F.col("__width")))
-    staged = _running(placed.drop("__lang", "__low", "__width"), keys, seq, score)
-    # A block's last row has its sums.  The whole row is taken, so that both sides read the same
-    # columns of one exchange and the scores are worked out once.
-    ends = staged.groupBy(*keys).agg(F.max_by(F.struct(*staged.columns), "__n").alias("e"))
-    ends = ends.select(F.col(lang).alias("__lang"), F.col("__block").alias("__b"), "e.__n", "e.__mean", "e.__m2")
-    before = Window.partitionBy("__lang").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    # Sums of blocks are taken around the mean of a language's first block.
-    first = F.first("__mean").over(Window.partitionBy("__lang").orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    spark = scores.sparkSession
+    stored = settle(scores, "scores")
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = stored.repartitionByRange(parts, F.col(lang), F.col(seq)).withColumn("__part", F.spark_partition_id()).sortWithinPartitions(lang, seq)
+    staged = settle(_running(placed, lang, score), "running")
+    # A part's last row of a language has its sums: a part has its own languages, and all parts share few.
+    ends = staged.groupBy(lang, "__part").agg(F.max_by(F.struct("__n", "__mean", "__m2"), "__n").alias("e"))
+    ends = ends.select(F.col(lang).alias("__lang"), F.col("__part").alias("__p"), "e.*")
+    in_order = Window.partitionBy("__lang").orderBy("__p")
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    # Sums over parts are taken around the mean of a language's first part.
+    first = F.first("__mean").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     off = F.col("__n") * (F.col("__mean") - F.col("__centre"))
     sums = {"__n0": F.col("__n"), "__s0": off, "__q0": F.col("__m2") + off * (F.col("__mean") - F.col("__centre"))}
-    starts = ends.withColumn("__centre", first).select("__lang", "__b", "__centre", *(F.coalesce(F.sum(v).over(before), F.lit(0)).alias(k) for k, v in sums.items()))
-    staged = staged.join(starts, F.col(lang).eqNullSafe(F.col("__lang")) & (F.col("__block") == F.col("__b")))
+    starts = ends.withColumn("__centre", first).select("__lang", "__p", "__centre", *(F.coalesce(F.sum(v).over(before), F.lit(0.0)).alias(k) for k, v in sums.items()))
+    staged = staged.join(starts, F.col(lang).eqNullSafe(F.col("__lang")) & (F.col("__part") == F.col("__p")))
     n = F.col("__n0") + F.col("__n")
     own = F.col("__mean") - F.col("__centre")
     shift = (F.col("__s0") + F.col("__n") * own) / n  # the mean, less the centre

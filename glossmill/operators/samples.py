@@ -81,10 +81,12 @@ def align_documents(essays: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     return essays.select(*keep, strip("orig_text").alias("source"), strip("ref_text").alias("target"))
 
 
-def filter_pairs(pairs: DataFrame, max_source_len: int = 1024) -> DataFrame:
-    """Pairs with no empty side and at most four characters per allowed token on either."""
-    most = 4 * max_source_len
-    return pairs.where((F.length("source") <= most) & (F.length("target") <= most) & (F.length("source") > 0) & (F.length("target") > 0))
+def filter_pairs(pairs: DataFrame, max_source_len: int = 1024, max_target_len: int | None = None) -> DataFrame:
+    """Pairs with no empty side and at most four characters per allowed token on each; targets may be as long as sources unless told."""
+    longest = {"source": 4 * max_source_len, "target": 4 * (max_source_len if max_target_len is None else max_target_len)}
+    for side, most in longest.items():
+        pairs = pairs.where((F.length(side) <= most) & (F.length(side) > 0))
+    return pairs
 
 
 def rewrite_prompt(prompt: Column | str, text: Column | str, source: Column | str | None = None) -> Column:

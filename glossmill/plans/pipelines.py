@@ -22,16 +22,13 @@ STAGE_DEFAULTS = {
 }
 
 
-def samples_from_corpora(spark: SparkSession, data_dir: str, max_source_len: int = 1024) -> DataFrame:
+def samples_from_corpora(spark: SparkSession, data_dir: str, max_source_len: int = 1024, max_target_len: int | None = None) -> DataFrame:
     """Samples of all corpora below a folder: every essay against each of its references."""
     corpora = files.discover_corpora(spark, data_dir)
+    one_name = lambda c: F.regexp_replace(c, "^file:/+", "file:/")  # noqa: E731  readers differ in it
     essay_files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(data_dir).select("path")
-    placed = files.classify_files(essay_files).join(corpora, "corpus_dir")
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(data_dir, wholetext=True)
-    raw = raw.select("value", F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/").alias("path"))
-    placed = placed.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/"))
-    keep = ("corpus_dir", "corpus_name", "lang_code", "sentence_aligned", "split", "kind", "ref_key")
-    essays = files.parse_essays(raw.join(placed, "path"), keep=keep)
+    placed = files.classify_files(essay_files).join(corpora, "corpus_dir").withColumn("path", one_name("path"))
+    essays = files.read_essays(spark, data_dir, recursive=True).withColumn("path", one_name("path")).join(placed, "path")
     keys = ("corpus_dir", "corpus_name", "lang_code", "sentence_aligned", "split", "essay_id")
     orig = essays.where("kind = 'orig'").select(*keys, F.col("text").alias("orig_text"))
     refs = essays.where("kind = 'ref'").select(*keys, F.col("ref_key").alias("ref"), F.col("text").alias("ref_text"))
@@ -39,13 +36,15 @@ def samples_from_corpora(spark: SparkSession, data_dir: str, max_source_len: int
     place = (*keys, "ref")
     lines = align_lines(aligned.where("sentence_aligned"), place).drop("line_no")
     whole = align_documents(aligned.where("NOT sentence_aligned"), place)
-    pairs = filter_pairs(lines.unionByName(whole), max_source_len)
+    pairs = filter_pairs(lines.unionByName(whole), max_source_len, max_target_len)
     return build_samples(pairs.withColumnsRenamed({"lang_code": "lang", "corpus_name": "corpus"}))
 
 
-def build_dataset(spark: SparkSession, data_dir: str, output_dir: str, max_source_len: int = 1024, prefix: str = DATA_SOURCE_PREFIX) -> DataFrame:
+def build_dataset(
+    spark: SparkSession, data_dir: str, output_dir: str, max_source_len: int = 1024, prefix: str = DATA_SOURCE_PREFIX, max_target_len: int | None = None
+) -> DataFrame:
     """Write the samples of every split as JSON lines and Parquet, file names and data sources with a prefix; returns the counts."""
-    samples = samples_from_corpora(spark, data_dir, max_source_len)
+    samples = samples_from_corpora(spark, data_dir, max_source_len, max_target_len)
     out = f"{output_dir}/samples"
     samples.write.mode("overwrite").partitionBy("split").parquet(out)
     stored = spark.read.schema(SAMPLE).parquet(out)
@@ -86,17 +85,17 @@ def analyze_files(spark: SparkSession, before: str, after: str | None = None, ou
         rows = as_rows(analyze.compare_stats(first, analyze.language_stats(files.read_jsonl(spark, after, SAMPLE))))
         text, report = analyze.format_comparison(rows), {r["lang"]: {k: r[k] for k in ("before", "after", "delta")} for r in rows}
     if output:
-        files.write_report(report, output)
+        files.write_report(report, output, spark)
     return text
 
 
-def evaluate_files(spark: SparkSession, predictions: str, references: str, output: str | None = None) -> dict:
-    """Metrics of a prediction file against a reference file; also as JSON if an output is named."""
+def evaluate_files(spark: SparkSession, predictions: str, references: str | list[str], output: str | None = None) -> dict:
+    """Metrics of prediction files against reference files, of which a later line has an id's reference; also as JSON if an output is named."""
     preds = files.read_jsonl(spark, predictions, PREDICTION)
-    refs = files.read_jsonl(spark, references, REFERENCE).withColumn("seq", F.monotonically_increasing_id())
-    metrics = evaluate.report([r.asDict() for r in evaluate.evaluate(preds, refs, "seq").collect()])  # one row a language
+    refs = files.read_jsonl_placed(spark, references, REFERENCE)
+    metrics = evaluate.report([r.asDict() for r in evaluate.evaluate(preds, refs, "place").collect()])  # one row a language
     if output:
-        files.write_report(metrics, output)
+        files.write_report(metrics, output, spark)
     return metrics
 
 

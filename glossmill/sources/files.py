@@ -5,13 +5,19 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import uuid
+from collections.abc import Iterator
+from itertools import pairwise
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossmill.functions.scoring import DATA_SOURCE_PREFIX
 from glossmill.functions.text import strip
 from glossmill.schemas import LANGUAGES, SPLITS
+from glossmill.sources.scratch import settle
 
 
 def parse_yaml(text: str) -> dict:
@@ -25,12 +31,22 @@ def parse_yaml(text: str) -> dict:
     return yaml.safe_load(text) or {}
 
 
-def read_settings(path: str) -> dict:
-    """A YAML configuration file on the driver."""
+def read_settings(path: str, spark: SparkSession | None = None) -> dict:
+    """A YAML configuration file: the driver's own or, with a session, of any store that Spark reads."""
+    if spark:
+        return parse_yaml(spark.read.text(path, wholetext=True).first()["value"])
     with open(path, encoding="utf-8") as f:
         return parse_yaml(f.read())
 
 
+def write_small(spark: SparkSession, path: str, text: str) -> None:
+    """One small file in any store that Spark writes."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def discover_corpora(spark: SparkSession, data_dir: str) -> DataFrame:
     """(lang_code, lang_name, corpus_name, corpus_dir, sentence_aligned, n_refs) of every metadata.yaml below a folder.
 
@@ -73,6 +89,17 @@ def find_split_files(spark: SparkSession, corpus_dir: str) -> DataFrame:
     return classify_files(files)
 
 
+_BLANK = r"[^\S\n]"
+_HEADER = rf"###{_BLANK}+essay_id{_BLANK}*={_BLANK}*"
+_HEADER_AHEAD = rf"(?mU)^(?={_HEADER}[^\n])"
+
+
+def _essay_id(part: str) -> Column:
+    """The id in the header that a part begins with, which may be blank, or null without one."""
+    header = rf"(?U)^{_HEADER}([^\n]+)"
+    return F.when(F.col(part).rlike(header), strip(F.regexp_extract(part, header, 1)))
+
+
 def parse_essays(files: DataFrame, content: str = "value", keep: tuple[str, ...] = ("path",)) -> DataFrame:
     """(*keep, essay_id, text) of whole Markdown files.
 
@@ -80,37 +107,105 @@ def parse_essays(files: DataFrame, content: str = "value", keep: tuple[str, ...]
     dropped, bodies are stripped, and of a repeated id the last one holds.  A file is
     split at its headers, without a shuffle of lines.
     """
-    blank = r"[^\S\n]"
-    text = F.regexp_replace(content, "\r\n?", "\n")
-    parts = F.split(text, rf"(?mU)^(?=###{blank}+essay_id{blank}*={blank}*[^\n])")
-    split = files.select(*keep, F.posexplode(parts).alias("pos", "part"))
-    header = rf"(?U)^###{blank}+essay_id{blank}*={blank}*([^\n]+)"
-    found = split.withColumn("essay_id", F.regexp_extract("part", header, 1)).where("essay_id <> ''")
-    space = r"(?U)[\s\x1c-\x1f]"
-    body = F.regexp_replace(F.regexp_replace("part", r"^[^\n]*\n?", ""), rf"^{space}+|{space}+$", "")
-    found = found.select(*keep, "pos", F.regexp_replace("essay_id", rf"^{space}+|{space}+$", "").alias("essay_id"), body.alias("text"))
+    parts = F.split(F.regexp_replace(content, "\r\n?", "\n"), _HEADER_AHEAD)
+    found = files.select(*keep, F.posexplode(parts).alias("pos", "part")).withColumn("essay_id", _essay_id("part")).where("essay_id IS NOT NULL")
+    found = found.select(*keep, "pos", "essay_id", strip(F.regexp_replace("part", r"^[^\n]*\n?", "")).alias("text"))
     return found.groupBy(*keep, "essay_id").agg(F.max_by("text", "pos").alias("text"))
 
 
-def read_essays(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """(path, essay_id, text) of Markdown files."""
-    raw = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    return parse_essays(raw)
+_MARK = "###"
+
+
+def _numbered(chunks: DataFrame) -> DataFrame:
+    """Add `n`, a chunk's number in its input split, to (value, path, block) in the order of reading."""
+    schema = "value string, path string, block long, n long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, count = None, 0
+        for batch in batches:
+            place = batch.column("path").dictionary_encode()
+            own = np.stack([place.indices.to_numpy(), batch.column("block").to_numpy()]) if batch.num_rows else np.zeros((2, 0), np.int64)
+            starts = np.flatnonzero(np.append([True], (np.diff(own) != 0).any(0))) if batch.num_rows else np.zeros(0, np.int64)
+            numbers = np.arange(batch.num_rows)
+            for start, end in pairwise([*starts.tolist(), batch.num_rows]):
+                here = (batch.column("path")[start].as_py(), batch.column("block")[start].as_py())
+                count = count if here == last else 0
+                numbers[start:end] = count + np.arange(end - start)
+                last, count = here, count + end - start
+            yield pa.record_batch([*batch.columns, pa.array(numbers)], names=["value", "path", "block", "n"])
+
+    return chunks.mapInArrow(run, schema)
+
 
+def read_essays(spark: SparkSession, paths: list[str] | str, recursive: bool = False) -> DataFrame:
+    """(path, essay_id, text) of Markdown files of any size, with `recursive` of those in and below folders.
 
-def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    What `parse_essays` says of whole files, but a file is read in input splits: the reader
+    cuts it where a line begins with a header's marks, so an essay comes whole from the split
+    it begins in and a large file is many tasks' work.  Chunks that turn out not to be
+    headers go to the last essay before them, which is found over chunks' places alone.
+    """
+    reader = spark.read.option("lineSep", "\n" + _MARK)
+    if recursive:
+        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md")
+    chunks = _numbered(reader.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")))
+    # All chunks but a file's first had the marks before them.
+    text = F.when((F.col("block") == 0) & (F.col("n") == 0), F.col("value")).otherwise(F.concat(F.lit(_MARK), "value"))
+    # A line end of two characters has lost its second one to the cut.
+    text = F.regexp_replace(F.regexp_replace(text, r"\r\z", ""), "\r\n?", "\n")
+    split = chunks.select("path", "block", "n", F.posexplode(F.split(text, _HEADER_AHEAD)).alias("pos", "part"))
+    place = F.struct("block", "n", "pos").alias("place")
+    parts = settle(split.select("path", place, _essay_id("part").alias("essay_id"), "part"), "essay_parts")
+    heads = parts.where("essay_id IS NOT NULL").select("path", "essay_id", "place", F.regexp_replace("part", r"^[^\n]*\n?", "").alias("body"))
+    best = heads.groupBy("path", "essay_id").agg(F.max_by(F.struct("place", "body"), "place").alias("b")).select("path", "essay_id", "b.*")
+    # Places are few bytes each: within a split by a running maximum, then over the splits of a file.
+    places = parts.select("path", "place", F.when(F.col("essay_id").isNotNull(), F.col("place")).alias("head"))
+    in_split = Window.partitionBy("path", "place.block").orderBy("place")
+    owned = places.withColumn("own", F.max("head").over(in_split))
+    blocks = places.groupBy("path", F.col("place.block").alias("block")).agg(F.max("head").alias("head"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("path", "block", F.max("head").over(earlier).alias("before"))
+    loose = owned.where("head IS NULL").select("path", "place", "own", F.col("place.block").alias("block")).join(blocks, ["path", "block"])
+    loose = loose.select("path", "place", F.coalesce("own", "before").alias("owner")).where("owner IS NOT NULL")
+    tails = parts.where("essay_id IS NULL").join(loose, ["path", "place"])
+    tails = tails.groupBy("path", F.col("owner").alias("place")).agg(F.sort_array(F.collect_list(F.struct("place", "part"))).alias("tail"))
+    tail = F.array_join(F.transform("tail", lambda t: F.concat(F.lit("\n"), t["part"])), "")
+    whole = best.join(tails.select("path", "place", tail.alias("tail")), ["path", "place"], "left")
+    return whole.select("path", "essay_id", strip(F.concat("body", F.coalesce("tail", F.lit("")))).alias("text"))
+
+
+def read_jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """JSON lines of a known schema; blank lines are skipped and a malformed one fails the query."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def read_jsonl_placed(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """`read_jsonl` with `place`, by which a row stands before another: file, input split, and number in it.
+
+    Numbers rise in the order of reading, so places compare alike however splits are dealt to tasks.
+    """
+    read = read_jsonl(spark, path, schema)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    return read.select(*read.columns, place.alias("place"))
+
+
 def read_jsonl_head(spark: SparkSession, path: str, schema: str, max_samples: int | None = None) -> DataFrame:
-    """The samples among the first `max_samples` lines of one file, blank lines counted; 0 or None means all."""
+    """The samples among the first `max_samples` lines of one file, blank lines counted; 0 or None means all.
+
+    Lines are counted by input split first; a line is kept if the lines of all splits
+    before its own and those before it there are fewer.  Nothing is sorted.  Of a folder's
+    files the order is that of their names.
+    """
     if not max_samples:
         return read_jsonl(spark, path, schema)
-    # Lines in the file's order, whatever splits it is read in.
-    placed = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
-    lines = placed.orderBy("file_path", "file_block_start", "at").limit(max_samples)
-    return lines.where(strip("value") != "").select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("s")).select("s.*")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    # One row a split.  Numbers rise by one within a split, wherever they begin.
+    splits = lines.groupBy("path", "block").agg(F.min("n").alias("first"), F.count("*").alias("lines"))
+    before = Window.orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("path", "block", (F.coalesce(F.sum("lines").over(before), F.lit(0)) - F.col("first")).alias("shift"), "first")
+    wanted = splits.where(F.col("shift") + F.col("first") < max_samples).drop("first")
+    kept = lines.join(wanted, ["path", "block"]).where((F.col("n") + F.col("shift") < max_samples) & (strip("value") != ""))
+    return kept.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("s")).select("s.*")
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -119,19 +214,34 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def write_parquet_by_split(df: DataFrame, folder: str, prefix: str = DATA_SOURCE_PREFIX) -> dict[str, str]:
-    """One Parquet table per split that has rows; returns their paths."""
-    found = [r["split"] for r in df.select("split").distinct().collect()]  # three values at most
-    out = {}
-    for split in sorted(found):
-        out[split] = f"{folder}/{prefix}{split}.parquet"
-        df.where(F.col("split") == split).drop("split").write.mode("overwrite").parquet(out[split])
-    return out
-
+    """One Parquet table per split that has rows; returns their paths.
 
-def write_report(report: dict, path: str) -> None:
-    """A small result as indented JSON, non-ASCII kept."""
+    All are written in one pass, partitioned by split, and then put in place by renaming.
+    """
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    unfinished = hadoop(f"{folder}/.by_split-{uuid.uuid4().hex[:12]}")
+    df.write.partitionBy("split").parquet(unfinished.toString())
+    system = unfinished.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = {}
+    for entry in system.listStatus(unfinished):
+        name, _, split = entry.getPath().getName().partition("=")
+        if name == "split":
+            out[split] = f"{folder}/{prefix}{split}.parquet"
+            system.delete(hadoop(out[split]), True)
+            system.rename(entry.getPath(), hadoop(out[split]))
+    system.delete(unfinished, True)
+    return dict(sorted(out.items()))
+
+
+def write_report(report: dict, path: str, spark: SparkSession | None = None) -> None:
+    """A small result as indented JSON, non-ASCII kept: on the driver or, with a session, in any store that Spark writes."""
+    text = json.dumps(report, indent=2, ensure_ascii=False)
+    if spark:
+        write_small(spark, path, text)
+        return
     with open(path, "w", encoding="utf-8") as f:
-        json.dump(report, f, indent=2, ensure_ascii=False)
+        f.write(text)
 
 
 def read_progress(path: str, last: float = 0.0) -> float:

@@ -288,17 +288,52 @@ def welford(scores, warmup=30):
     return out
 
 
-@pytest.mark.parametrize("block, base", [(7, 0.0), (10_000, 0.0), (7, 1e6)])
-def test_running_normalization(spark, block, base):
+@pytest.mark.parametrize("parts, base", [(9, 0.0), (1, 0.0), (9, 1e6)])
+def test_running_normalization(spark, parts, base):
     rng = random.Random(1)
     rows = [(lang, i * i - 50, base + rng.random()) for i in range(100) for lang in ("en", "de")] + [("fr", i, 0.5) for i in range(40)]
     df = spark.createDataFrame(rows, "lang string, seq long, score double")
-    got = evaluate.running_normalization(df.repartition(5), block_rows=block).collect()
+    got = evaluate.running_normalization(df.repartition(5), parts=parts).collect()
     for lang in ("en", "de", "fr"):
         mine = [r["normalized"] for r in sorted((r for r in got if r["lang"] == lang), key=lambda r: r["seq"])]
         assert mine == pytest.approx(welford([s for k, _, s in rows if k == lang]), abs=1e-6 if not base else 1e-4)
 
 
+def test_running_normalization_with_odd_languages_and_seqs(spark):
+    """A null language is one; small batches, and one far-off seq, change nothing."""
+    rng = random.Random(2)
+    rows = [(lang, i, rng.random()) for lang in (None, "en", "") for i in range(400)] + [("en", 1 << 60, 0.25), ("de", 5, 0.5)]
+    rng.shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    got = evaluate.running_normalization(spark.createDataFrame(rows, "lang string, seq long, score double").withColumn("n", F.lit("kept")), parts=8).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert len(got) == len(rows) and got[0]["n"] == "kept"
+    for lang in (None, "en", "", "de"):
+        mine = [r["normalized"] for r in sorted((r for r in got if r["lang"] == lang), key=lambda r: r["seq"])]
+        assert mine == pytest.approx(welford([s for k, _, s in sorted(rows, key=lambda r: r[1]) if k == lang]), abs=1e-9)
+
+
+def test_one_extreme_seq_does_not_gather_a_language(spark):
+    """Parts hold like numbers of rows however seq is spread, and scores are worked out once."""
+    counted = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def work(x):
+        counted.add(1)
+        return float(x % 7)
+
+    rows = spark.range(20_000).select(F.lit("en").alias("lang"), F.when(F.col("id") == 77, F.lit(1 << 61)).otherwise(F.col("id")).alias("seq"), work("id").alias("score"))
+    out = evaluate.running_normalization(rows, parts=8)
+    assert out.count() == 20_000 and counted.value == 20_000
+    running = spark.read.parquet(*{f.rsplit("/", 1)[0] for f in out.inputFiles()})
+    sizes = [r["n"] for r in running.groupBy("__part").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 20_000 / 8
+
+
+def test_empty_scores(spark):
+    assert evaluate.running_normalization(spark.createDataFrame([], "lang string, seq long, score double")).collect() == []
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([([5, 6, 7, 8], 2)], "ids array<int>, k int")
     row = df.select(truncate("ids", 3), fits("ids", 4), fits("ids", 3), masked_labels("ids", "k")).first()

@@ -1,6 +1,9 @@
 import json
+import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from glossmill.__main__ import main
 from glossmill.functions.scoring import DATA_SOURCE_PREFIX
@@ -55,6 +58,118 @@ def test_essays(spark, corpora):
     assert rows == {"e1": "I am happy.\nShe is sad.\nExtra line.", "e2": "New body there."}
 
 
+@pytest.fixture
+def small_splits(spark):
+    """Input splits of a few hundred bytes."""
+    names = {"spark.sql.files.maxPartitionBytes": "150", "spark.sql.files.openCostInBytes": "1"}
+    old = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def random_markdown(rng):
+    pieces = [
+        "### essay_id = a\n", "### essay_id = b\n", "###  essay_id=c d \r\n", "### essay_id = é\r", "###\tessay_id = a\n", "### note\n", "###\n", "######  essay_id = no\n", "#### essay_id = no\n", " essay_id = x\n",
+        "### essay_id =\n", "### essay_id = \n", " ### essay_id = no\n", "Ein Satz.\n", "A longer line of words, of which there are some.\r\n", "\n", "\r", " \n", "é 😀 ü\n", "#", "##",
+    ]
+    return "".join(rng.choices(pieces, k=rng.randint(0, 60)))
+
+
+def plain_essays(text):
+    """Essays of a file, a line at a time."""
+    found, name = {}, None
+    for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
+        header = re.match(r"###[^\S\n]+essay_id[^\S\n]*=[^\S\n]*([^\n]+)$", line)
+        if header:
+            name = header[1].strip()
+            found[name] = []
+        elif name is not None:
+            found[name].append(line)
+    return {k: "\n".join(v).strip() for k, v in found.items()}
+
+
+def test_large_files_are_read_in_splits(spark, tmp_path, small_splits):
+    rng = random.Random(4)
+    texts = [random_markdown(rng) for _ in range(60)] + ["", "### essay_id = only", " essay_id = x\n### essay_id = y\n", "x" * 900 + "\n### essay_id = late\nbody\n" + "###\n" * 200 + "end", "### essay_id = a\n" + "### no\n" * 300]
+    for i, text in enumerate(texts):
+        (tmp_path / f"{i}.md").write_text(text, newline="")
+    found = files.read_essays(spark, str(tmp_path), recursive=True).collect()
+    got = {}
+    for r in found:
+        own = got.setdefault(int(r["path"].rsplit("/", 1)[1].removesuffix(".md")), {})
+        assert r["essay_id"] not in own
+        own[r["essay_id"]] = r["text"]
+    for i, text in enumerate(texts):
+        assert got.get(i, {}) == plain_essays(text), (i, text)
+    scan = spark.read.option("lineSep", "\n###").text(str(tmp_path))
+    assert scan.rdd.getNumPartitions() > 60
+
+
+def test_whole_files_and_splits_agree(spark, tmp_path, small_splits):
+    rng = random.Random(9)
+    for i in range(20):
+        (tmp_path / f"{i}.md").write_text(random_markdown(rng), newline="")
+    whole = files.parse_essays(spark.read.text(str(tmp_path), wholetext=True).select("value", "_metadata.file_path").withColumnRenamed("file_path", "path"))
+    rows = lambda df: sorted((r["path"], r["essay_id"], r["text"]) for r in df.collect())
+    assert rows(files.read_essays(spark, str(tmp_path), recursive=True)) == rows(whole)
+
+
+@pytest.mark.parametrize("limit", [1, 2, 7, 50, 199, 10_000])
+def test_bounded_scan_over_splits(spark, tmp_path, small_splits, limit):
+    rng = random.Random(limit)
+    lines = [rng.choice(['{"id": "%d", "t": "%s"}' % (i, "é" * rng.randint(0, 90)), "", " \t "]) for i in range(200)]
+    path = tmp_path / "x.jsonl"
+    path.write_text("\n".join(lines) + "\n")
+    head = files.read_jsonl_head(spark, str(path), "id string", limit)
+    assert sorted(r["id"] for r in head.collect()) == sorted(json.loads(x)["id"] for x in lines[:limit] if x.strip())
+    plan = head._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "GlobalLimit" not in plan and "rangepartitioning" not in plan
+
+
+def test_last_line_of_several_files_holds(spark, tmp_path, small_splits):
+    """An id's reference is that of the last line of the last file, however lines are dealt to tasks."""
+    refs, preds = tmp_path / "refs", tmp_path / "preds.jsonl"
+    refs.mkdir()
+    rng = random.Random(3)
+    held = {}
+    for name in ("a.jsonl", "b.jsonl", "c.jsonl"):
+        lines = []
+        for k in range(60):
+            i, target = str(rng.randrange(40)), f"text {name} {k} " + "x" * rng.randint(0, 40)
+            lines.append(json.dumps({"id": i, "target": target, "lang": "en"}))
+            held[i] = target
+        (refs / name).write_text("\n".join(lines) + "\n")
+    preds.write_text("".join(json.dumps({"id": i, "lang": "en", "source": "s", "prediction": t}) + "\n" for i, t in held.items()))
+    for size in ("150", "1000", "1m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        assert pipelines.evaluate_files(spark, str(preds), str(refs))["overall"]["exact_match"] == 1.0
+
+
+def test_one_pass_writes_every_split(spark, tmp_path):
+    df = spark.createDataFrame([(i, ("train", "dev")[i % 2]) for i in range(20)], "i int, split string")
+    counted = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def seen(i):
+        counted.add(1)
+        return i
+
+    for _ in range(2):  # the second time over what is there
+        paths = files.write_parquet_by_split(df.withColumn("i", seen("i")), str(tmp_path / "out"), "p_")
+    assert counted.value == 40 and sorted(paths) == ["dev", "train"]
+    assert sorted(r["i"] for r in spark.read.parquet(paths["dev"]).collect()) == list(range(1, 20, 2))
+    assert sorted(x.name for x in (tmp_path / "out").iterdir()) == ["p_dev.parquet", "p_train.parquet"]
+
+
+def test_targets_may_have_their_own_length(spark, corpora):
+    targets = lambda *most: sorted(r["target"] for r in pipelines.samples_from_corpora(spark, corpora, *most).collect())
+    assert len(targets(4)) == 5 and targets(4, 1000) == targets(4)
+    assert targets(4, 3) == [t for t in targets(4) if len(t) <= 12] and len(targets(4, 3)) == 4
+
+
 def test_build_augment_analyze_prepare(spark, corpora, tmp_path, capsys):
     out = str(tmp_path / "out")
     counts = {(r["lang"], r["corpus"], r["split"]): r["n"] for r in pipelines.build_dataset(spark, corpora, out).collect()}
