@@ -39,6 +39,25 @@ def join_facts(rows: DataFrame, facts: DataFrame, key: str, count: str, total: i
     return rows.join(few, key).unionByName(rest.join(facts.where(~hot), key))
 
 
+#: Equal rows that are written out by one task.
+COPIES = 100_000
+
+
+def each_copy(counted: DataFrame, count: str, copy: str) -> DataFrame:
+    """A row for each of `count` equal rows, numbered from 0 in `copy`.
+
+    Where there are very many, their numbers are dealt out first, so no task has them all.
+    """
+    last = F.col(count) - 1
+    few = counted.where(F.col(count) <= COPIES).withColumn(copy, F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    many = counted.where(F.col(count) > COPIES)
+    first, end = fresh_names(counted, "first_copy", "last_copy")
+    many = many.withColumn(first, F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(COPIES).cast("long"))))
+    many = many.withColumn(end, F.least(F.col(first) + (COPIES - 1), last)).repartition(first, *counted.columns)
+    many = many.withColumn(copy, F.explode(F.sequence(F.col(first), F.col(end)))).drop(first, end)
+    return few.unionByName(many).drop(count)
+
+
 def fresh_names(df: DataFrame, *names: str) -> list[str]:
     """Column names like those given that `df` doesn't have, whatever the case."""
     taken = {c.lower() for c in df.columns}

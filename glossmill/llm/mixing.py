@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import count_words, fresh_names, id_key, settle
+from glossmill.llm.common import count_words, each_copy, fresh_names, id_key, settle
 
 MAX_REPEAT = 3
 FAN_IN = 128
@@ -32,7 +32,8 @@ RESERVE = 4
 BROADCAST_SOURCES = 20_000
 WEIGHTS = (1.0, 2.0, 3.0)
 
-_ITEM = "struct<id:long,size:long,base:long,p:double,salt:long>"
+_ITEM = "struct<id:long,size:long,base:long,p:double,salt:long,copy:long>"
+_FIELDS = ("id", "size", "base", "p", "salt", "copy")
 
 
 def _turns(per: DataFrame, turns: int) -> DataFrame:
@@ -78,20 +79,22 @@ def _uniform(*keys: Column) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52))
 
 
+def _item(i: Column, p: Column | None = None) -> Column:
+    """A document with another probability."""
+    return F.struct(*((p if name == "p" and p is not None else i[name]).alias(name) for name in _FIELDS))
+
+
 def _exchange(state: Column, x: Column, seed: int) -> Column:
     """One pivotal step of the open document `state.cur` with `x`: one is decided, one stays open."""
     a = state["cur"]
     have_a, have_x = a["size"] * a["p"], x["size"] * x["p"]
     room_a, room_x = a["size"] * (1 - a["p"]), x["size"] * (1 - x["p"])
     down, up = F.least(have_a, room_x), F.least(room_a, have_x)
-    falls = _uniform(a["id"], a["salt"], x["id"], x["salt"], F.lit(seed)) * (down + up) <= up
-
-    def item(i: Column, p: Column) -> Column:
-        return F.struct(i["id"].alias("id"), i["size"].alias("size"), i["base"].alias("base"), p.alias("p"), i["salt"].alias("salt"))
+    falls = _uniform(a["id"], a["salt"], a["copy"], x["id"], x["salt"], x["copy"], F.lit(seed)) * (down + up) <= up
 
     def step(done: Column, value: float, open_: Column, p: Column) -> Column:
         kept = F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
-        return F.struct(item(open_, kept).alias("cur"), F.concat(state["done"], F.array(item(done, F.lit(value)))).alias("done"))
+        return F.struct(_item(open_, kept).alias("cur"), F.concat(state["done"], F.array(_item(done, F.lit(value)))).alias("done"))
 
     size_a, size_x = a["size"].cast("double"), x["size"].cast("double")
     return (
@@ -119,7 +122,7 @@ def _round_root(items: Column, seed: int) -> Column:
         pool_has = F.least(F.greatest(t["has"] - i["size"] * p, F.lit(0.0)), pool_size)
         down = F.least(i["size"] * p, pool_size - pool_has)
         up = F.least(i["size"] * (1 - p), pool_has)
-        u = _uniform(i["id"], i["salt"], F.lit(seed))
+        u = _uniform(i["id"], i["salt"], i["copy"], F.lit(seed))
         falls = F.when(down + up > 0, u * (down + up) < up).otherwise(u >= p)
         # The share of its room that the pool fills, or of its mass that it gives.
         filled = F.when(down > 0, down / (pool_size - pool_has)).otherwise(F.lit(0.0))
@@ -130,10 +133,7 @@ def _round_root(items: Column, seed: int) -> Column:
             (t["b"] * keep + F.when(falls, filled).otherwise(F.lit(0.0))).alias("b"),
             (pool_has + F.when(falls, down).otherwise(-up)).alias("has"),
             pool_size.alias("size"),
-            F.concat(
-                t["done"],
-                F.array(F.struct(i["id"].alias("id"), i["size"].alias("size"), i["base"].alias("base"), F.when(falls, 0.0).otherwise(1.0).alias("p"), i["salt"].alias("salt"))),
-            ).alias("done"),
+            F.concat(t["done"], F.array(_item(i, F.when(falls, 0.0).otherwise(1.0)))).alias("done"),
         )
 
     return F.aggregate(items, start, step)["done"]
@@ -143,9 +143,9 @@ def _round_blocks(items: DataFrame, seed: int) -> DataFrame:
     """Fold each (source, block): decided documents, and what goes up a level."""
     last = F.col("blocks") == 1
     grouped = items.groupBy("source", "blocks", "block").agg(
-        F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("order"), "salt", "id", "size", "base", "p"))).alias("all")
+        F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("order"), "salt", "id", "copy", "size", "base", "p"))).alias("all")
     )
-    grouped = grouped.withColumn("all", F.transform("all", lambda i: F.struct(i["id"].alias("id"), i["size"].alias("size"), i["base"].alias("base"), i["p"].alias("p"), i["salt"].alias("salt"))))
+    grouped = grouped.withColumn("all", F.transform("all", lambda i: _item(i)))
     folded = F.greatest(F.lit(1), F.size("all") - F.when(last, 0).otherwise(RESERVE))
     start = F.struct(F.element_at("all", 1).alias("cur"), F.array().cast(f"array<{_ITEM}>").alias("done"))
     grouped = grouped.withColumns({"rest": F.slice("all", folded + 1, F.size("all")), "now": F.slice("all", 2, folded - 1)})
@@ -159,29 +159,22 @@ def _round_blocks(items: DataFrame, seed: int) -> DataFrame:
 
 def _blocked(items: DataFrame, rows: Column, seed: int) -> DataFrame:
     blocks = F.ceil(rows / F.lit(float(FAN_IN))).cast("long")
-    return items.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", "salt", F.lit(seed)), F.col("blocks")))
+    return items.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", "salt", "copy", F.lit(seed)), F.col("blocks")))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = 42) -> DataFrame:
-    """Per row: doc_id, size, source_size, target, taken, source, copies, text_hash.
+    """Per row: doc_id, size, source_size, target, taken, source, copies, text_hash, copy.
 
     `copies` is how often the mix repeats the whole document; `taken` is copies * size.
     A text without words (or null) has size 0 and follows the same expected copies on
     its own.  Very long texts are counted whole.  Null sources are a source, sorted last.
-    Rows that share a doc_id or have none are told apart by their text's hash, so reruns
-    agree under any partitioning; rows alike in all of it are rounded one by one.  Extra
-    columns are ignored, whatever their names.  An empty table, or one without any word,
+    Rows that share a doc_id or have none are told apart by their text's hash, and rows
+    alike in source, id and text by a number from 0, `copy`, so reruns agree under any
+    partitioning and no block or task gathers equal rows.  Extra columns are ignored, whatever their names.  An empty table, or one without any word,
     gives target 0 and takes nothing.
     """
-    sized = settle(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            "source",
-            count_words().alias("size"),
-            _text_hash().alias("salt"),
-        ),
-        "words",
-    )
+    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", count_words().alias("size"), _text_hash().alias("salt"))
+    sized = settle(each_copy(each.groupBy(*each.columns).agg(F.count("*").alias("n")), "n", "copy"), "words")
     targets = settle(source_targets(sized, weights, max_repeat), "targets")
     facts = targets.agg(F.count("*").alias("n"), F.max("rows").alias("most")).first()
     small = F.broadcast if facts["n"] <= BROADCAST_SOURCES else (lambda x: x)
@@ -190,7 +183,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repea
     rated = sized.join(known, F.col("source").eqNullSafe(F.col("name"))).withColumn("rate", F.least(rate, F.lit(float(max_repeat))))
     rated = rated.withColumn("base", F.floor("rate")).withColumn("p", F.col("rate") - F.col("base"))
 
-    level_items = rated.where("size > 0").select("source", F.col("doc_id").alias("id"), "size", "base", "p", "salt", "rows")
+    level_items = rated.where("size > 0").select("source", F.col("doc_id").alias("id"), "size", "base", "p", "salt", "copy", "rows")
     level_items = _blocked(level_items, F.col("rows"), seed).drop("rows")
     parts: list[DataFrame] = []
     most = facts["most"] or 0
@@ -205,30 +198,37 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repea
         level_items = _blocked(up.select("source", "d.*", "n"), F.col("n"), seed + level).drop("n")
 
     wordless = rated.where("size = 0").select(
-        "source", F.col("doc_id").alias("id"), "size", "base", F.when(_uniform(F.col("doc_id"), F.col("salt"), F.lit(seed)) < F.col("p"), 1.0).otherwise(0.0).alias("p"), "salt"
+        "source", F.col("doc_id").alias("id"), "size", "base", F.when(_uniform(F.col("doc_id"), F.col("salt"), F.col("copy"), F.lit(seed)) < F.col("p"), 1.0).otherwise(0.0).alias("p"), "salt", "copy"
     )
     every = wordless
     for part in parts:
         every = every.unionByName(part)
     copies = (F.col("base") + F.col("p")).cast("long")
     return every.join(known, F.col("source").eqNullSafe(F.col("name"))).select(
-        F.col("id").alias("doc_id"), "size", "source_size", "target", (copies * F.col("size")).alias("taken"), "source", copies.alias("copies"), F.col("salt").alias("text_hash")
+        F.col("id").alias("doc_id"), "size", "source_size", "target", (copies * F.col("size")).alias("taken"), "source", copies.alias("copies"), F.col("salt").alias("text_hash"), "copy"
     )
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself: every row of `docs` as often as `mix_sources` says, with its columns.
 
-    Rows are matched by doc_id and text hash, and where both repeat by their rank among
-    rows of that id and text, which are interchangeable within a source.  Null ids and
-    texts, ties, empty tables and odd column names are as in `mix_sources`; a very long
-    text moves once.
+    Rows are matched by doc_id, text hash and source, and where all three repeat by their
+    number among such rows, which are interchangeable.  Rows are numbered over their keys
+    alone, within their input partitions and then over these, so equal rows never meet in
+    one task and a text moves once; `docs` must be read alike twice, as tables in files
+    are.  Null ids and texts, ties, empty tables and odd column names are as in
+    `mix_sources`.
     """
     plan = mix_sources(docs, **settings)
-    id_, text, source, n, copies, copy = fresh_names(docs, "id", "text_hash", "source_key", "n", "copies", "copy")
-    rank = F.row_number().over(Window.partitionBy(id_, text).orderBy(F.col(source).asc_nulls_last()))
-    left = docs.withColumns({id_: id_key(), text: _text_hash(), source: F.col("source")}).withColumn(n, rank)
-    right = plan.select(id_key().alias(id_), F.col("text_hash").alias(text), F.col("source").alias(source), F.col("copies").alias(copies))
-    right = right.withColumn(n, rank).select(id_, text, n, copies)
-    repeated = left.join(right, [id_, text, n]).where(F.col(copies) > 0)
-    return repeated.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)
+    row, copies, copy = fresh_names(docs, "row", "copies", "copy")
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    keys = rows.select(row, id_key().alias("k"), _text_hash().alias("t"), F.col("source").alias("s"), F.shiftright(row, 33).alias("part"))
+    within = F.row_number().over(Window.partitionBy("k", "t", "s", "part").orderBy(row)) - 1
+    before = Window.partitionBy("k", "t", "s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    starts = keys.groupBy("k", "t", "s", "part").agg(F.count("*").alias("own"))
+    starts = starts.select(*(F.col(c).alias(f"_{c}") for c in ("k", "t", "s", "part")), F.coalesce(F.sum("own").over(before), F.lit(0)).alias("first"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("k", "t", "s", "part")]
+    numbered = keys.withColumn("at", within).join(starts, same).select(row, "k", "t", "s", (F.col("first") + F.col("at")).alias("c"))
+    taken = plan.where("copies > 0").select(id_key().alias("_k"), F.col("text_hash").alias("_t"), F.col("source").alias("_s"), F.col("copy").alias("_c"), F.col("copies").alias(copies))
+    chosen = numbered.join(taken, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("k", "t", "s", "c")]).select(row, copies)
+    return rows.join(chosen, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)

@@ -18,7 +18,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import scratch_path, settle
+from glossmill.llm.common import each_copy, scratch_path, settle
 
 SLOTS = 4096
 #: A slot's rows are numbered in parts of about this many, or more where that makes more than PARTS parts in all.
@@ -114,27 +114,25 @@ def next_map(spark: SparkSession, path: str | None, slot_bytes: dict[int, int],
 
 
 def slotted(docs: DataFrame, shards: int, slots: int) -> DataFrame:
-    """(doc_id, size, text_crc32, virtual_slot), written once as a compact table."""
+    """(doc_id, size, text_crc32, copy, virtual_slot); rows alike in all are counted, written as a compact table, and numbered."""
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = settle(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            (F.octet_length(data) + F.lit(1)).cast("long").alias("size"),
-            F.crc32(data).alias("text_crc32"),
-            F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("content"),
-        ),
-        "sizes",
+    each = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        (F.octet_length(data) + F.lit(1)).cast("long").alias("size"),
+        F.crc32(data).alias("text_crc32"),
+        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("content"),
     )
-    total = F.sum("size").alias("total")
-    fair = (rows.agg(total).first()["total"] or 0) / shards
+    rows = settle(each.groupBy(*each.columns).agg(F.count("*").alias("n")), "sizes")
+    bytes_ = F.col("size") * F.col("n")
+    fair = (rows.agg(F.sum(bytes_).alias("total")).first()["total"] or 0) / shards
     # Fewer than `shards` groups can each outweigh a fair share, so this is at most a handful of rows.
-    heavy = rows.groupBy("content").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > F.lit(float(fair)))
+    heavy = rows.groupBy("content").agg(F.sum(bytes_).alias("bytes")).where(F.col("bytes") > F.lit(float(fair)))
     heavy_ids = [r["content"] for r in heavy.select("content").limit(shards).collect()] if fair else []
     home = F.pmod(F.col("content"), F.lit(slots))
     if heavy_ids:
-        spread = F.pmod(F.xxhash64("content", "doc_id"), F.lit(slots))
+        spread = F.pmod(F.xxhash64("content", "doc_id", "copy"), F.lit(slots))
         home = F.when(F.col("content").isin(heavy_ids), spread).otherwise(home)
-    return rows.select("doc_id", "size", "text_crc32", home.cast("int").alias("virtual_slot"))
+    return each_copy(rows, "n", "copy").select("doc_id", "size", "text_crc32", "copy", home.cast("int").alias("virtual_slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
@@ -143,8 +141,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, map_p
     The law is `bytes`: the shards' summed sizes are near equal.  Size is the text's
     UTF-8 bytes plus 1 (null: 1).  `slot` numbers the rows of a shard from 0 without
     gaps, by virtual slot, then a part of it, then doc_id.  Equal texts share a shard
-    unless together they exceed a fair share.  Repeated rows and ties are placed one by
-    one, a null doc_id sorts first, very long texts count whole, other columns are
+    unless together they exceed a fair share.  Rows alike in id and text are numbered and
+    placed one by one, ties too, a null doc_id sorts first, very long texts count whole, other columns are
     ignored, whatever their names, and an empty table gives an empty result and an empty
     map.
 
@@ -163,12 +161,12 @@ def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, map_p
     if many:
         n_parts = F.coalesce(F.from_json(F.lit(json.dumps({str(k): v for k, v in many.items()})), "map<string,int>")[F.col("virtual_slot").cast("string")], F.lit(1))
     placed = rows.join(F.broadcast(stored.select("virtual_slot", "shard")), "virtual_slot")  # `slots` rows of two ints
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("doc_id", "size"), n_parts).cast("int") if many else F.lit(0))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("doc_id", "size", "copy"), n_parts).cast("int") if many else F.lit(0))
     # One row per part of a slot: at most PARTS + slots, however many documents there are.
     offsets = placed.groupBy("shard", "virtual_slot", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("virtual_slot", "part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = offsets.select("virtual_slot", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    within = Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "size", "text_crc32")
+    within = Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "size", "text_crc32", "copy")
     numbered = placed.withColumn("at", F.row_number().over(within) - 1)
     return numbered.join(offsets, ["virtual_slot", "part"]).select(
         "doc_id",
