@@ -14,6 +14,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossmill.functions.noise import add_synthetic_noise
 from glossmill.functions.scoring import DATA_SOURCE_PREFIX, format_gate, language_of, register, weights, with_score
 from glossmill.functions.text import chrf, edit_distance, edit_distance_similarity, normalize_text, strip, with_gleu, word_ngrams, words
 from glossmill.functions.tokens import fits, masked_labels, truncate
@@ -421,12 +422,25 @@ def _cut(x: str, first: str, last: str) -> str:
 
 
 _UPPER = "(CASE WHEN own = 'ß' THEN 'SS' ELSE upper(own) END)"
-#: Synthetic errors step by step: rows (id, step, n, t) for characters and (id, step, n, w) for words.
-_NOISE = rf"""
-chosen AS ({_first("samples", 0.15, "noise", "id, doc_id, lang, source, target")}),
-coins AS (SELECT id, target, {_draw(1, 1, "0")} < 8 AS by_characters, [x FOR x IN string_split_regex(target, '\s+') IF x <> ''] AS w FROM chosen),
+
+
+#: The place a step takes, and what it is found by: all the places it might take or, for long texts, the parts between them.
+_BY_PLACES = (
+    "CASE WHEN len(places) > 0 THEN places[at_random % len(places) + 1] END",
+    r"CASE kind WHEN 0 THEN [] ELSE [i FOR i IN range(1, size + 1) IF CASE kind WHEN 1 THEN substr(t, i, 1) = ' ' WHEN 2 THEN regexp_full_match(substr(t, i, 1), '\p{L}') ELSE contains('.,;:!?', substr(t, i, 1)) END] END AS places",
+)
+_MASKS = " ".join(f"WHEN {k} THEN regexp_replace(regexp_replace(t, '[^{c}]', '0', 'g'), '[{c}]', '1', 'g')" for k, c in ((1, " "), (2, r"\p{L}"), (3, ".,;:!?")))
+_BY_PARTS = (
+    "CASE WHEN len(parts) > 1 THEN length(array_to_string(parts[1:at_random % (len(parts) - 1) + 1], '1')) + 1 END",
+    f"CASE kind WHEN 0 THEN [] ELSE string_split(CASE kind {_MASKS} END, '1') END AS parts",
+)
+
+
+def _spelled(rows: str, rate: float, found: tuple[str, str] = _BY_PLACES) -> str:
+    """Synthetic errors in characters, step by step: rows (id, step, n, t) from those (id, target) of a table."""
+    return rf"""
 spelled AS (
-  SELECT id, 0 AS step, greatest(1, floor(length(target)::DOUBLE * 0.05::DOUBLE))::INT AS n, target AS t FROM coins WHERE by_characters
+  SELECT id, 0 AS step, greatest(1, floor(length(target)::DOUBLE * {rate}::DOUBLE))::INT AS n, target AS t FROM {rows}
   UNION ALL
   SELECT id, step + 1, n, CASE
       WHEN size < 3 THEN t
@@ -434,10 +448,15 @@ spelled AS (
       WHEN place IS NULL THEN t
       ELSE {_cut("t", "1", "place - 1")} || (CASE WHEN kind <> 2 THEN '' WHEN own = {_UPPER} THEN lower(own) ELSE {_UPPER} END) || {_cut("t", "place + 1", "size")} END
   FROM (SELECT *, substr(t, place, 1) AS own FROM (
-    SELECT *, CASE WHEN len(places) > 0 THEN places[at_random % len(places) + 1] END AS place, at_random % greatest(size - 1, 1) + 1 AS pair FROM (
-      SELECT *, CASE kind WHEN 0 THEN [] ELSE [i FOR i IN range(1, size + 1)
-          IF CASE kind WHEN 1 THEN substr(t, i, 1) = ' ' WHEN 2 THEN regexp_full_match(substr(t, i, 1), '\p{{L}}') ELSE contains('.,;:!?', substr(t, i, 1)) END] END AS places FROM (
-        SELECT *, length(t) AS size, {_draw(1, 7)} % 4 AS kind, {_draw(8, 13)} AS at_random FROM spelled WHERE step < n))))),
+    SELECT *, {found[0]} AS place, at_random % greatest(size - 1, 1) + 1 AS pair FROM (
+      SELECT *, {found[1]} FROM (
+        SELECT *, length(t) AS size, {_draw(1, 7)} % 4 AS kind, {_draw(8, 13)} AS at_random FROM spelled WHERE step < n)))))"""
+
+
+_NOISE = rf"""
+chosen AS ({_first("samples", 0.15, "noise", "id, doc_id, lang, source, target")}),
+coins AS (SELECT id, target, {_draw(1, 1, "0")} < 8 AS by_characters, [x FOR x IN string_split_regex(target, '\s+') IF x <> ''] AS w FROM chosen),
+{_spelled("coins WHERE by_characters", 0.05)},
 worded AS (
   SELECT id, 0 AS step, greatest(1, floor(len(w)::DOUBLE * 0.05::DOUBLE))::INT AS n, w FROM coins WHERE NOT by_characters AND len(w) > 1
   UNION ALL
@@ -461,6 +480,14 @@ def noise_augmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.noisy_samples(full_samples(spark, sf_dir), 0.15).select("id", "lang", "source", "target", F.md5("prompt").alias("prompt_md5"))
 
 
+@_query(f"WITH RECURSIVE whole AS (SELECT doc_id::VARCHAR AS id, text AS target FROM documents), {_spelled('whole', 0.002, _BY_PARTS)} SELECT id, md5(t) AS noised_md5, length(t)::BIGINT AS n_chars FROM spelled WHERE step = n")
+def document_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F14 and F16 over whole documents."""
+    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), "text")
+    noised = docs.select("id", add_synthetic_noise("text", F.concat("id", F.lit("|42")), 0.002).alias("t"))
+    return noised.select("id", F.md5("t").alias("noised_md5"), F.length("t").cast("long").alias("n_chars"))
+
+
 @_query(
     f"""{_CTE}, {_IDENTITY}, {_stats_sql("samples", "b")},
 changed AS (SELECT id, lang, ns, nt FROM samples UNION ALL SELECT id || '_id', lang, nt, nt FROM identity), {_stats_sql("changed", "a")}
@@ -777,12 +804,12 @@ _TREE_SETTINGS = "max_source_len: 1500\nmax_target_len: 1250\n"
 def write_corpora(spark: SparkSession, sf_dir: str, folder: str) -> None:
     """A tree of corpora as their authors leave them: a folder each with metadata and essay files.
 
-    Documents of a source and language are some corpora.  Learners' texts lack punctuation;
-    every third essay has a second reference.  Files have leading text, stale essays that
-    later ones replace, headings inside essays, and in French two-character line ends.
+    Documents of a language are some corpora.  Learners' texts lack punctuation; every third
+    essay has a second reference.  Files have leading text, stale essays that later ones
+    replace, headings inside essays, and in French two-character line ends.
     """
     remark = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("\n### remark "), "lang", F.lit("\n###"))).otherwise(F.lit(""))
-    docs = documents(spark, sf_dir).withColumns({"dir": F.concat_ws("-", "corpus", "lang", F.floor(F.col("doc_id") / CORPUS_DOCS).cast("string")), "split": split_by_id(), "remark": remark})
+    docs = documents(spark, sf_dir).withColumns({"dir": F.concat_ws("-", F.lit("learners"), "lang", F.floor(F.col("doc_id") / CORPUS_DOCS).cast("string")), "split": split_by_id(), "remark": remark})
     header = F.concat(F.lit("### essay_id = "), F.col("doc_id").cast("string"), F.lit("\n"))
     stale = F.when(F.col("doc_id") % 4 == 0, F.concat(header, F.lit("stale\n"))).otherwise(F.lit(""))
     kinds = {"orig": F.regexp_replace("text", PUNCTUATION, ""), "ref1": F.col("text"), "ref2": F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("text", r"\.", " ."))}
@@ -823,7 +850,7 @@ def _small_splits(spark: SparkSession, size: int = 64 << 10) -> Iterator[None]:
 
 _TREE = rf"""
 WITH tree AS (
-  SELECT doc_id, lang, source || '-' || lang || '-' || (doc_id // {CORPUS_DOCS})::VARCHAR AS corpus, CASE doc_id % 10 WHEN 0 THEN 'dev' WHEN 1 THEN 'test' ELSE 'train' END AS split,
+  SELECT doc_id, lang, 'learners-' || lang || '-' || (doc_id // {CORPUS_DOCS})::VARCHAR AS corpus, CASE doc_id % 10 WHEN 0 THEN 'dev' WHEN 1 THEN 'test' ELSE 'train' END AS split,
          regexp_replace(text, '[.,;:!?]', '', 'g') || remark AS o, text || remark AS r1, CASE WHEN doc_id % 3 = 0 THEN replace(text, '.', ' .') || remark END AS r2
   FROM (SELECT *, CASE WHEN doc_id % 5 = 0 THEN chr(10) || '### remark ' || lang || chr(10) || '###' ELSE '' END AS remark FROM documents)),
 sides AS (SELECT doc_id, lang, corpus, split, o, 'ref1' AS ref, r1 AS r FROM tree UNION ALL SELECT doc_id, lang, corpus, split, o, 'ref2', r2 FROM tree WHERE r2 IS NOT NULL),

@@ -179,6 +179,9 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataF
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+BROADCAST_SPLITS = 50_000
+
+
 def read_jsonl_placed(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """`read_jsonl` with `place`, by which a row stands before another: file, input split, and number in it.
 
@@ -203,7 +206,9 @@ def read_jsonl_head(spark: SparkSession, path: str, schema: str, max_samples: in
     splits = lines.groupBy("path", "block").agg(F.min("n").alias("first"), F.count("*").alias("lines"))
     before = Window.orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select("path", "block", (F.coalesce(F.sum("lines").over(before), F.lit(0)) - F.col("first")).alias("shift"), "first")
-    wanted = splits.where(F.col("shift") + F.col("first") < max_samples).drop("first")
+    wanted = settle(splits.where(F.col("shift") + F.col("first") < max_samples).drop("first"), "splits")
+    # Some 100 bytes a split; beyond that many they are joined by shuffle.
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_SPLITS else wanted
     kept = lines.join(wanted, ["path", "block"]).where((F.col("n") + F.col("shift") < max_samples) & (strip("value") != ""))
     return kept.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("s")).select("s.*")
 
