@@ -236,25 +236,25 @@ def train(texts: list[bytes], good: np.ndarray, sizes: np.ndarray | None = None,
     return QualityNet(net, best_cut(np.concatenate(logits), good[own]))
 
 
-def learned_part() -> Column:
-    """A text whole if it is short, else its slices, evenly spread from the first character to the last."""
-    most = LEARN_SLICES * LEARN_WIDTH
-    at = lambda i: F.floor((F.length("text") - F.lit(LEARN_WIDTH)) * i / (LEARN_SLICES - 1)).cast("int") + 1
-    slices = F.concat(*(F.substring(F.col("text"), at(F.lit(i)), F.lit(LEARN_WIDTH)) for i in range(LEARN_SLICES)))
+def learned_part(slices: int = LEARN_SLICES, width: int = LEARN_WIDTH) -> Column:
+    """A text whole if it is short, else its slices, evenly spread from the first character to the last, a line each."""
+    at = lambda i: F.floor((F.length("text") - F.lit(width)) * i / max(1, slices - 1)).cast("int") + 1
+    spread = F.concat_ws("\n", *(F.substring(F.col("text"), at(F.lit(i)), F.lit(width)) for i in range(slices)))
     text = F.coalesce("text", F.lit(""))
-    return F.when(F.length(text) <= most, text).otherwise(slices)
+    return F.when(F.length(text) <= slices * width, text).otherwise(spread)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> QualityNet:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, learn_slices: int = LEARN_SLICES, learn_width: int = LEARN_WIDTH) -> QualityNet:
     """Train on at most `sample_rows` labelled rows outside the held-out part, however long their texts.
 
-    Only the text is an input; what of it is learned from, `learned_part`, bounds the
-    driver's memory.  Labels that are null or of unknown documents are left out.
+    Only the text is an input; what of it is learned from, at most `learn_slices` slices of
+    `learn_width` characters, bounds the driver's memory.  Labels that are null or of
+    unknown documents are left out.
     """
     single_thread()
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "quality")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows)  # two numbers a row
-    parts = docs.select("doc_id", learned_part().alias("part"), F.octet_length(F.coalesce("text", F.lit(""))).alias("size"))
+    parts = docs.select("doc_id", learned_part(learn_slices, learn_width).alias("part"), F.octet_length(F.coalesce("text", F.lit(""))).alias("size"))
     found = parts.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "size", "part", "quality").limit(sample_rows)
     rows = found.select("part", "size", "quality").collect()
     return train([r["part"].encode() for r in rows], np.asarray([r["quality"] == 1 for r in rows], bool), np.asarray([r["size"] for r in rows], np.int64))

@@ -57,8 +57,8 @@ UNSEEN = 0.5
 MARGIN = math.log(100)
 #: Share of labelled values that may score below the threshold, and of ordinary runs above it, where the two don't part.
 LOST, TAKEN = 0.02, 1e-4
-#: Scores are counted in bins of this width, up to this score on either side.
-BIN, WIDEST = 0.25, 400.0
+#: Scores are counted in bins of this width, up to this score on either side, and beyond in so many for each doubling.
+BIN, WIDEST, DOUBLING = 0.25, 400.0, 64
 
 Span = tuple[int, int, str, str]  # start, end, kind, value
 
@@ -136,9 +136,9 @@ class Automaton:
     depth: np.ndarray
 
     @classmethod
-    def infer(cls, values: Iterable[str], alpha: float = ALPHA) -> Automaton:
+    def infer(cls, values: Iterable[str], alpha: float = ALPHA, chars: int = SAMPLE_CHARS) -> Automaton:
         """Merge a prefix tree's compatible states of equal depth, the commonest first."""
-        tree = _PrefixTree(values)
+        tree = _PrefixTree(values, chars)
         bound = math.sqrt(0.5 * math.log(2 / alpha))
         layers, layer = [[0]], [0]
         while layer:
@@ -188,16 +188,16 @@ class Automaton:
 
 
 class _PrefixTree:
-    """Counts of symbols and ends by prefix; a value longer than `SAMPLE_CHARS` ends nowhere."""
+    """Counts of symbols and ends by prefix; a value longer than `chars` ends nowhere."""
 
-    def __init__(self, values: Iterable[str]):
+    def __init__(self, values: Iterable[str], chars: int = SAMPLE_CHARS):
         self.counts: list[dict[int, float]] = [{}]
         self.follow: list[dict[int, int]] = [{}]
         self.ends, self.total, self.first = [0.0], [0.0], [()]
         for value in values:
             at = 0
             self.total[0] += 1
-            for c in _CODE[np.frombuffer(value[:SAMPLE_CHARS].encode(), np.uint8)].tolist():
+            for c in _CODE[np.frombuffer(value[:chars].encode(), np.uint8)].tolist():
                 self.counts[at][c] = self.counts[at].get(c, 0) + 1
                 if c not in self.follow[at]:
                     self.follow[at][c] = len(self.total)
@@ -206,7 +206,7 @@ class _PrefixTree:
                         store.append(new)
                 at = self.follow[at][c]
                 self.total[at] += 1
-            self.ends[at] += len(value) <= SAMPLE_CHARS
+            self.ends[at] += len(value) <= chars
 
     def agree(self, x: int, y: int, bound: float) -> bool:
         """Frequencies and ends of states x and y, and of all states they share a path to, differ within the bound."""
@@ -314,7 +314,7 @@ def fold_of_value(value: str) -> int:
     return hashlib.blake2b(value.encode(), digest_size=2).digest()[0] % FOLDS
 
 
-def learn(values: dict[str, list[str]], steps: dict[tuple[int, int], int]) -> tuple[FormatModel, np.ndarray]:
+def learn(values: dict[str, list[str]], steps: dict[tuple[int, int], int], chars: int = SAMPLE_CHARS) -> tuple[FormatModel, np.ndarray]:
     """The model without its threshold, and the scores of all values by automata that hadn't seen them.
 
     Values are parted into `FOLDS` by hash; those of a part are scored by automata of the
@@ -326,9 +326,9 @@ def learn(values: dict[str, list[str]], steps: dict[tuple[int, int], int]) -> tu
     unseen = []
     for part in range(FOLDS):
         others = {k: [x for x in v if fold_of_value(x) != part] for k, v in known.items()}
-        model = FormatModel({k: Automaton.infer(v) for k, v in others.items() if v}, chain)
+        model = FormatModel({k: Automaton.infer(v, chars=chars) for k, v in others.items() if v}, chain)
         unseen.append(model.scores(sorted({x for v in known.values() for x in v if fold_of_value(x) == part})))
-    return FormatModel({k: Automaton.infer(v) for k, v in known.items()}, chain), np.concatenate(unseen)
+    return FormatModel({k: Automaton.infer(v, chars=chars) for k, v in known.items()}, chain), np.concatenate(unseen)
 
 
 def calibrate(unseen: np.ndarray, ordinary: dict[int, int]) -> float:
@@ -341,17 +341,28 @@ def calibrate(unseen: np.ndarray, ordinary: dict[int, int]) -> float:
     """
     unseen = unseen[np.isfinite(unseen)]
     low = float(np.quantile(unseen, LOST, method="lower")) if len(unseen) else math.inf
-    total, above, high = sum(ordinary.values()), 0, -WIDEST
+    total, above, high = sum(ordinary.values()), 0, -math.inf
     for b, n in sorted(ordinary.items(), reverse=True):
         above += n
         if above > total * TAKEN:
-            high = (b + 1) * BIN
+            high = _edge(b)
             break
     return max(MARGIN, (low + min(high, low)) / 2 if len(unseen) else high)
 
 
 def _bins(scores: np.ndarray) -> np.ndarray:
-    return np.floor(np.clip(scores, -WIDEST, WIDEST) / BIN).astype(np.int64)
+    """Numbers of the scores' bins: `BIN` wide up to `WIDEST`, and beyond that `DOUBLING` for each doubling, without end."""
+    far = np.abs(np.nan_to_num(scores, neginf=-1e300, posinf=1e300))
+    beyond = int(WIDEST / BIN) + np.floor(DOUBLING * np.log2(np.maximum(far, WIDEST) / WIDEST))
+    return np.where(far < WIDEST, np.floor(np.where(far < WIDEST, scores, 0.0) / BIN), np.where(scores > 0, beyond, -1 - beyond)).astype(np.int64)
+
+
+def _edge(b: int) -> float:
+    """The upper end of a bin."""
+    last = int(WIDEST / BIN)
+    if -last <= b < last:
+        return (b + 1) * BIN
+    return WIDEST * 2 ** ((b - last + 1) / DOUBLING) if b > 0 else -WIDEST * 2 ** ((-1 - b - last) / DOUBLING)
 
 
 def _outside_base(batch: pa.RecordBatch) -> Iterator[tuple[list[Span], str]]:
@@ -370,11 +381,11 @@ def _run_counts(texts: list[str]) -> dict[str, int]:
     return found
 
 
-def fit(docs: DataFrame, sample_values: int = SAMPLE_VALUES) -> FormatModel:
+def fit(docs: DataFrame, sample_values: int = SAMPLE_VALUES, sample_chars: int = SAMPLE_CHARS) -> FormatModel:
     """Learn formats from a bounded sample of labelled values, and the rest from all runs of all documents.
 
     Two passes over the texts: the first gathers the labelled values (of each at most
-    `SAMPLE_CHARS` characters and whether it goes on) and counts the steps of every
+    `sample_chars` characters and whether it goes on) and counts the steps of every
     ordinary run, the second counts the scores of every ordinary run.  Without labelled
     values no format is known and nothing is added.
     """
@@ -384,7 +395,7 @@ def fit(docs: DataFrame, sample_values: int = SAMPLE_VALUES) -> FormatModel:
         for batch in batches:
             labelled: set[tuple[str, str]] = set()
             texts = list(_outside_base(batch))
-            labelled.update((s[2], s[3][: SAMPLE_CHARS + 1]) for base, _ in texts for s in base)
+            labelled.update((s[2], s[3][: sample_chars + 1]) for base, _ in texts for s in base)
             _count_steps(_run_counts([rest for _, rest in texts]), steps)
             if labelled:
                 kinds, values = zip(*sorted(labelled), strict=True)
@@ -394,10 +405,10 @@ def fit(docs: DataFrame, sample_values: int = SAMPLE_VALUES) -> FormatModel:
         yield pa.record_batch([pa.array([""] * len(names), pa.string()), pa.array(names, pa.string()), pa.array(steps[before, after], pa.int64())], names=["kind", "value", "n"])
 
     seen = settle(docs.select("text").mapInArrow(gather, "kind string, value string, n long").groupBy("kind", "value").agg(F.sum("n").alias("n")), "credentials")
-    # At most `sample_values` strings of SAMPLE_CHARS + 1 characters a kind, and one row for each pair of symbols.
+    # At most `sample_values` strings of `sample_chars` + 1 characters a kind, and one row for each pair of symbols.
     values = {k: [r["value"] for r in seen.where(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(sample_values).collect()] for k in KINDS[:3]}
     steps = {tuple(map(int, r["value"].split())): r["n"] for r in seen.where("kind = ''").collect()}
-    model, unseen = learn(values, steps)
+    model, unseen = learn(values, steps, sample_chars)
     if not model.formats:
         return model
 

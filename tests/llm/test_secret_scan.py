@@ -171,3 +171,47 @@ def test_nothing_to_learn(make_docs):
 def test_order_of_kinds(kind):
     text = "token=" + HEX * 2
     assert [s[2] for s in base_spans(text)] == ["assign", "hex"] and kind in secret_scan.KINDS
+
+
+def test_bins_of_scores_have_no_end():
+    scores = np.array([-np.inf, -1e9, -1000.0, -400.0, -399.9, -0.1, 0.0, 0.1, 399.9, 400.0, 500.0, 1e6, 1e12])
+    bins = secret_scan._bins(scores)
+    assert (np.diff(bins) >= 0).all() and len(set(bins[[1, 2, 4]])) == 3 and len(set(bins[-4:])) == 4
+    finite = scores[1:]
+    edges = np.array([secret_scan._edge(int(b)) for b in bins[1:]])
+    assert (edges >= finite - 1e-6 * np.abs(finite)).all() and (edges <= finite + np.maximum(0.25, 0.02 * np.abs(finite)) + 1e-9).all()
+    # Ordinary runs that score beyond the linear bins still set the threshold above themselves.
+    assert calibrate(np.array([5000.0] * 50), Counter(secret_scan._bins(np.array([900.0] * 1000)).tolist())) > 900
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the test tables")
+def test_the_query_finds_planted_bare_secrets(spark, tmp_path):
+    """Values labelled in some documents teach their format; unseen ones stand bare in others, and are found by the query itself."""
+    import random
+
+    from glossmill.llm import queries
+
+    rng = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    made = lambda: "skv_" + "".join(rng.choices(letters, k=28))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()
+    rows, bare = [], {}
+    for i, d in enumerate(docs):
+        text = d["text"]
+        if i % 6 == 0:
+            text += f"\ntoken = {made()}\n"
+        elif i % 40 == 1:  # fewer than TAKEN of the runs
+            bare[d["doc_id"]] = made()
+            text = f"{text[:500]} {bare[d['doc_id']]} {text[500:]}"
+        rows.append((d["doc_id"], text, d["lang"], d["source"], len(text)))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    texts = {r[0]: r[1] for r in rows}
+    hits = wrong = 0
+    for r in queries.op3_secret_scan(spark, str(tmp_path)).collect():
+        spans = [s.split(":") for s in r["spans"].split(",") if s]
+        own = bare.get(r["doc_id"])
+        start = texts[r["doc_id"]].index(own) if own else -1
+        hit = [s for s in spans if own and int(s[1]) <= start and int(s[2]) >= start + len(own)]
+        hits += bool(hit)
+        wrong += len(spans) - len(hit) - r["n_assign"] - r["n_access"] - r["n_hex"]
+    assert len(bare) == 25 and hits >= 0.95 * len(bare) and wrong == 0
