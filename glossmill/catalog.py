@@ -27,6 +27,7 @@ from glossmill.schemas import LANGUAGES, SAMPLE, SPLITS
 from glossmill.sources import files
 from glossmill.sources.files import classify_files, parse_essays
 from glossmill.sources.scratch import scratch_path
+from glossmill.streaming import normalizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -361,6 +362,31 @@ def running_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("id", "lang", "seq", F.round("normalized", 4).alias("normalized"))
 
 
+_LATER = "doc_id * 2 > (SELECT max(doc_id) FROM documents)"
+_STREAMED = _SCORES.replace(_SHIFT, f"(0.25 / (1 + exp(-8.0::DOUBLE * ((CASE WHEN {_LATER} THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END) - 0.5::DOUBLE))))")
+
+
+@_query(
+    f"""{_ALL_CTE}, {_OUTPUTS}, {_STREAMED}, open AS (SELECT lang, doc_id * 1000000 + line_no AS seq, score FROM scores WHERE passed AND no <> nt),
+runs AS (SELECT *, count(*) OVER w AS n, avg(score) OVER w AS mean, stddev_pop(score) OVER w AS sd FROM open WINDOW w AS (PARTITION BY lang ORDER BY seq ROWS UNBOUNDED PRECEDING))
+SELECT lang, seq, round(score, 6) AS score, round(CASE WHEN n < 30 THEN score ELSE (score - mean) / greatest(sd, 1e-6) END, 4) AS normalized FROM runs"""
+)
+def streamed_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S12, S13, F11 and W1 as streams: generations scored at the progress of the moment and normalised, both queries restarted once from their checkpoints."""
+    path = scratch_path(spark, "streams")
+    seq = F.col("doc_id") * 1_000_000 + F.col("line_no")
+    outputs = _outputs(all_lines(spark, sf_dir)).select("doc_id", "lang", seq.alias("seq"), "output", "target", "source")
+    half = documents(spark, sf_dir).agg(F.max("doc_id") / 2).first()[0] or 0
+    incoming = spark.readStream.schema("lang string, seq long, output string, target string, source string")
+    for step, some in ((0, F.col("doc_id") <= half), (60, F.col("doc_id") > half)):
+        outputs.where(some).drop("doc_id").write.mode("append").parquet(f"{path}/outputs")
+        files.write_progress(f"{path}/progress.json", step, 100, spark)
+        normalizer.score_stream(incoming.parquet(f"{path}/outputs"), f"{path}/progress.json", f"{path}/scores", f"{path}/scoring").awaitTermination()
+        normalizer.normalize_files(spark, f"{path}/scores", f"{path}/normalized", f"{path}/normalizing").awaitTermination()
+    found = spark.read.schema(f"{normalizer.SCORES}, normalized double").parquet(f"{path}/normalized")
+    return found.select("lang", "seq", F.round("score", 6).alias("score"), F.round("normalized", 4).alias("normalized"))
+
+
 @_query("SELECT DISTINCT lang || '_' || source AS data_source, lang || '_' || source AS lang FROM documents UNION SELECT DISTINCT '" + DATA_SOURCE_PREFIX + "' || lang, lang FROM documents")
 def data_source_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P12 over prefixed and other names."""

@@ -11,6 +11,8 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -249,22 +251,38 @@ def write_report(report: dict, path: str, spark: SparkSession | None = None) ->
         f.write(text)
 
 
-def read_progress(path: str, last: float = 0.0) -> float:
-    """Share of training done, between 0 and 1; what cannot be read keeps the last value."""
+def read_progress(path: str, last: float = 0.0, spark: SparkSession | None = None) -> float:
+    """Share of training done, between 0 and 1; what cannot be read keeps the last value.
+
+    The file is the driver's own or, with a session, in any store that Spark reads.
+    """
     try:
-        with open(path, encoding="utf-8") as f:
-            state = json.load(f)
+        if spark:
+            state = json.loads(spark.read.text(path, wholetext=True).first()["value"])
+        else:
+            with open(path, encoding="utf-8") as f:
+                state = json.load(f)
         return min(1.0, max(0.0, state["step"] / max(state["total_steps"], 1)))
-    except (OSError, ValueError, KeyError, TypeError):
+    except (OSError, ValueError, KeyError, TypeError, PySparkException, Py4JError):
         return last
 
 
-def write_progress(path: str, step: int, total_steps: int) -> None:
-    """Replace the progress file in one step."""
+def write_progress(path: str, step: int, total_steps: int, spark: SparkSession | None = None) -> None:
+    """Replace the progress file in one step, on the driver or, with a session, in any store that Spark writes."""
+    text = json.dumps({"step": step, "total_steps": total_steps})
+    if spark:
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        unfinished = f"{path}.{uuid.uuid4().hex[:12]}"
+        write_small(spark, unfinished, text)
+        files = hadoop.FileContext.getFileContext(hadoop.Path(path).toUri(), spark._jsc.hadoopConfiguration())
+        replace = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        replace[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        files.rename(hadoop.Path(unfinished), hadoop.Path(path), replace)
+        return
     folder = os.path.dirname(os.path.abspath(path))
     handle, unfinished = tempfile.mkstemp(dir=folder)
     with os.fdopen(handle, "w", encoding="utf-8") as f:
-        json.dump({"step": step, "total_steps": total_steps}, f)
+        f.write(text)
     os.replace(unfinished, path)
 
 

@@ -6,11 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from glossmill.__main__ import main
-from glossmill.functions.scoring import DATA_SOURCE_PREFIX
+from glossmill.functions.scoring import DATA_SOURCE_PREFIX, score_value
+from glossmill.operators.evaluate import running_normalization
 from glossmill.plans import pipelines
 from glossmill.schemas import SAMPLE
 from glossmill.sources import files
-from glossmill.streaming.normalizer import normalize_stream
+from glossmill.streaming.normalizer import SCORES, keyed_state, normalize_files, normalize_stream, score_stream
 
 ORIG = "# intro\ndropped\n### essay_id = e1\nI is happy.\n\nShe are sad.\n###  essay_id=e2 \nold body\n### essay_id = e2\nNew body here.\n### essay_id = e3\n\n"
 REF1 = "### essay_id = e1\r\nI am happy.\r\nShe is sad.\r\nExtra line.\r\n### essay_id = e2\r\nNew body there.\r\n"
@@ -267,9 +268,47 @@ def test_stream_normalizer_matches_batch(spark, tmp_path):
     for at in (0, 40):
         spark.createDataFrame(rows[at : at + 40], "lang string, seq long, score double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.readStream.schema("lang string, seq long, score double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    run = normalize_stream(source).writeStream.format("memory").queryName("normalized").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    with keyed_state(spark):
+        run = normalize_stream(source).writeStream.format("memory").queryName("normalized").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     run.awaitTermination(120)
     got = {r["seq"]: r["normalized"] for r in spark.table("normalized").collect()}
     assert len(got) == 80
     batch = {r["seq"]: r["normalized"] for r in running_normalization(spark.createDataFrame(rows, "lang string, seq long, score double")).collect()}
     assert all(got[k] == pytest.approx(batch[k], abs=1e-6) for k in batch)
+
+
+def test_streams_go_on_from_their_checkpoints(spark, tmp_path):
+    """Progress is read anew for every batch, state outlives a restart, and a batch without open generations is no harm."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdef", k=5))
+    path = lambda name: str(tmp_path / name)
+    schema = "lang string, seq long, output string, target string, source string"
+    rows = []
+    for i in range(120):
+        target = " ".join(word() for _ in range(6))
+        rows.append((("en", None, "de")[i % 3], i, target if i % 10 == 0 else target.replace("a", "b", 1) + "x", target, target[::-1]))
+    wanted = []
+    for progress, some in ((0.0, rows[:50]), (0.75, rows[50:110]), (0.75, []), (0.75, [(rows[110][0], 110, "", "t", "s")])):
+        if some:
+            spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(path("in"))
+        if some and some[0][1] < 100:
+            files.write_progress(path("progress.json"), int(progress * 4), 4, spark)
+        elif not some:
+            (tmp_path / "progress.json").write_text("no json")  # the last value that could be read holds
+        score_stream(spark.readStream.schema(schema).parquet(path("in")), path("progress.json"), path("scores"), path("ck1")).awaitTermination()
+        normalize_files(spark, path("scores"), path("out"), path("ck2"), warmup=5).awaitTermination()
+        wanted += [(lang, seq, score_value(p, r, s, progress)) for lang, seq, p, r, s in some if p and p != r]
+    got = spark.read.schema(f"{SCORES}, normalized double").parquet(path("out")).collect()
+    scores = {(r["lang"], r["seq"]): r["score"] for r in got}
+    assert len(got) == len(wanted) and all(scores[lang, seq] == pytest.approx(score) for lang, seq, score in wanted)
+    plain = running_normalization(spark.createDataFrame(wanted, SCORES), warmup=5).collect()
+    assert {(r["lang"], r["seq"]): pytest.approx(r["normalized"], abs=1e-9) for r in plain} == {(r["lang"], r["seq"]): r["normalized"] for r in got}
+
+
+def test_progress_in_a_store(spark, tmp_path):
+    path = f"file://{tmp_path}/p.json"
+    assert files.read_progress(path, 0.25, spark) == 0.25
+    for step in (1, 3):
+        files.write_progress(path, step, 4, spark)
+        assert files.read_progress(path, 0.0, spark) == step / 4 == files.read_progress(str(tmp_path / "p.json"))
+    assert [x.name for x in tmp_path.iterdir() if not x.name.startswith(".")] == ["p.json"]
