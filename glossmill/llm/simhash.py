@@ -30,6 +30,8 @@ RADIUS = 3
 SEED = 42
 #: Hash functions that the corpus stage links under; the operator's own result takes one.
 LANES = 8
+#: Words of a shingle in the corpus stage.  One changed word touches fewer of shorter shingles, so fingerprints stay nearer.
+STAGE_SHINGLE = 2
 #: The step between lanes and the mixing rounds (shift, factor) of SplitMix64.
 LANE_STEP = 0x9E3779B97F4A7C15
 LANE_MIX = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB))
@@ -265,7 +267,7 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, la
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, lanes: int = LANES) -> DataFrame:
+def drop_near_copies(docs: DataFrame, radius: int = RADIUS, shingle: int = STAGE_SHINGLE, lanes: int = LANES) -> DataFrame:
     """One row of `docs` for each component, with its columns: a row with the smallest doc_id.
 
     Several lanes find more of the copies that differ a little: a pair whose fingerprints

@@ -29,7 +29,7 @@ def test_stages_against_their_operators(spark):
         last[r["text"]] = max(r["doc_id"], last.get(r["text"], -1))
     assert ids(seen["simhash_near_dedup"]) == sorted(last.values()) == ids(exact_dedup.exact_dedup(seen["exact_dedup"]).where("kept"))
 
-    near = simhash.near_dedup(seen["simhash_near_dedup"], lanes=simhash.LANES)
+    near = simhash.near_dedup(seen["simhash_near_dedup"], shingle=simhash.STAGE_SHINGLE, lanes=simhash.LANES)
     assert ids(seen["mixing"]) == ids(near.where("doc_id = component_id"))
 
     copies = {r["doc_id"]: r["copies"] for r in mixing.mix_sources(seen["mixing"]).collect()}
@@ -59,4 +59,4 @@ def test_stages_take_odd_and_empty_tables(spark, make_docs, odd_texts):
 
 def test_every_operator_has_its_query():
     names = list(queries.queries())
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))

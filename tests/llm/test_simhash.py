@@ -120,13 +120,13 @@ def test_components_against_brute_force(spark, make_docs, odd_texts):
     wanted = brute(marks)
     assert {d: r["component_id"] for d, r in got.items()} == wanted
     assert len(set(wanted.values())) < len(texts) - 20  # near copies did link
-    out = drop_near_copies(docs, lanes=1)
+    out = drop_near_copies(docs, shingle=3, lanes=1)
     assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == sorted(set(wanted.values()))
 
     lanes = {i * 3: fingerprint_lanes((t or "").encode(), 4).tolist() for i, t in enumerate(texts)}
     wanted = brute_lanes(lanes)
     assert {r["doc_id"]: r["component_id"] for r in near_dedup(docs, lanes=4).collect()} == wanted
-    assert sorted(r["doc_id"] for r in drop_near_copies(docs, lanes=4).collect()) == sorted(set(wanted.values()))
+    assert sorted(r["doc_id"] for r in drop_near_copies(docs, shingle=3, lanes=4).collect()) == sorted(set(wanted.values()))
 
 
 def test_repeated_and_missing_ids(spark, make_docs):
@@ -156,3 +156,24 @@ def test_long_chains_and_self_edges(spark):
     random.Random(1).shuffle(chain)
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(201)) and got[1000] == got[950] == got[900] == 900
+
+
+def test_the_stage_finds_planted_copies(make_docs):
+    """Of copies with a five-word similarity of 0.8 or more nine in ten go, and all unrelated texts stay."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 8)))
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, copies = [], set()
+    while len(copies) < 300:
+        words = [word() for _ in range(rng.randint(40, 600))]
+        changed = list(words)
+        for _ in range(rng.randint(1, max(1, len(words) // 45))):
+            at = rng.randrange(len(changed))
+            changed[at : at + 1] = rng.choice(([word()], [], [changed[at], word()]))
+        a, b = shingles(words), shingles(changed)
+        if 0.8 <= len(a & b) / len(a | b) < 1:
+            at = 10 * len(rows)
+            rows += [(at, " ".join(words), "en", "s"), (at + 1, " ".join(changed), "en", "s"), (at + 2, " ".join(word() for _ in words), "en", "s")]
+            copies.add(at + 1)
+    left = {r["doc_id"] for r in drop_near_copies(make_docs(rows)).collect()}
+    assert len(copies - left) >= 270 and {r[0] for r in rows} - copies <= left
