@@ -42,8 +42,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by near-equal fingerprints, the one with the smallest doc_id.
 
-    Links are those of the operator, three-word shingles and three bits, under each of
-    `simhash.LANES` hash functions.  Texts without words are one group; a group without
+    Links are those of the operator, within three bits, under each of `simhash.LANES` hash
+    functions and over shingles of `simhash.STAGE_SHINGLE` words, under which most copies of
+    a five-word similarity of 0.8 or more lie that near.  Texts without words are one group; a group without
     ids keeps one row; ties and repeated rows keep one; texts of any length count whole.
     """
     return simhash.drop_near_copies(docs)
