@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,10 +159,9 @@ class Block:
     most: int
 
 
-def _scan(rows: DataFrame, grid: Grid, block: Block) -> DataFrame:
+def _scan(rows: DataFrame, grid: Grid, sent: Broadcast[Block]) -> DataFrame:
     """(anchor, key, vec_id, score) of every task's first rows in each window of a block's anchors."""
     largest = grid.largest()
-    sent = rows.sparkSession.sparkContext.broadcast(block)  # at most BLOCK_ANCHORS vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
@@ -279,14 +279,17 @@ def mine(vectors: DataFrame, positives: int = POSITIVES, negatives: int = NEGATI
         own = whole(_matrix(found.column("embedding"), grid.dims), largest)
         first = Block(ids, labels, own, True, [[(0, None, None)] for _ in ids], positives)
         near: dict[int, list[tuple[int, int]]] = {}
-        for r in _merged(_scan(rows, grid, first), positives).orderBy("anchor", "rank").collect():  # `positives` rows an anchor
+        sent = spark.sparkContext.broadcast(first)  # some BLOCK_ANCHORS vectors
+        for r in _merged(_scan(rows, grid, sent), positives).orderBy("anchor", "rank").collect():  # `positives` rows an anchor
             near.setdefault(r["anchor"], []).append((r["vec_id"], r["score"]))
-        second = Block(ids, labels, own, False, _windows(near, len(ids)), negatives)
-        best = _merged(_scan(rows, grid, second), negatives)
+        sent.destroy()
+        sent = spark.sparkContext.broadcast(Block(ids, labels, own, False, _windows(near, len(ids)), negatives))
+        best = _merged(_scan(rows, grid, sent), negatives)
         told = [(a, key, int(ids[a]), None if i == NO_ID else i, p) for a, pairs in near.items() for key, (i, p) in enumerate(pairs)]
         pairs = spark.createDataFrame(told, "anchor int, key int, anchor_id long, positive_id long, positive_score long")
         named = F.when(F.col("vec_id") != NO_ID, F.col("vec_id"))
         best.join(F.broadcast(pairs), ["anchor", "key"]).select(
             "anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), named.alias("negative_id"), "positive_score", F.col("score").alias("negative_score")
         ).write.mode("append").parquet(path)
+        sent.destroy()
     return spark.read.schema(schema).parquet(path)
