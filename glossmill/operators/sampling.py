@@ -19,7 +19,6 @@ DIGITS = 3
 #: Draws made by one generating row.
 CHUNK = 100_000
 STRATEGIES = ("uniform", "sqrt", "log")
-BROADCAST_BUCKETS = 200_000
 
 
 def order_hash(id_: Column | str, seed: int, tag: str) -> Column:
