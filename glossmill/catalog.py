@@ -8,8 +8,7 @@ of every document becomes a sample.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -824,6 +823,8 @@ def token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Documents of one corpus at most, in the folder tree made of them.
 CORPUS_DOCS = 5000
+#: Essay files are read in splits of few essays, and in at most so many.
+SPLIT_BYTES, SPLITS_AT_MOST = 64 << 10, 1000
 _TREE_SETTINGS = "max_source_len: 1500\nmax_target_len: 1250\n"
 
 
@@ -860,20 +861,6 @@ def write_corpora(spark: SparkSession, sf_dir: str, folder: str) -> None:
     system.delete(path(f"{folder}/.raw"), True)
 
 
-@contextmanager
-def _small_splits(spark: SparkSession, size: int = 64 << 10) -> Iterator[None]:
-    """Input splits of a few essays while files are read."""
-    names = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": str(size // 16)}
-    old = {name: spark.conf.get(name) for name in names}
-    for name, value in names.items():
-        spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        for name, value in old.items():
-            spark.conf.set(name, value)
-
-
 _TREE = rf"""
 WITH tree AS (
   SELECT doc_id, lang, 'learners-' || lang || '-' || (doc_id // {CORPUS_DOCS})::VARCHAR AS corpus, CASE doc_id % 10 WHEN 0 THEN 'dev' WHEN 1 THEN 'test' ELSE 'train' END AS split,
@@ -904,8 +891,8 @@ def corpus_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_corpora(spark, sf_dir, f"{path}/data")
     files.write_small(spark, f"{path}/settings.yaml", _TREE_SETTINGS)
     settings = files.read_settings(f"{path}/settings.yaml", spark)
-    with _small_splits(spark):
-        pipelines.build_dataset(spark, f"{path}/data", f"{path}/out", int(settings["max_source_len"]), DATA_SOURCE_PREFIX, int(settings["max_target_len"]))
+    size = max(SPLIT_BYTES, files.folder_bytes(spark, f"{path}/data") // SPLITS_AT_MOST)
+    pipelines.build_dataset(spark, f"{path}/data", f"{path}/out", int(settings["max_source_len"]), DATA_SOURCE_PREFIX, int(settings["max_target_len"]), size)
     lines = files.read_jsonl(spark, [f"{path}/out/{DATA_SOURCE_PREFIX}{s}.jsonl" for s in SPLITS], SAMPLE)
     keys = ("id", "lang", "corpus", "split")
     lines = lines.select(F.lit("lines").alias("store"), *keys, "ref", F.md5("prompt").alias("prompt_md5"), F.md5("target").alias("target_md5"), F.lit(None).cast("string").alias("data_source"))

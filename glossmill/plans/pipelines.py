@@ -14,6 +14,7 @@ from glossmill.operators import analyze, evaluate, sampling
 from glossmill.operators.samples import align_documents, align_essays, align_lines, build_samples, filter_pairs, rl_records, sft_records
 from glossmill.schemas import PREDICTION, REFERENCE, SAMPLE, SPLITS
 from glossmill.sources import files
+from glossmill.sources.scratch import settle
 
 # What each training stage adds by default.
 STAGE_DEFAULTS = {
@@ -22,13 +23,19 @@ STAGE_DEFAULTS = {
 }
 
 
-def samples_from_corpora(spark: SparkSession, data_dir: str, max_source_len: int = 1024, max_target_len: int | None = None) -> DataFrame:
-    """Samples of all corpora below a folder: every essay against each of its references."""
+def samples_from_corpora(spark: SparkSession, data_dir: str, max_source_len: int = 1024, max_target_len: int | None = None, split_bytes: int | None = None) -> DataFrame:
+    """Samples of all corpora below a folder: every essay against each of its references.
+
+    Essay files are read once, in input splits of `split_bytes` if given; essays with their
+    places are stored, as both sides of the alignment come from them.
+    """
     corpora = files.discover_corpora(spark, data_dir)
     one_name = lambda c: F.regexp_replace(c, "^file:/+", "file:/")  # noqa: E731  readers differ in it
     essay_files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(data_dir).select("path")
-    placed = files.classify_files(essay_files).join(corpora, "corpus_dir").withColumn("path", one_name("path"))
-    essays = files.read_essays(spark, data_dir, recursive=True).withColumn("path", one_name("path")).join(placed, "path")
+    placed = settle(files.classify_files(essay_files).join(corpora, "corpus_dir").withColumn("path", one_name("path")), "essay_files")
+    # Some 300 bytes a file; beyond that many they are joined by shuffle.
+    placed = F.broadcast(placed) if placed.count() <= files.BROADCAST_SPLITS else placed
+    essays = settle(files.read_essays(spark, data_dir, recursive=True, split_bytes=split_bytes).withColumn("path", one_name("path")).join(placed, "path"), "essays")
     keys = ("corpus_dir", "corpus_name", "lang_code", "sentence_aligned", "split", "essay_id")
     orig = essays.where("kind = 'orig'").select(*keys, F.col("text").alias("orig_text"))
     refs = essays.where("kind = 'ref'").select(*keys, F.col("ref_key").alias("ref"), F.col("text").alias("ref_text"))
@@ -41,15 +48,16 @@ def samples_from_corpora(spark: SparkSession, data_dir: str, max_source_len: int
 
 
 def build_dataset(
-    spark: SparkSession, data_dir: str, output_dir: str, max_source_len: int = 1024, prefix: str = DATA_SOURCE_PREFIX, max_target_len: int | None = None
-) -> DataFrame:
+    spark: SparkSession, data_dir: str, output_dir: str, max_source_len: int = 1024, prefix: str = DATA_SOURCE_PREFIX, max_target_len: int | None = None,
+    split_bytes: int | None = None, compression: str = "none",
+) -> DataFrame:
     """Write the samples of every split as JSON lines and Parquet, file names and data sources with a prefix; returns the counts."""
-    samples = samples_from_corpora(spark, data_dir, max_source_len, max_target_len)
+    samples = samples_from_corpora(spark, data_dir, max_source_len, max_target_len, split_bytes)
     out = f"{output_dir}/samples"
     samples.write.mode("overwrite").partitionBy("split").parquet(out)
     stored = spark.read.schema(SAMPLE).parquet(out)
     for split in SPLITS:
-        files.write_jsonl(stored.where(F.col("split") == split), f"{output_dir}/{prefix}{split}.jsonl")
+        files.write_jsonl(stored.where(F.col("split") == split), f"{output_dir}/{prefix}{split}.jsonl", compression)
     files.write_parquet_by_split(rl_records(stored, True, prefix), output_dir, prefix)
     return analyze.corpus_counts(stored)
 

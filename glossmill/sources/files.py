@@ -7,10 +7,8 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
-from itertools import pairwise
+from contextlib import contextmanager
 
-import numpy as np
-import pyarrow as pa
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -118,62 +116,67 @@ def parse_essays(files: DataFrame, content: str = "value", keep: tuple[str, ...]
 _MARK = "###"
 
 
-def _numbered(chunks: DataFrame) -> DataFrame:
-    """Add `n`, a chunk's number in its input split, to (value, path, block) in the order of reading."""
-    schema = "value string, path string, block long, n long"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, count = None, 0
-        for batch in batches:
-            place = batch.column("path").dictionary_encode()
-            own = np.stack([place.indices.to_numpy(), batch.column("block").to_numpy()]) if batch.num_rows else np.zeros((2, 0), np.int64)
-            starts = np.flatnonzero(np.append([True], (np.diff(own) != 0).any(0))) if batch.num_rows else np.zeros(0, np.int64)
-            numbers = np.arange(batch.num_rows)
-            for start, end in pairwise([*starts.tolist(), batch.num_rows]):
-                here = (batch.column("path")[start].as_py(), batch.column("block")[start].as_py())
-                count = count if here == last else 0
-                numbers[start:end] = count + np.arange(end - start)
-                last, count = here, count + end - start
-            yield pa.record_batch([*batch.columns, pa.array(numbers)], names=["value", "path", "block", "n"])
-
-    return chunks.mapInArrow(run, schema)
+@contextmanager
+def input_splits(spark: SparkSession, size: int | None) -> Iterator[None]:
+    """Input splits of at most `size` bytes for files read meanwhile; None leaves the session's."""
+    names = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": str(size // 16)} if size else {}
+    old = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in old.items():
+            spark.conf.set(name, value)
 
 
-def read_essays(spark: SparkSession, paths: list[str] | str, recursive: bool = False) -> DataFrame:
+def read_essays(spark: SparkSession, paths: list[str] | str, recursive: bool = False, split_bytes: int | None = None) -> DataFrame:
     """(path, essay_id, text) of Markdown files of any size, with `recursive` of those in and below folders.
 
-    What `parse_essays` says of whole files, but a file is read in input splits: the reader
-    cuts it where a line begins with a header's marks, so an essay comes whole from the split
-    it begins in and a large file is many tasks' work.  Chunks that turn out not to be
-    headers go to the last essay before them, which is found over chunks' places alone.
+    What `parse_essays` says of whole files, but a file is read in input splits, of
+    `split_bytes` if given: the reader cuts it where a line begins with a header's marks, so
+    an essay comes whole from the split it begins in and a large file is many tasks' work.
+    Chunks that turn out not to be headers go to the last essay before them, which is found
+    over chunks' places alone.  Only built-in functions touch the texts, which are moved
+    once, to their path and id.
     """
     reader = spark.read.option("lineSep", "\n" + _MARK)
     if recursive:
         reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md")
-    chunks = _numbered(reader.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")))
-    # All chunks but a file's first had the marks before them.
-    text = F.when((F.col("block") == 0) & (F.col("n") == 0), F.col("value")).otherwise(F.concat(F.lit(_MARK), "value"))
+    block = F.col("_metadata.file_block_start").alias("block")
+    # Numbers rise by one within a split, wherever they begin.
+    chunks = reader.text(paths).select("value", F.col("_metadata.file_path").alias("path"), block, F.monotonically_increasing_id().alias("n"))
     # A line end of two characters has lost its second one to the cut.
-    text = F.regexp_replace(F.regexp_replace(text, r"\r\z", ""), "\r\n?", "\n")
+    text = F.regexp_replace(F.regexp_replace(F.concat(F.lit(_MARK), "value"), r"\r\z", ""), "\r\n?", "\n")
     split = chunks.select("path", "block", "n", F.posexplode(F.split(text, _HEADER_AHEAD)).alias("pos", "part"))
-    place = F.struct("block", "n", "pos").alias("place")
-    parts = settle(split.select("path", place, _essay_id("part").alias("essay_id"), "part"), "essay_parts")
-    heads = parts.where("essay_id IS NOT NULL").select("path", "essay_id", "place", F.regexp_replace("part", r"^[^\n]*\n?", "").alias("body"))
-    best = heads.groupBy("path", "essay_id").agg(F.max_by(F.struct("place", "body"), "place").alias("b")).select("path", "essay_id", "b.*")
+    # A file's first chunk had no marks before it, so its id is that without them.
+    split = split.withColumn("unmarked", F.when((F.col("block") == 0) & (F.col("pos") == 0), F.substring("part", len(_MARK) + 1, 1 << 30)))
+    with input_splits(spark, split_bytes):
+        parts = settle(split.select("path", F.struct("block", "n", "pos").alias("place"), _essay_id("part").alias("id"), _essay_id("unmarked").alias("first_id"), "part"), "essay_parts")
     # Places are few bytes each: within a split by a running maximum, then over the splits of a file.
-    places = parts.select("path", "place", F.when(F.col("essay_id").isNotNull(), F.col("place")).alias("head"))
     in_split = Window.partitionBy("path", "place.block").orderBy("place")
-    owned = places.withColumn("own", F.max("head").over(in_split))
+    first = (F.col("place.block") == 0) & (F.row_number().over(in_split) == 1)
+    places = parts.select("path", "place", "id", "first_id").withColumn("first", first).withColumn("essay_id", F.when(F.col("first"), F.col("first_id")).otherwise(F.col("id")))
+    head = F.when(F.col("essay_id").isNotNull(), F.struct("place", "essay_id"))
+    places = settle(places.select("path", "place", "first", "essay_id", head.alias("head"), F.max(head).over(in_split).alias("own")), "essay_places")
     blocks = places.groupBy("path", F.col("place.block").alias("block")).agg(F.max("head").alias("head"))
     earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("path", "block", F.max("head").over(earlier).alias("before"))
-    loose = owned.where("head IS NULL").select("path", "place", "own", F.col("place.block").alias("block")).join(blocks, ["path", "block"])
+    loose = places.where("head IS NULL").select("path", "place", "own", F.col("place.block").alias("block")).join(blocks, ["path", "block"])
     loose = loose.select("path", "place", F.coalesce("own", "before").alias("owner")).where("owner IS NOT NULL")
-    tails = parts.where("essay_id IS NULL").join(loose, ["path", "place"])
-    tails = tails.groupBy("path", F.col("owner").alias("place")).agg(F.sort_array(F.collect_list(F.struct("place", "part"))).alias("tail"))
-    tail = F.array_join(F.transform("tail", lambda t: F.concat(F.lit("\n"), t["part"])), "")
-    whole = best.join(tails.select("path", "place", tail.alias("tail")), ["path", "place"], "left")
-    return whole.select("path", "essay_id", strip(F.concat("body", F.coalesce("tail", F.lit("")))).alias("text"))
+    firsts = places.where("first").select("path", "place", "first")
+    # One row a file, of some 200 bytes; beyond that many they are joined by shuffle.
+    firsts = F.broadcast(firsts) if firsts.count() <= BROADCAST_SPLITS else firsts
+    known = parts.join(firsts, ["path", "place"], "left").withColumn("essay_id", F.when(F.col("first"), F.col("first_id")).otherwise(F.col("id")))
+    tail = F.struct(F.col("owner.place").alias("owner"), "place", "part")
+    tails = known.where("essay_id IS NULL").select("path", "place", "part").join(loose, ["path", "place"]).select("path", "owner.essay_id", tail.alias("tail"))
+    none = F.lit(None)
+    rows = known.where("essay_id IS NOT NULL").select("path", "essay_id", "place", F.regexp_replace("part", r"^[^\n]*\n?", "").alias("body"), none.cast(tails.schema["tail"].dataType).alias("tail"))
+    rows = rows.unionByName(tails.select("path", "essay_id", none.cast(parts.schema["place"].dataType).alias("place"), none.cast("string").alias("body"), "tail"))
+    # Of a repeated id the last essay holds, with what follows it.
+    last = rows.groupBy("path", "essay_id").agg(F.max("place").alias("place"), F.max_by("body", "place").alias("body"), F.sort_array(F.collect_list("tail")).alias("tails"))
+    own = F.transform(F.filter("tails", lambda t: t["owner"] == F.col("place")), lambda t: F.concat(F.lit("\n"), t["part"]))
+    return last.select("path", "essay_id", strip(F.concat("body", F.array_join(own, ""))).alias("text"))
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
@@ -215,9 +218,9 @@ def read_jsonl_head(spark: SparkSession, path: str, schema: str, max_samples: in
     return kept.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("s")).select("s.*")
 
 
-def write_jsonl(df: DataFrame, path: str) -> None:
-    """JSON lines in UTF-8, non-ASCII as it is."""
-    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+def write_jsonl(df: DataFrame, path: str, compression: str = "none") -> None:
+    """JSON lines in UTF-8, non-ASCII as it is; a codec's name compresses the files, which readers know by their endings."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path, compression=compression)
 
 
 def write_parquet_by_split(df: DataFrame, folder: str, prefix: str = DATA_SOURCE_PREFIX) -> dict[str, str]:
@@ -241,6 +244,12 @@ def write_parquet_by_split(df: DataFrame, folder: str, prefix: str = DATA_SOURCE
     return dict(sorted(out.items()))
 
 
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a folder of any store."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+
+
 def write_report(report: dict, path: str, spark: SparkSession | None = None) -> None:
     """A small result as indented JSON, non-ASCII kept: on the driver or, with a session, in any store that Spark writes."""
     text = json.dumps(report, indent=2, ensure_ascii=False)

@@ -312,3 +312,14 @@ def test_progress_in_a_store(spark, tmp_path):
         files.write_progress(path, step, 4, spark)
         assert files.read_progress(path, 0.0, spark) == step / 4 == files.read_progress(str(tmp_path / "p.json"))
     assert [x.name for x in tmp_path.iterdir() if not x.name.startswith(".")] == ["p.json"]
+
+
+def test_essays_are_read_without_python_and_in_splits_of_their_own(spark, tmp_path):
+    """Only the essay files are read in small splits; whoever reads what was stored has the session's, and no task starts a Python worker."""
+    for i in range(3):
+        (tmp_path / f"{i}.md").write_text("".join(f"### essay_id = {k}\nbody {k}\n### more\n" for k in range(200)))
+    found = files.read_essays(spark, str(tmp_path), recursive=True, split_bytes=512)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "InArrow" not in plan and "Python" not in plan
+    assert found.count() == 600 and {r["text"] for r in found.where("essay_id = '7'").collect()} == {"body 7\n### more"}
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") != "512"
