@@ -53,3 +53,12 @@ def test_entry(spark):
 
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["comparison_report"])
+def test_stored_samples_take_little_room(spark, name, tmp_path, monkeypatch):
+    """Samples as plain lines alone are 14 times as large as the documents' file."""
+    monkeypatch.setattr(catalog, "scratch_path", lambda spark, own: str(tmp_path / own))
+    assert catalog.queries()[name](spark, DIR).count() > 0
+    stored = sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(tmp_path) for f in names)
+    assert 0 < stored < 6 * os.path.getsize(f"{DIR}/documents.parquet")
