@@ -951,8 +951,8 @@ def bounded_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prepared_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training tables made from JSON lines, written as Parquet and read back."""
     path = scratch_path(spark, "prepared")
-    files.write_jsonl(full_samples(spark, sf_dir), f"{path}/samples")
-    pipelines.prepare(spark, f"{path}/samples", f"{path}/sft", f"{path}/rl")
+    files.write_jsonl(full_samples(spark, sf_dir), f"{path}/samples", CODEC)
+    pipelines.prepare(spark, f"{path}/samples", f"{path}/sft", f"{path}/rl", compression="zstd")
     content = lambda c, i: F.md5(F.element_at(c, i)["content"])
     sft = spark.read.parquet(f"{path}/sft").select(F.lit("sft").alias("kind"), "id", "lang", content("messages", 1).alias("prompt_md5"), content("messages", 2).alias("answer_md5"))
     rl = spark.read.parquet(f"{path}/rl")

@@ -107,13 +107,15 @@ def evaluate_files(spark: SparkSession, predictions: str, references: str | list
     return metrics
 
 
-def prepare(spark: SparkSession, path: str, sft_output: str | None = None, rl_output: str | None = None, max_samples: int | None = None, prefix: str = DATA_SOURCE_PREFIX) -> None:
-    """Training tables from JSON lines."""
+def prepare(
+    spark: SparkSession, path: str, sft_output: str | None = None, rl_output: str | None = None, max_samples: int | None = None, prefix: str = DATA_SOURCE_PREFIX, compression: str | None = None
+) -> None:
+    """Training tables from JSON lines, under the session's Parquet codec or the one named."""
     samples = files.read_jsonl_head(spark, path, SAMPLE, max_samples)
     if sft_output:
-        sft_records(samples).write.mode("overwrite").parquet(sft_output)
+        sft_records(samples).write.mode("overwrite").parquet(sft_output, compression=compression)
     if rl_output:
-        rl_records(samples, prefix=prefix).write.mode("overwrite").parquet(rl_output)
+        rl_records(samples, prefix=prefix).write.mode("overwrite").parquet(rl_output, compression=compression)
 
 
 def infer(samples: DataFrame, generator: Callable[[], Callable[[list[str]], list[str]]], batch_size: int = 8) -> DataFrame:
