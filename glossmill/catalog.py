@@ -926,7 +926,7 @@ def file_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples written to JSON-lines files and read back by their schema."""
     path = scratch_path(spark, "samples_jsonl")
-    files.write_jsonl(full_samples(spark, sf_dir), path)
+    files.write_jsonl(full_samples(spark, sf_dir), path, CODEC)
     back = files.read_jsonl(spark, path, SAMPLE)
     return back.select("id", "lang", "corpus", "split", "ref", F.md5("prompt").alias("prompt_md5"), "source", "target", F.size("messages").cast("long").alias("n_messages"))
 

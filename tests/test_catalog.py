@@ -55,7 +55,7 @@ def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["comparison_report", "prepared_tables"])
+@pytest.mark.parametrize("name", ["comparison_report", "jsonl_round_trip", "prepared_tables"])
 def test_stored_samples_take_little_room(spark, name, tmp_path, monkeypatch):
     """Samples as plain lines alone are 14 times as large as the documents' file."""
     monkeypatch.setattr(catalog, "scratch_path", lambda spark, own: str(tmp_path / own))
