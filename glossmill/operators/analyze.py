@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glossmill.functions.text import edit_distance, normalize_text, word_count
 from glossmill.operators.samples import is_augmented, is_identity_injected
@@ -114,11 +121,74 @@ def corpus_counts(samples: DataFrame) -> DataFrame:
     return counts.groupingSets([keys, keys[:2], keys[2:], []], *keys).agg(F.sum("n").alias("n"))
 
 
+#: Most numbers of n-grams that are counted in one array; beyond it a batch's n-grams are sorted.
+_DENSE = 1 << 22
+
+
+def _gram_counts(texts: pa.Array, n: int) -> tuple[list[str], np.ndarray]:
+    """The distinct character n-grams of some texts and how often each is there."""
+    joined = "".join(texts.to_pylist())
+    points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    lengths = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    if len(points) < n:
+        return [], np.zeros(0, np.int64)
+    # Characters are numbered by those there are; an n-gram is its characters' numbers in one.
+    letters, numbers = np.unique(points, return_inverse=True)
+    own = np.ones(len(points), bool)  # an n-gram that begins near its text's end is none
+    ends = np.cumsum(lengths)
+    for k in range(1, n):
+        short = np.maximum(ends - k, ends - lengths)
+        own[short[short < ends]] = False
+    own = own[: len(points) - n + 1]
+    size = len(letters)
+    if size**n >= 1 << 62:
+        grams: Counter[str] = Counter(joined[i : i + n] for i in np.flatnonzero(own).tolist())
+        return list(grams), np.fromiter(grams.values(), np.int64, len(grams))
+    codes = np.zeros(len(own), np.int64)
+    for k in range(n):
+        codes = codes * size + numbers[k : k + len(own)]
+    codes = codes[own]
+    if size**n <= _DENSE:
+        every = np.bincount(codes, minlength=1)
+        found = np.flatnonzero(every)
+        counts = every[found]
+    else:
+        found, counts = np.unique(codes, return_counts=True)
+    places = np.empty((len(found), n), np.int64)
+    rest = found
+    for k in reversed(range(n)):
+        rest, places[:, k] = np.divmod(rest, size)
+    text = letters[places].astype("<u4").tobytes().decode("utf-32-le")
+    return [text[i : i + n] for i in range(0, len(text), n)], counts
+
+
 def char_ngram_counts(texts: DataFrame, text: str, n: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(*keys, gram, count) of the character n-grams of a column."""
-    from glossmill.functions.text import char_ngrams
+    """(*keys, gram, count) of the character n-grams of a column.
 
-    return texts.select(*keys, F.explode(char_ngrams(text, n)).alias("gram")).groupBy(*keys, "gram").agg(F.count("*").alias("count"))
+    Each batch of texts is counted as arrays of character numbers, so that rows are made of
+    its distinct n-grams alone; Spark adds them up.
+    """
+    types = texts.select(*keys).schema
+    schema = T.StructType([*types.fields, T.StructField("gram", T.StringType()), T.StructField("n", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]).combine_chunks()
+            if not rows.num_rows:
+                continue
+            group = np.zeros(rows.num_rows, np.int64)
+            for i in range(len(keys)):
+                codes = rows.column(i).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+                group = np.unique(group * (int(codes.max()) + 1) + codes, return_inverse=True)[1]
+            for g in range(int(group.max()) + 1):
+                own = np.flatnonzero(group == g)
+                grams, counts = _gram_counts(rows.column("__text").combine_chunks().take(pa.array(own)), n)
+                first = rows.take(pa.array(np.full(len(grams), own[0])))
+                columns = [*(first.column(i).combine_chunks() for i in range(len(keys))), pa.array(grams, pa.string()), pa.array(counts, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
+
+    parts = texts.where(F.length(text) >= n).select(*keys, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return parts.groupBy(*keys, "gram").agg(F.sum("n").alias("count"))
 
 
 def as_table(rows: list[dict]) -> str:

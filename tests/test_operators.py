@@ -351,3 +351,22 @@ def test_inference(spark):
 def test_inference_refuses_lost_texts(spark):
     with pytest.raises(Exception, match="prompts gave"):
         pipelines.infer(make(spark, 4).coalesce(1), lambda: lambda prompts: prompts[:1]).collect()
+
+
+@pytest.mark.parametrize("dense", [1 << 22, 0])
+def test_ngrams_are_counted_by_batches(spark, dense):
+    """Rows are made of a batch's distinct n-grams, not of every character."""
+    from collections import Counter
+
+    from glossmill.operators.analyze import _gram_counts
+
+    rows = [("en", "abcabc"), ("en", "ab"), (None, "\U0001f600éab\U0001f600éa"), ("de", ""), ("de", None), ("en", "cab"), ("de", "aaaa")]
+    df = spark.createDataFrame(rows, "lang string, t string")
+    found = analyze.char_ngram_counts(df, "t", 3, ("lang",))
+    wanted = Counter((lang, t[i : i + 3]) for lang, t in rows for i in range(len(t or "") - 2))
+    assert {(r["lang"], r["gram"]): r["count"] for r in found.collect()} == wanted
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    old, analyze._DENSE = analyze._DENSE, dense
+    grams, counts = _gram_counts(__import__("pyarrow").array([t for _, t in rows if t]), 3)
+    analyze._DENSE = old
+    assert dict(zip(grams, counts.tolist(), strict=True)) == Counter(t[i : i + 3] for _, t in rows for i in range(len(t or "") - 2))
