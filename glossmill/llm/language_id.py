@@ -4,8 +4,9 @@ A language's raw-content dictionary is learned text of that language, from all o
 documents, without lines that documents of other languages share.  Case is folded.  A
 document is cut into pieces, each piece is compressed by zstandard once with every
 dictionary, and the summed sizes are compared: text of a language repeats what its
-dictionary holds.  Where there are many languages, only the dictionaries that share most
-letter triples with a document compress it.  A narrow margin between the two smallest is
+dictionary holds.  Every dictionary is tried, however many languages there are, unless a
+caller asks for a shortlist: the dictionaries that share most letter triples with a
+document.  A narrow margin between the two smallest is
 marked as not reliable.
 """
 
@@ -30,7 +31,7 @@ SAMPLE_DOCS = 400
 #: Slices a document's part is taken in, evenly spread over it, and characters gathered for each byte that fits.
 SLICES = 8
 SPARE = 4
-#: Dictionaries that compress a document, those that share most of its letter triples.
+#: Dictionaries that compress a document under a model made without saying; `fit` has every one tried.
 SHORTLIST = 8
 #: Up to so many sampled ids, of some 50 bytes each, are broadcast.
 BROADCAST_ROWS = 200_000
@@ -162,13 +163,14 @@ def spread_part(size: int) -> Column:
     return F.when(F.length("text") <= width * SLICES, F.col("text")).otherwise(slices)
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, shortlist: int | None = SHORTLIST) -> CompressionModel:
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, shortlist: int | None = None) -> CompressionModel:
     """Learn from rows that are not held out and have a language and a text: every language there is.
 
     A language's sample is its first documents by a hash of doc_id and text, repeated rows
     once; from each come parts spread over the whole text.  What reaches the driver is at
     most `sample_docs` parts a language, of `SPARE` times `ALL_BYTES` characters in all,
-    however many languages and repeated rows and however long the texts.
+    however many languages and repeated rows and however long the texts.  The model tries all
+    dictionaries on every text, or only as many as a `shortlist` says.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     known = usable.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))

@@ -130,3 +130,12 @@ def test_all_languages_may_compress(spark):
     import pickle
 
     assert pickle.loads(pickle.dumps(model)).shortlist is None
+
+
+def test_a_fitted_model_tries_every_dictionary(spark, make_docs):
+    """With more languages than a shortlist has, none is left out before its size is known."""
+    rows = [(i, f"wort{i % 12} satz{i % 12} text{i % 12} " * 5, f"l{i % 12:02d}", None) for i in range(120)]
+    model = language_id.fit(make_docs(rows))
+    assert len(model.languages) == 12 > language_id.SHORTLIST
+    assert sorted(model.sizes(b"wort3 satz3 text3")) == list(range(12))
+    assert len(language_id.fit(make_docs(rows), shortlist=5).sizes(b"wort3 satz3 text3")) == 5
