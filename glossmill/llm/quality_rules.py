@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import text_strings, word_pieces
+from glossmill.llm.common import settle, text_strings, word_pieces
 
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: Labelled rows the forest and its threshold learn from: the first by a hash of doc_id.
+#: Labelled rows that are learned from in one place; of more, all are scored where they lie.
 SAMPLE_ROWS = 6000
 TREES = 200
 TREE_ROWS = 256
@@ -134,16 +134,19 @@ class IsolationForest:
     norm: float
 
     @classmethod
-    def grow(cls, rows: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = 42) -> IsolationForest:
+    def grow(cls, rows: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = 42, disjoint: bool = False) -> IsolationForest:
+        """Each tree on `tree_rows` rows drawn at random; `disjoint` deals all rows out first, so that none is left out of every tree."""
         rng = np.random.default_rng(seed)
         size = min(tree_rows, len(rows))
+        dealt = np.concatenate([rng.permutation(len(rows)) for _ in range(-(-trees * size // max(len(rows), 1)))]) if disjoint and size else None
         least = LEAST_RANGE * np.maximum(rows.std(0), 1e-3) if size else np.zeros(0)
         nodes: list[list[float]] = []
         roots = []
-        for _ in range(trees):
+        for tree in range(trees):
             roots.append(len(nodes))
             nodes.append([-1, 0.0, -1, 0.0])
-            todo = [(roots[-1], rows[rng.choice(len(rows), size, replace=False)] if size else rows, 0)]
+            own = rng.choice(len(rows), size, replace=False) if dealt is None and size else dealt[tree * size : (tree + 1) * size] if size else slice(0)
+            todo = [(roots[-1], rows[own], 0)]
             while todo:
                 at, own, depth = todo.pop()
                 if depth >= DEPTH or len(own) <= 1:
@@ -212,21 +215,82 @@ def learn(rows: np.ndarray, good: np.ndarray, seed: int = 42) -> QualityModel:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> QualityModel:
-    """Learn from at most `sample_rows` labelled documents that pass the base rules.
+#: Bins that scores are counted in to find one by its rank, and how often a bin is cut again.
+BINS, CUTS = 1 << 12, 2
+
+
+def ranked_score(scores: DataFrame, rank: int) -> float:
+    """The score that `rank` others are above, of all rows: counts by bins, and then by the scores of one narrow bin."""
+    low, width = 0.0, 1.0
+    for _ in range(CUTS):
+        inside = scores.where((F.col("score") >= low) & (F.col("score") < low + width)) if width < 1 else scores
+        place = F.least(F.greatest(F.floor((F.col("score") - low) / width * BINS), F.lit(0)), F.lit(BINS - 1))
+        for r in inside.groupBy(place.alias("bin")).agg(F.count("*").alias("n")).orderBy(F.desc("bin")).collect():  # at most `BINS` rows
+            if rank < r["n"]:
+                low, width = low + r["bin"] * width / BINS, width / BINS
+                break
+            rank -= r["n"]
+    # A bin's edges may round to either side of a score, so its neighbours' nearest rows are told apart by rank.
+    found = scores.where((F.col("score") >= low) & (F.col("score") < low + width)).groupBy("score").agg(F.count("*").alias("n")).orderBy(F.desc("score"))
+    last = low
+    for r in found.toLocalIterator():
+        last = r["score"]
+        if rank < r["n"]:
+            break
+        rank -= r["n"]
+    return float(last)
+
+
+def threshold(scores: DataFrame, max_good_loss: float = MAX_GOOD_LOSS) -> float:
+    """What `calibrate` says of all rows of (score, good), which stay where they are."""
+    good = scores.where("good").select("score")
+    n = good.count()
+    if not n:
+        return 1.0
+    floor = ranked_score(good, min(n - 1, max(1, int(n * max_good_loss))))
+    above = scores.where(~F.col("good") & (F.col("score") > floor)).agg(F.min("score")).first()[0]
+    return (floor + (1.0 if above is None else above)) / 2
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int | None = None) -> QualityModel:
+    """Learn from all labelled documents that pass the base rules.
 
     Repeated labels, and rows of one id with like statistics, count once.  Labels that are null or of unknown documents are left out; with fewer than two good
-    ones there is nothing to calibrate with and the model rejects nothing.
+    ones there is nothing to calibrate with and the model rejects nothing.  Up to
+    `SAMPLE_ROWS` rows are learned from in one place.  Of more, half of the good ones, by
+    hash, grow the forest: each tree has rows of its own as long as there are enough, so
+    the driver gets `TREES * TREE_ROWS` of them at most, which is all that trees of that
+    many rows hold.  The other half and all bad ones are scored where they lie, and the
+    threshold is that of every one of them.  A caller may have it learn from the first
+    `sample_rows` by a hash alone.
     """
     known = labels.where("quality IS NOT NULL").select("doc_id", "quality").distinct()
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows)
-    # At most `sample_rows` ids of two numbers each.
-    rows = _with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), ["quality"])
-    # An id may have many rows, so the bound holds for rows again.
-    passing = rows.where("NOT base_failed").select("doc_id", "quality", "features").distinct()
-    found = sorted(passing.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "features").limit(sample_rows).collect(), key=lambda r: (r["doc_id"], r["quality"], r["features"]))
-    features = np.asarray([r["features"] for r in found], float).reshape(-1, len(FEATURES))
-    return learn(features, np.asarray([r["quality"] == 1 for r in found], bool))
+    if sample_rows:
+        known = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows))
+    rows = _with_statistics(docs.select("doc_id", "text").join(known, "doc_id"), ["quality"])
+    passing = settle(rows.where("NOT base_failed").select("doc_id", "quality", "features").distinct(), "labelled")
+    if sample_rows:  # an id may have many rows, so the bound holds for rows again
+        passing = passing.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "features").limit(sample_rows)
+    if sample_rows or passing.count() <= SAMPLE_ROWS:
+        found = sorted(passing.collect(), key=lambda r: (r["doc_id"], r["quality"], r["features"]))
+        return learn(_features(found), np.asarray([r["quality"] == 1 for r in found], bool))
+    place = F.xxhash64("doc_id", "quality", "features")
+    halved = passing.withColumns({"place": place, "good": F.col("quality") == 1, "grows": (F.col("quality") == 1) & (F.pmod(place, F.lit(2)) == 0)})
+    grown = halved.where("grows").orderBy("place", "features").limit(TREES * TREE_ROWS).collect()
+    model = QualityModel(IsolationForest.grow(np.log(_features(grown) + OFFSET), disjoint=True), 1.0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            features = np.asarray(batch.column("features").to_pylist(), float).reshape(-1, len(FEATURES))
+            yield pa.record_batch([pa.array(model.score(features)), batch.column("good")], names=["score", "good"])
+
+    scores = settle(halved.where("NOT grows").select("features", "good").mapInArrow(run, "score double, good boolean"), "labelled_scores")
+    model.threshold = threshold(scores)
+    return model
+
+
+def _features(rows: list) -> np.ndarray:
+    return np.asarray([r["features"] for r in rows], float).reshape(-1, len(FEATURES))
 
 
 def _with_statistics(rows: DataFrame, carry: list[str]) -> DataFrame:

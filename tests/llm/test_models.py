@@ -290,3 +290,29 @@ def test_words_in_pieces_are_the_words(monkeypatch):
     for size in (1, 7, 64, 1000, 5000):
         assert [w for p in word_pieces(text, size) for w in p] == text.split()
     assert list(word_pieces(b"")) == [[]]
+
+
+def test_threshold_of_all_rows_is_the_calibrated_one(spark):
+    rng = np.random.default_rng(3)
+    for n, loss in ((1, 0.1), (7, 0.0), (3000, 0.002), (3000, 0.3)):
+        scores = np.round(rng.uniform(0.2, 0.9, n), 3 if loss > 0.1 else 12)
+        good = rng.uniform(size=n) < 0.8
+        df = spark.createDataFrame([(float(s), bool(g)) for s, g in zip(scores, good, strict=True)], "score double, good boolean")
+        assert quality_rules.threshold(df, loss) == pytest.approx(calibrate(scores, good, loss), abs=1e-12)
+    assert quality_rules.threshold(spark.createDataFrame([], "score double, good boolean")) == 1.0
+
+
+def test_every_labelled_row_counts_for_the_threshold(spark, monkeypatch):
+    """Far more labelled rows than are learned from in one place: all not grown on are scored."""
+    docs, labels = table(spark, DIR, "documents"), table(spark, DIR, "labels")
+    seen = []
+    made = quality_rules.threshold
+    monkeypatch.setattr(quality_rules, "threshold", lambda scores: seen.append(scores.groupBy("good").count().collect()) or made(scores))
+    monkeypatch.setattr(quality_rules, "SAMPLE_ROWS", 20)
+    model = quality_rules.fit(docs, labels)
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs, model).collect()}
+    passing = [r["quality"] for r in labels.where("quality IS NOT NULL").collect() if not got[r["doc_id"]]["base_failed"]]
+    scored = {r["good"]: r["count"] for r in seen[0]}
+    assert scored[False] == passing.count(0) and 0.35 < scored[True] / passing.count(1) < 0.65
+    good, bad = ([got[r["doc_id"]]["kept"] for r in labels.collect() if r["quality"] == q and not got[r["doc_id"]]["base_failed"]] for q in (1, 0))
+    assert np.mean(good) > 0.97 and np.mean(bad) < 0.2
