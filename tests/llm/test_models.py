@@ -316,3 +316,23 @@ def test_every_labelled_row_counts_for_the_threshold(spark, monkeypatch):
     assert scored[False] == passing.count(0) and 0.35 < scored[True] / passing.count(1) < 0.65
     good, bad = ([got[r["doc_id"]]["kept"] for r in labels.collect() if r["quality"] == q and not got[r["doc_id"]]["base_failed"]] for q in (1, 0))
     assert np.mean(good) > 0.97 and np.mean(bad) < 0.2
+
+
+def test_labels_meet_statistics_and_no_text_is_shuffled(spark, monkeypatch):
+    """Where labels are too many to broadcast, the join is above the statistics, so texts stay where they are read."""
+    docs, labels = table(spark, DIR, "documents"), table(spark, DIR, "labels")
+    plans = []
+    made = quality_rules.settle
+    monkeypatch.setattr(quality_rules, "settle", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or made(df, name))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        model = quality_rules.fit(docs, labels)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    joined = [p for p in plans if "Join" in p]
+    assert joined and all("Join" not in p[p.index("MapInArrow") :] for p in joined)  # a plan's first lines are its last steps
+    measured = quality_rules.measure(docs)
+    again = quality_rules.fit_measured(measured, labels)
+    assert again.threshold == model.threshold
+    assert sorted(quality_rules.judge(docs, model).collect()) == sorted(quality_rules.judge_measured(measured, again).collect())
