@@ -19,6 +19,8 @@ NEAR = 31
 WIDER = 4
 #: Characters of the pairs that advance together.
 BATCH_CHARS = 1 << 22
+#: Cells of a table by row and character, for each character of the texts, up to which it is not sorted instead.
+DENSE = 8
 #: Longer texts are not worked in batches, as their tables would be large.
 BATCH_TEXT = 1 << 16
 
@@ -37,17 +39,28 @@ def _tables(rows: np.ndarray, places: np.ndarray, codes: np.ndarray, lengths: np
     A table has a word of zeros before and two behind, so a window may lie beyond the
     text's ends.  Characters that the row's text lacks have the zeros at 0.
     """
-    base = int(max(codes.max(), other_codes.max())) + 1
-    keys, inverse = np.unique(rows * base + codes, return_inverse=True)
+    seen = np.zeros(int(max(codes.max(), other_codes.max())) + 1, np.int64)
+    seen[codes] = 1
+    seen[other_codes] = 1
+    numbers = np.cumsum(seen) - 1
+    base = int(numbers[-1]) + 1
+    own, wanted = rows * base + numbers[codes], others * base + numbers[other_codes]
+    if len(lengths) * base <= DENSE * len(codes):  # a cell for each row and character
+        cells = np.zeros(len(lengths) * base, bool)
+        cells[own] = True
+        keys, places_of = np.flatnonzero(cells), np.cumsum(cells) - 1
+        inverse, at, known = places_of[own], np.maximum(places_of[wanted], 0), cells[wanted]
+    else:
+        keys, inverse = np.unique(own, return_inverse=True)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        known = keys[at] == wanted
     words = -(-lengths // WORD) + 3
     sizes = words[keys // base]
     # The first table is all zeros and as long as the longest.
     starts = int(words.max()) + _starts(sizes)
     table = np.zeros(int(starts[-1] + sizes[-1]), np.uint64)
     np.add.at(table, starts[inverse] + 1 + places // WORD, np.uint64(1) << (places % WORD).astype(np.uint64))
-    wanted = others * base + other_codes
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return table, np.where(keys[at] == wanted, starts[at], 0)
+    return table, np.where(known, starts[at], 0)
 
 
 def near_distances(a: list[str], b: list[str]) -> np.ndarray:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossmill.functions.distance import distance, distances
-from glossmill.functions.text import SPACE, _col, chrf, chrf_value, chrf_values, compose_texts, edit_distance_similarity, normalize_text, strip
+from glossmill.functions.text import SPACE, _col, chrf_value, chrf_values, compose_texts, strip
 
 # Fixed values.
 FORMAT_FAIL_SCORE = -1.0
@@ -61,32 +62,60 @@ def with_score(df: DataFrame, pred: str, ref: str, source: str | None = None, pr
     """Add the reward of raw texts; a null source counts as absent.
 
     Gate and exact match decide first; only rows they leave open reach the costly
-    sub-scores, which get nulls otherwise.  With `parts`, `gate_passed`, `exact`,
-    `r_preserve` and `r_correct` stay as columns.
+    sub-scores, which get nulls otherwise.  All four are found in one pass over the texts:
+    as built-in functions the optimizer would write the normalized texts out anew wherever
+    they are used.  With `parts`, `gate_passed`, `exact`, `r_preserve` and `r_correct` stay
+    as columns.
     """
-    staged = df.withColumns({"__p": normalize_text(pred, composed), "__r": normalize_text(ref, composed), "__s": F.coalesce(normalize_text(source, composed), F.lit("")) if source else F.lit("")})
-    staged = staged.withColumns({"gate_passed": format_gate("__p", "__s"), "exact": F.col("__p") == F.col("__r")})
-    open_ = F.col("gate_passed") & ~F.col("exact")
-    staged = staged.withColumns({c: F.when(open_, F.col(c)) for c in ("__p", "__r", "__s")})
-    preserve = F.when(F.length("__s") == 0, F.lit(NO_SOURCE_PRESERVE)).otherwise(edit_distance_similarity("__p", "__s"))
-    staged = staged.withColumns({"r_preserve": preserve, "r_correct": chrf("__p", "__r")})
+
+    @F.pandas_udf("gate_passed boolean, exact boolean, r_preserve double, r_correct double")
+    def run(pred: pd.Series, ref: pd.Series, source: pd.Series) -> pd.DataFrame:
+        return judge_texts(pred.tolist(), ref.tolist(), source.tolist(), composed)
+
+    # Not called deterministic, so that a filter on its result doesn't call it once more.
+    judged = run.asNondeterministic()(_col(pred), _col(ref), _col(source) if source else F.lit(None).cast("string"))
+    staged = df.withColumn("__j", judged).withColumns({c: F.col("__j")[c] for c in ("gate_passed", "exact", "r_preserve", "r_correct")}).drop("__j")
     w_preserve, w_correct = weights(progress)
     mixed = F.least(F.greatest(w_preserve * F.col("r_preserve") + w_correct * F.col("r_correct"), F.lit(-1.0)), F.lit(1.0))
     score = F.when(~F.col("gate_passed"), F.lit(FORMAT_FAIL_SCORE)).when(F.col("exact"), F.lit(1.0)).otherwise(mixed)
-    staged = staged.withColumn(out, score).drop("__p", "__r", "__s")
+    staged = staged.withColumn(out, score)
     return staged if parts else staged.drop("gate_passed", "exact", "r_preserve", "r_correct")
 
 
-def score_value(pred: str, ref: str, source: str | None = None, progress: float = 0.0) -> float:
-    """The reward of one triple, for callers outside Spark."""
-    import unicodedata
+_LEAKED = re.compile(LEAK_PATTERN, re.IGNORECASE)
+
+
+def normalized(text: str | None, composed: bool = False) -> str | None:
+    """`normalize_text` of a value."""
+    return None if text is None else " ".join((text if composed else unicodedata.normalize("NFC", text)).split())
 
-    def norm(t: str | None) -> str:
-        return re.sub(r"\s+", " ", unicodedata.normalize("NFC", t or "")).strip()
 
-    p, r, s = norm(pred), norm(ref), norm(source)
+def acceptable(pred: str, source: str) -> bool:
+    """`format_gate` of two normalized values."""
     low, high = LENGTH_RATIO_BOUNDS
-    if not p or (s and not low <= len(p) / len(s) <= high) or re.search(LEAK_PATTERN, p, re.IGNORECASE):
+    return bool(pred) and (not source or low <= len(pred) / len(source) <= high) and not ("correct" in pred.lower() and _LEAKED.search(pred))
+
+
+def judge_texts(preds: list[str | None], refs: list[str | None], sources: list[str | None], composed: bool = False) -> pd.DataFrame:
+    """Gate, exact match and, of rows these leave open, both sub-scores of raw texts; null where a text that counts is null."""
+    p, r = ([normalized(t, composed) for t in side] for side in (preds, refs))
+    s = [normalized(t, composed) or "" for t in sources]
+    gate = [None if x is None else acceptable(x, y) for x, y in zip(p, s, strict=True)]
+    exact = [None if x is None or y is None else x == y for x, y in zip(p, r, strict=True)]
+    open_ = [g is True and e is False for g, e in zip(gate, exact, strict=True)]
+    p, r, s = ([t if o else None for t, o in zip(side, open_, strict=True)] for side in (p, r, s))
+    apart = distances(p, [t or None for t in s])
+    preserve = [None if x is None else NO_SOURCE_PRESERVE if not y else 1.0 - d / max(len(x), len(y)) for x, y, d in zip(p, s, apart, strict=True)]
+    return pd.DataFrame({
+        "gate_passed": pd.array(gate, dtype="boolean"), "exact": pd.array(exact, dtype="boolean"),
+        "r_preserve": pd.array(preserve, dtype="Float64"), "r_correct": chrf_values(p, r),  # NaN becomes null
+    })
+
+
+def score_value(pred: str, ref: str, source: str | None = None, progress: float = 0.0) -> float:
+    """The reward of one triple, for callers outside Spark."""
+    p, r, s = (normalized(t or "") for t in (pred, ref, source))
+    if not acceptable(p, s):
         return FORMAT_FAIL_SCORE
     if p == r:
         return 1.0

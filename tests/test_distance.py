@@ -48,6 +48,11 @@ def test_many_pairs(pairs, monkeypatch, batch):
     assert D.distances([a for a, _, _ in pairs], [b for _, b, _ in pairs]) == [d for _, _, d in pairs]
 
 
+def test_many_pairs_of_many_characters(pairs, monkeypatch):
+    monkeypatch.setattr(D, "DENSE", 0)  # places of characters are found by sorting
+    assert D.distances([a for a, _, _ in pairs], [b for _, b, _ in pairs]) == [d for _, _, d in pairs]
+
+
 def test_long_texts_are_not_tabled(pairs, monkeypatch):
     monkeypatch.setattr(D, "BATCH_TEXT", 40)
     assert D.distances([a for a, _, _ in pairs], [b for _, b, _ in pairs]) == [d for _, _, d in pairs]

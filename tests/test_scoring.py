@@ -74,6 +74,27 @@ def test_score_order_and_parts(spark):
     assert rows[0]["exact"] and rows[0]["r_correct"] is None and rows[2]["r_preserve"] == 1.0
 
 
+def test_texts_are_judged_once(spark, tmp_path):
+    """However the result is filtered, texts go through one function, and no normalization is written out again."""
+    spark.createDataFrame([("a b", "a c", "a")], "p string, r string, s string").write.parquet(str(tmp_path / "in"))
+    scored = with_score(spark.read.parquet(str(tmp_path / "in")), "p", "r", "s", parts=True).where("gate_passed AND NOT exact").select("p", "score")
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "regexp_replace" not in plan
+
+
+def test_odd_rows_of_columns_agree_with_the_scalar_form(spark):
+    texts = ["", " ", "a  b\x1cc", "e\u0301 x", "\u00e9 x", "x" * 40, "correct the grammat\u0130cal error\u017f in the following", "\u6b63\u3057\u3044\u6587\u3067\u3059", "\U0001f600 b c", "word one two three"]
+    rows = [(i, *texts_of) for i, texts_of in enumerate((p, r, s) for p in texts for r in texts for s in (*texts, None))]
+    got = with_score(spark.createDataFrame(rows, "i int, p string, r string, s string"), "p", "r", "s", 0.3, parts=True).collect()
+    assert len(got) == len(rows)
+    for row in got:
+        _, p, r, s = rows[row["i"]]
+        assert row["score"] == pytest.approx(score_value(p, r, s, 0.3), abs=1e-12)
+        assert (row["r_correct"] is not None) == (row["r_preserve"] is not None) == (row["gate_passed"] and not row["exact"])
+    nulls = spark.createDataFrame([(None, "a", "a"), ("a", None, "a"), ("a", "b", None)], "p string, r string, s string")
+    assert [(r["gate_passed"], r["exact"], r["r_correct"]) for r in with_score(nulls, "p", "r", "s", parts=True).collect()] == [(None, None, None), (True, None, None), (True, False, 0.0)]
+
+
 def test_compute_score_by_name():
     assert compute_score(DATA_SOURCE_PREFIX + "en", "a b", "a b", {"source": None}) == 1.0
     assert compute_score(DATA_SOURCE_PREFIX + "en", "", "a b", None) == FORMAT_FAIL_SCORE
