@@ -237,9 +237,9 @@ def train(texts: list[bytes], good: np.ndarray, sizes: np.ndarray | None = None,
 
 
 def learned_part(slices: int = LEARN_SLICES, width: int = LEARN_WIDTH) -> Column:
-    """A text whole if it is short, else its slices, evenly spread from the first character to the last, a line each."""
+    """A text whole if it is short, else its slices, evenly spread from the first character to the last."""
     at = lambda i: F.floor((F.length("text") - F.lit(width)) * i / max(1, slices - 1)).cast("int") + 1
-    spread = F.concat_ws("\n", *(F.substring(F.col("text"), at(F.lit(i)), F.lit(width)) for i in range(slices)))
+    spread = F.concat(*(F.substring(F.col("text"), at(F.lit(i)), F.lit(width)) for i in range(slices)))
     text = F.coalesce("text", F.lit(""))
     return F.when(F.length(text) <= slices * width, text).otherwise(spread)
 
